@@ -7,8 +7,9 @@
    signatures' exclusive-or give a collision-corrected estimate; pairs six standard errors under the threshold go.
    The others are confirmed on full sets.
 4. Components of confirmed links show which buckets are settled. In the others, members of different components
-   meet in blocks of bounded size, by signature, and survivors are confirmed too. So no link between different
-   texts that share a band is lost, and no group is expanded into all its pairs.
+   meet in blocks of bounded size: by signature, then on full sets at once. A block returns the links that join its
+   components, fewer than it has members. So no link between different texts that share a band is lost, and no
+   group is expanded into its pairs.
 
 At the threshold 0.85, a pair shares none of 32 bands of 4 with probability (1 - 0.85^4)^32 = 6e-11.
 """
@@ -27,7 +28,7 @@ from samplegrid.llm.common import connected_components, discard, materialize, sm
 
 HASHES, BANDS, BITS = 128, 32, 4
 #: Members of a block in an unsettled bucket.
-BLOCK = 512
+BLOCK = 256
 
 _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(1, 2**63, 256, np.uint64)
@@ -212,24 +213,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFram
     return both.where(f"100 * i >= {percent} * (size(sa) + size(sb) - i)").select("a", "b")
 
 
-def _survivors(pdf, least: int):
-    """Pairs of different components in a block (or between two blocks) that agree in enough nibbles."""
+def _block_links(pdf, least: int, percent: int):
+    """Links that join different components of a block (or of two blocks): a spanning forest, not all pairs."""
     import pandas as pd
 
-    left, right = pdf[pdf["side"] != 1], pdf[pdf["side"] != 0]
-    out = []
-    sa, sb = (np.stack(x["sig"].to_numpy()).astype(np.uint64) if len(x) else np.empty((0, HASHES // 16), np.uint64) for x in (left, right))
-    ia, ib, ca, cb = left["rep"].to_numpy(), right["rep"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
-    for i in range(len(left)):
-        x = sb ^ sa[i]
+    values, flat = np.unique(np.concatenate(pdf["shingles"].to_numpy()), return_inverse=True)
+    sizes = np.array([len(x) for x in pdf["shingles"]])
+    sets = np.split(flat, np.cumsum(sizes)[:-1])
+    sig = np.stack(pdf["sig"].to_numpy()).astype(np.uint64)
+    rep, label, side = pdf["rep"].to_numpy(), pdf["comp"].to_numpy().copy(), pdf["side"].to_numpy()
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    mark, out = np.zeros(len(values), bool), []
+    for i in left:
+        others = right[right > i] if side[i] == 2 else right
+        others = others[label[others] != label[i]]
+        if not len(others):
+            continue
+        x = sig[others] ^ sig[i]
         x |= x >> np.uint64(1)
         x |= x >> np.uint64(2)
-        x &= np.uint64(0x1111111111111111)
-        hit = (HASHES - np.bitwise_count(x).sum(1) >= least) & (cb != ca[i])
-        if hit.any():
-            out.append(np.stack([np.minimum(ia[i], ib[hit]), np.maximum(ia[i], ib[hit])], 1))
-    found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        equal = HASHES - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1)
+        others, equal = others[equal >= least], equal[equal >= least]
+        mark[sets[i]] = True
+        for j in others[np.argsort(-equal, kind="stable")]:
+            if label[j] != label[i]:
+                common = np.count_nonzero(mark[sets[j]])
+                if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                    out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    label[label == label[j]] = label[i]
+        mark[sets[i]] = False
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -247,7 +260,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     member = materialize(known.select("doc_id", "fp1", "fp2", "n_shingles").join(reps, ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep"), "member")
     own = known.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     bands = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
-    order = F.xxhash64("rep", "key")
+    # by an order of all documents, so that few different leaders serve the many buckets of one family
+    order = F.xxhash64("rep")
     leaders = bands.groupBy("key").agg(
         F.count("*").alias("n"), F.min("rep").alias("l1"), F.max("rep").alias("l2"), F.min(F.struct(order.alias("o"), F.col("rep").alias("l"))).alias("l3")
     )
@@ -267,16 +281,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     open_ = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2 and n > 2")
     parts = F.ceil(F.col("n") / BLOCK)
     rest = now.join(open_, "key").select("key", "rep", "comp", parts.alias("parts"), F.expr(f"pmod(xxhash64(rep), ceil(n / {BLOCK}))").alias("part"))
-    rest = rest.join(signs.withColumnRenamed("doc_id", "rep"), "rep")
-    # a member of part p meets the parts q: as the left side of (p, q) if p <= q, as the right side of (q, p) if q <= p
-    rest = rest.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
-    rest = rest.selectExpr("key", "least(part, q) p", "greatest(part, q) q", "case when part = q then 2 when part < q then 0 else 1 end side", "rep", "comp", "sig")
-    more = rest.groupBy("key", "p", "q").applyInPandas(lambda pdf: _survivors(pdf, least), "a long, b long").distinct()
-    more = materialize(more.join(stars, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        found = materialize(confirm(more, docs, percent, k), "links")
+    rest = materialize(rest, "rest")
+    if rest.limit(1).count():
+        ids = materialize(rest.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        wanted = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(small(ids), "doc_id", "left_semi")
+        sets = materialize(full_sets(wanted, k), "sets").dropDuplicates(["doc_id"]).join(signs, "doc_id").withColumnRenamed("doc_id", "rep")
+        # a member of part p meets the parts q: as the left side of (p, q) if p < q, as the right side of (q, p) if q < p
+        rest = rest.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
+        rest = rest.selectExpr("key", "least(part, q) p", "greatest(part, q) q", "case when part = q then 2 when part < q then 0 else 1 end side", "rep", "comp").join(sets, "rep")
+        more = rest.groupBy("key", "p", "q").applyInPandas(lambda pdf: _block_links(pdf, least, percent), "a long, b long").distinct()
         ends = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comp = materialize(connected_components(found.unionByName(ends)), "comp")
+        comp = materialize(connected_components(more.unionByName(ends)), "comp")
     # copies of a set follow their representative; a repeated doc_id may stand in more than one set
     split = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2"))
     bridges = split.where("rep != rep2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
@@ -286,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
         comp = materialize(connected_components(bridges.unionByName(ends)), "comp")
     label = split.select("doc_id", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     label = label.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    for done in (buckets, signs, stars, links, more):
+    for done in (buckets, stars, links):
         discard(done)
     out = sig.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
