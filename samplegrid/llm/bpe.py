@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Entries of one generation of a worker's piece memo and word memo.
-PIECES, WORDS = 200_000, 400_000
+PIECES, WORDS = 100_000, 200_000
 
 #: The white space of the tokenizer's regular expressions.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

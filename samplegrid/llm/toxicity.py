@@ -39,7 +39,7 @@ class Automaton:
     as whole words with one edit.
     """
 
-    STATES = 200_000
+    STATES = 50_000
 
     def __init__(self, terms: list[str]):
         self.terms = terms
@@ -126,7 +126,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.automaton = Automaton(model.terms)
-        self.memo = Memo(lambda w: self.automaton.match(w) or (), 300_000)
+        self.memo = Memo(lambda w: self.automaton.match(w) or (), 150_000)
 
     def features(self, text: str | None) -> list[float]:
         """1, used terms' weight, its maximum, mentioned terms' weight, near terms' weight, log of terms per 100 words."""
