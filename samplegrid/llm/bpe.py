@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from samplegrid.llm.common import map_arrow
+
 #: Entries of one generation of a worker's piece memo and word memo.
 PIECES, WORDS = 100_000, 200_000
 
@@ -192,7 +194,7 @@ def encode(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("k"), _id_lists([bpe.encode(t) for t in part.column("t").to_pylist()])], ["k", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return map_arrow(docs.selectExpr(f"`{key}` k", f"`{text}` t"), run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decode(encoded: DataFrame, vocab: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -207,5 +209,5 @@ def decode(encoded: DataFrame, vocab: str, key: str = "doc_id", ids: str = "ids"
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("ids"), pa.array(texts, pa.string())], ["k", "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    out = encoded.selectExpr(f"`{key}` k", f"`{ids}` ids").mapInArrow(run, f"k {kind}, ids array<int>, decoded string")
+    out = map_arrow(encoded.selectExpr(f"`{key}` k", f"`{ids}` ids"), run, f"k {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("k", key)

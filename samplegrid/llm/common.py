@@ -42,6 +42,15 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of 1000 rows, where the session sets no size of its own: at whole texts, the usual 10,000
+    rows make batches of tens of MB, held outside the heap and once more in the Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, "1000")
+    return df.mapInArrow(run, schema)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (narrow, already materialized) with a broadcast hint if it has at most `rows` rows; else a shuffle join stays."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplegrid.llm.bpe import slices
-from samplegrid.llm.common import connected_components, discard, materialize, small
+from samplegrid.llm.common import connected_components, discard, map_arrow, materialize, small
 
 HASHES, BANDS, BITS = 128, 32, 4
 #: Members of a block in an unsettled bucket.
@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig array<long>"
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, schema)
 
 
 def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -186,7 +186,7 @@ def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "shingles"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return map_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, shingles array<long>")
 
 
 def least_agreement(threshold: float) -> int:

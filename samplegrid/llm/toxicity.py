@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplegrid.llm.bpe import Memo, slices
+from samplegrid.llm.common import map_arrow
 
 #: Bound of the labelled sample: documents of each class, chosen by a hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     if not t or not c:
         chosen.unpersist()
         return Model([], [], [30.0 if t else -30.0, 0, 0, 0, 0, 0])
-    counts = chosen.mapInArrow(_beginnings, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = map_arrow(chosen, _beginnings, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = t / (t + c)
     # log likelihood ratio of the observed split against the sample's share of toxic documents
     n = F.col("toxic") + F.col("clean")
@@ -232,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
             x = [scorer.features(s) for s in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "y"])
 
-    table = chosen.mapInArrow(features, "x array<double>, y int").collect()
+    table = map_arrow(chosen, features, "x array<double>, y int").collect()
     chosen.unpersist()
     model.coefficients = logistic(np.array([r["x"] for r in table]), np.array([r["y"] for r in table], float)).tolist()
     return model
@@ -250,7 +251,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(s, pa.float64())], ["k", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.selectExpr(f"`{key}` k", f"`{text}` t").mapInArrow(run, f"k {kind}, score double")
+    out = map_arrow(docs.selectExpr(f"`{key}` k", f"`{text}` t"), run, f"k {kind}, score double")
     return out.select(F.col("k").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -263,4 +264,4 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for part in slices(batch, text, 4 << 20):
                 yield part.filter(pa.array([scorer.score(t) < 0.5 for t in part.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
