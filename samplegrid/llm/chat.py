@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from samplegrid.llm.common import materialize
+from samplegrid.llm.common import discard, materialize
 
 #: The template's marks, and other control strings that are escaped too.
 OPEN, MIDDLE, CLOSE = "<|turn|>", "\n", "<|end|>\n"
@@ -44,7 +44,7 @@ def paths(tree: DataFrame) -> DataFrame:
     """(conv_id, leaf, back, node): for each leaf, the nodes on the way to its root, `back` steps from the leaf.
 
     Jumps of 2^r steps are joined with themselves until none is left; then every leaf takes the binary steps of every
-    distance from the largest jump down. Nodes whose parent is missing are roots; nodes of a cycle reach no root and
+    distance from the largest jump down; each round is a written table, so plans do not double. Nodes whose parent is missing are roots; nodes of a cycle reach no root and
     have no leaf, so they give no path. Rounds: the logarithm of the deepest path.
     """
     nodes = tree.select(F.coalesce(F.col("conv_id"), F.lit(-(2**62))).alias("conv_id"), "node", "parent")
@@ -59,10 +59,11 @@ def paths(tree: DataFrame) -> DataFrame:
         a, b = jumps[-1], jumps[-1].selectExpr("conv_id", "node to", "to further")
         jumps.append(materialize(a.join(b, ["conv_id", "to"]).selectExpr("conv_id", "node", "further to"), "jumps"))
     leaves = nodes.join(nodes.where("parent is not null").selectExpr("conv_id", "parent node"), ["conv_id", "node"], "left_anti")
-    out = leaves.selectExpr("conv_id", "node leaf", "0L back", "node")
+    out = materialize(leaves.selectExpr("conv_id", "node leaf", "0L back", "node"), "way")
     for r in reversed(range(len(jumps) - 1)):
         step = out.join(jumps[r], ["conv_id", "node"]).selectExpr("conv_id", "leaf", f"back + {2**r} back", "to node")
-        out = out.union(step)
+        done, out = out, materialize(out.union(step), "way")
+        discard(done)
     return out
 
 
@@ -75,7 +76,7 @@ def format_conversations(tree: DataFrame, branches: int = 1, loss_role: str = "a
     """
     key = F.coalesce(F.col("conv_id"), F.lit(-(2**62)))
     nodes = tree.select(key.alias("conv_id"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    way = materialize(paths(tree), "paths")
+    way = paths(tree)
     score = way.join(nodes.select("conv_id", "node", "score"), ["conv_id", "node"]).groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))
     chosen = score.withColumn("branch", rank).where(F.col("branch") <= branches).select("conv_id", "leaf", "branch")
