@@ -136,3 +136,12 @@ def fold_pairs(sy: DataFrame) -> DataFrame:
     """(doc_id, pos, mean, diff) of symbol pairs, byte-wrapped; a last single symbol is left out."""
     p = sy.select("doc_id", "pos", "s", F.lead("s").over(line()).alias("t")).where("pos % 2 = 0 and t is not null")
     return p.selectExpr("doc_id", "cast(pos div 2 as int) pos", "cast((s + t) div 2 as int) mean", "pmod(s - t, 256) diff")
+
+
+def interleave(planes: DataFrame) -> DataFrame:
+    """(image_id, plane, pos, s) with seq: symbol i of every plane before symbol i + 1 of any, exhausted planes skipped.
+    Closed form over the planes' lengths (a few an image), so no image is sorted in one task."""
+    lengths = planes.groupBy("image_id", "plane").agg((F.max("pos") + 1).alias("n"))
+    lengths = lengths.groupBy("image_id").agg(F.collect_list(F.struct("plane", "n")).alias("planes"))
+    seq = F.expr("aggregate(planes, 0L, (a, p) -> a + least(p.n, pos + if(p.plane < plane, 1, 0)))")
+    return planes.join(lengths, "image_id").select("image_id", "plane", "pos", "s", seq.alias("seq"))

@@ -373,6 +373,12 @@ add(
     f"{_SYM} select doc_id, pos, " + ", ".join(f"(sum(s) over ({_WP} rows between current row and {n - 1} following) % 256)::int sum{n}" for n in (2, 4, 8)) + " from sy",
 )
 
+add(
+    "snk1_interleave",
+    _sy(lambda y: symbols.interleave(y.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "pos", "s"))),
+    f"{_SYM} select doc_id // 3 image_id, doc_id % 3 plane, pos, s, row_number() over (partition by doc_id // 3 order by pos, doc_id % 3) - 1 seq from sy",
+)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box-blurred rasters and their brightest, darkest and mean values per image."""

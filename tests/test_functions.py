@@ -94,3 +94,8 @@ def test_morph_laws(spark):
     both = px.join(wide.withColumnRenamed("v", "d"), ["image_id", "y", "x"]).join(thin.withColumnRenamed("v", "e"), ["image_id", "y", "x"])
     assert both.where("d < v or e > v").count() == 0
     assert gather.pad_pow2(px).groupBy("image_id").count().where("count != 4096").count() == 0
+
+
+def test_interleave_skips_exhausted_planes(spark):
+    px = spark.createDataFrame([(1, p, i, 10 * p + i) for p, n in ((0, 1), (1, 3), (2, 2)) for i in range(n)], "image_id int, plane int, pos int, s int")
+    assert [r.s for r in symbols.interleave(px).orderBy("seq").collect()] == [0, 10, 20, 11, 21, 12]
