@@ -119,6 +119,22 @@ def from_yuv888(y, u, v) -> Triple:
     return tuple(clip(F.shiftright(c, 8)) for c in (y + v * 409, y - u * 100 - v * 208, y + u * 516))
 
 
+def yuv_to_rgb565(y, u, v) -> Column:
+    """5, 6 and 5 bits as a signed short; luma over 220 is white. In doubles."""
+    y, u, v = _cols(y, u, v)
+    luma, u, v = (y - 16) * 1.164, u - 127.5, v - 127.5
+    r, g, b = (clip(c) for c in (luma + v * 1.596, luma - u * 0.392 - v * 0.813, luma + u * 2.017))
+    packed = F.floor(r / 8) * 2048 + F.floor(g / 4) * 32 + F.floor(b / 8)
+    return F.when(y > 220, F.lit(-1)).otherwise(packed).cast("int") - F.when((y <= 220) & (packed > 32767), 65536).otherwise(0)
+
+
+def rgb565_to_yuv(c) -> Triple:
+    (c,) = _cols(c)
+    bits = F.pmod(c, F.lit(65536)).cast("int")
+    r, g, b = F.shiftright(bits, 11) * 8, F.shiftright(bits, 5) % 64 * 4, bits % 32 * 8
+    return r * 0.257 + g * 0.504 + b * 0.098 + 16, b * 0.439 - r * 0.148 - g * 0.291 + 127.5, r * 0.439 - g * 0.368 - b * 0.071 + 127.5
+
+
 def to_exp(r, g, b) -> Triple:
     return tuple(clip(c) for c in affine("exp", r, g, b))
 

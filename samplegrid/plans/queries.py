@@ -56,6 +56,18 @@ _color(
     "c6_yuv888_inverse", color.from_yuv888,
     tuple(_clip(s) for s in ("(298*(r-16) + 409*(b-128) + 128)>>8", "(298*(r-16) - 100*(g-128) - 208*(b-128) + 128)>>8", "(298*(r-16) + 516*(g-128) + 128)>>8")), None,
 )
+_LUMA = "1.164e0*(r - 16)"
+_color(
+    "c7_rgb565", lambda *c: (color.yuv_to_rgb565(*c), *(F.round(x * 1000) for x in color.rgb565_to_yuv(F.col("r") * 256 + F.col("b") - 32768)[:2])),
+    (
+        f"case when r > 220 then -1 else ((({_clip(f'{_LUMA} + 1.596e0*(b - 127.5e0)')}::int >> 3) * 2048 + ({_clip(f'{_LUMA} - 0.392e0*(g - 127.5e0) - 0.813e0*(b - 127.5e0)')}::int >> 2) * 32"
+        f" + ({_clip(f'{_LUMA} + 2.017e0*(g - 127.5e0)')}::int >> 3)) + 32768) % 65536 - 32768 end",
+        *(
+            f"round(1000e0*({terms}))".replace("R", "((w >> 8) & 248)").replace("G", "((w >> 3) & 252)").replace("B", "((w << 3) & 248)").replace("w", "((r*256 + b + 32768) % 65536)")
+            for terms in ("0.257e0*R + 0.504e0*G + 0.098e0*B + 16", "0.439e0*B - 0.148e0*R - 0.291e0*G + 127.5e0")
+        ),
+    ), None,
+)
 _color("c8_exp", color.to_exp, tuple(_clip(s) for s in ("0.144547e0*r + 0.291612e0*g + 0.0638407e0*b + 64", "-0.1649e0*r - 0.270198e0*g + 0.435098e0*b + 128", "0.435098e0*r - 0.382359e0*g - 0.0527391e0*b + 128")), None)
 _color("c11_xyz", color.to_xyz, (_X, _XY, _Z))
 _LMS = (f"(0.210576e0*{_X} + 0.855098e0*{_XY} - 0.0396983e0*{_Z})", f"(-0.417076e0*{_X} + 1.17726e0*{_XY} + 0.0786283e0*{_Z})", f"(0.516835e0*{_Z})")
