@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplegrid.llm.common import materialize
+from samplegrid.llm.common import materialize, small
 
 #: Characters from the start of one part to the start of another of the same credential.
 SCOPE = 400
@@ -25,9 +25,11 @@ BASE = {
 #: Weak parts and their roles; kinds of the base have roles too.
 WEAK = {
     "endpoint": r"(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[A-Za-z0-9._~:@/-]{4,}",
-    "ident": r"(?i:user(?:name)?|login|client_?id|account|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}",
+    "ident": r"(?i:user(?:name)?|login|client_?id|account|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})",
     "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,60}[0-9])(?=[A-Za-z0-9+/_-]{0,60}[A-Z])(?=[A-Za-z0-9+/_-]{0,60}[a-z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_=-])",
 }
+#: What redaction takes of a match, from here to its end: of an assignment the value, else the whole.
+VALUE = {k: "x.start + length(x.m) - length(regexp_extract(x.m, p, 1))" for k in ("assign", "ident")}
 ROLE = {"assign": "secret", "hex": "secret", "mixed": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
 KINDS = [*BASE, *WEAK]
 
@@ -37,14 +39,15 @@ def _sql(s: str) -> str:
 
 
 def _spans(kind: str, pattern: str, keep: str = "true") -> str:
-    """SQL: array<struct<start, end, rank>> of the pattern's matches in `text`, in code points, end exclusive. The texts
-    between the matches and the matches themselves give the offsets."""
+    """SQL: array<struct<start, end, rank, cut>> of the pattern's matches in `text`, in code points, end exclusive; redaction
+    takes cut to end. The texts between the matches and the matches themselves give the offsets."""
     p = _sql(pattern)
+    cut = VALUE.get(kind, "x.start").replace("x.start", "s.at + x.gap").replace("(x.m, p,", f"(x.m, {p},")
     return f"""case when text rlike {p} then filter(aggregate(
         zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('gap', length(g), 'm', m)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,rank:int,ok:boolean>>)),
+        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,rank:int,cut:int,ok:boolean>>)),
         (s, x) -> named_struct('at', s.at + x.gap + coalesce(length(x.m), 0), 'out', if(x.m is null, s.out, concat(s.out, array(named_struct(
-            'start', s.at + x.gap, 'end', s.at + x.gap + length(x.m), 'rank', {KINDS.index(kind)}, 'ok', {keep.replace('(m, p,', f'(x.m, {p},')}))))),
+            'start', s.at + x.gap, 'end', s.at + x.gap + length(x.m), 'rank', {KINDS.index(kind)}, 'cut', {cut}, 'ok', {keep.replace('(m, p,', f'(x.m, {p},')}))))),
         s -> s.out), x -> x.ok) else array() end"""
 
 
@@ -54,15 +57,10 @@ def _text(spans: str) -> str:
     return f"array_join(transform(array_sort({spans}), x -> concat({kinds}[x.rank], ':', x.start, ':', x.end)), ',')"
 
 
-def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(doc_id, base, linked) for every row of docs(doc_id, text, ...): arrays of struct(start, rank, end), by start and
-    rank; rank counts KINDS. base: spans of the base kinds. linked: weak spans confirmed by complementary parts.
-
-    Null and empty texts have no spans. Rows that repeat both id and text are scanned alike; a null doc_id is kept.
-    Other columns are not read.
-    """
+def _scan(docs: DataFrame, scope: int) -> DataFrame:
+    """scan() with h, the hash of the text that the spans belong to."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    plain = "transform({}, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end))"
+    plain = "transform({}, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end, 'cut', x.cut))"
     found = rows.select(
         "doc_id",
         F.xxhash64("text").alias("h"),
@@ -84,8 +82,19 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     linked = near.where("secret or role = 'secret'").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("x")).alias("linked"))
     left, right = found.select("doc_id", "h", "base").alias("l"), linked.alias("r")
     out = left.join(right, F.expr("l.doc_id <=> r.doc_id and l.h = r.h"), "left")
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
-    return out.select("l.doc_id", "l.base", F.coalesce("r.linked", none).alias("linked"))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,cut:int>>)")
+    return out.select("l.doc_id", "l.h", "l.base", F.coalesce("r.linked", none).alias("linked"))
+
+
+def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(doc_id, base, linked) for every row of docs(doc_id, text, ...): arrays of struct(start, rank, end, cut), by start and
+    rank; rank counts KINDS, cut is where redaction starts. base: spans of the base kinds. linked: weak spans confirmed by
+    complementary parts.
+
+    Null and empty texts have no spans. Rows that repeat both id and text are scanned alike; a null doc_id is kept.
+    Other columns are not read.
+    """
+    return _scan(docs, scope).drop("h")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -94,11 +103,20 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.expr(_text("base")).alias("base"), F.expr(_text("concat(base, linked)")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every base secret of the texts (for assignments the value, not the name) replaced by a mark and n_chars,
-    if there is such a column, counted anew. Null texts stay null."""
-    text = F.regexp_replace("text", r"((?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)[A-Za-z0-9+/_.=-]{6,}", "$1" + mark)
-    for kind in ("access", "hex"):
-        text = F.regexp_replace(text, BASE[kind][0], mark)
-    out = docs.withColumn("text", text)
+def redact(docs: DataFrame, mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
+    """docs with every span that scan() reports, base or linked, replaced by a mark (of name = value the value, not the name)
+    and n_chars, if there is such a column, counted anew. Spans that overlap get one mark. Null texts stay null; null ids
+    and repeated rows are kept."""
+    spans = _scan(docs, scope).where("size(base) + size(linked) > 0").dropDuplicates(["doc_id", "h"])
+    order = "array_sort(transform(concat(base, linked), x -> named_struct('start', x.cut, 'end', x.end)))"
+    merge = f"""aggregate({order}, cast(array() as array<struct<start:int,end:int>>), (out, x) -> if(
+        size(out) > 0 and x.start < element_at(out, -1).end,
+        concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, x.end)))),
+        concat(out, array(x))))"""
+    spans = small(materialize(spans.select("doc_id", "h", F.expr(merge).alias("cuts")), "cuts")).alias("s")
+    kept = "transform(s.cuts, (x, i) -> substring(d.text, if(i = 0, 0, s.cuts[i - 1].end) + 1, x.start - if(i = 0, 0, s.cuts[i - 1].end)))"
+    tail = "substring(d.text, element_at(s.cuts, -1).end + 1)"
+    out = docs.alias("d").join(spans, F.expr("d.doc_id <=> s.doc_id and xxhash64(coalesce(d.text, '')) = s.h"), "left")
+    text = F.when(F.col("s.cuts").isNull(), F.col("d.text")).otherwise(F.array_join(F.expr(f"concat({kept}, array({tail}))"), mark))
+    out = out.select(*(text.alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
