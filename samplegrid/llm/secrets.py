@@ -26,8 +26,11 @@ BASE = {
 WEAK = {
     "endpoint": r"(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[A-Za-z0-9._~:@/-]{4,}",
     "ident": r"(?i:user(?:name)?|login|client_?id|account|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})",
-    "mixed": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,60}[0-9])(?=[A-Za-z0-9+/_-]{0,60}[A-Z])(?=[A-Za-z0-9+/_-]{0,60}[a-z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_=-])",
+    # a maximal run with a digit, an upper and a lower letter, its padding included
+    "mixed": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}",
 }
+#: What a match of a weak kind must fulfil besides.
+WEAK_KEEP = {"mixed": "x.m rlike '[0-9]' and x.m rlike '[A-Z]' and x.m rlike '[a-z]'"}
 #: What redaction takes of a match, from here to its end: of an assignment the value, else the whole.
 VALUE = {k: "x.start + length(x.m) - length(regexp_extract(x.m, p, 1))" for k in ("assign", "ident")}
 ROLE = {"assign": "secret", "hex": "secret", "mixed": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
@@ -65,7 +68,7 @@ def _scan(docs: DataFrame, scope: int) -> DataFrame:
         "doc_id",
         F.xxhash64("text").alias("h"),
         F.expr("concat(" + ", ".join(plain.format(_spans(k, p, keep)) for k, (p, keep) in BASE.items()) + ")").alias("base"),
-        F.expr("concat(" + ", ".join(plain.format(_spans(k, p)) for k, p in WEAK.items()) + ")").alias("weak"),
+        F.expr("concat(" + ", ".join(plain.format(_spans(k, p, WEAK_KEEP.get(k, "true"))) for k, p in WEAK.items()) + ")").alias("weak"),
     ).withColumn("base", F.array_sort("base"))
     # narrow, and read twice: the texts are searched once
     found = materialize(found, "spans")
