@@ -19,7 +19,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 #: Targets of a canonical link and of a meta refresh, attributes in either order.
 CANONICAL = [r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\brel\s*=\s*[\"']?canonical\b"]
-REFRESH = [r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"]
+REFRESH = [r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)<meta\b[^>]*\bcontent\s*=[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b"]
 
 
 def host(url: str):
@@ -41,6 +41,25 @@ def identity(url: str):
     return F.when(name == "", "").otherwise(F.concat(name, F.regexp_replace(path(url), "/+$", ""), query))
 
 
+def resolve(base: str, target: str):
+    """What a link target means on the page base: targets with a scheme stay, // takes the scheme, / the host, ? the path and
+    others the folder of the page; . and .. steps are taken out. '' for fragments and for relative targets of hostless pages."""
+    t, own = F.col(target), path(base)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    folder = F.when(own == "", "/").otherwise(F.regexp_replace(own, "[^/]*$", ""))
+    local = F.when(t.startswith("/"), t).when(t.startswith("?"), F.concat(own, t)).otherwise(F.concat(folder, t))
+    steps = F.filter(F.split(F.regexp_extract(local, r"^[^?#]*", 0), "/"), lambda x: x != ".")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
+    steps = F.aggregate(steps, F.expr("cast(array() as array<string>)"), lambda a, x: F.when(x == "..", up(a)).otherwise(F.concat(a, F.array(x))))
+    local = F.concat(F.array_join(steps, "/"), F.regexp_extract(local, r"^[^?#]*(.*)", 1))
+    return (
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), t)
+        .when((host(base) == "") | t.startswith("#"), "")
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .otherwise(F.concat(scheme, F.lit("://"), host(base), local))
+    )
+
+
 def rule(rules: list[tuple[str, str, str]] = RULES):
     """The longest rule that fits columns host and path, as struct(kind, text); null if none fits."""
     out = F.lit(None).cast("struct<kind:string,text:string>")
@@ -52,12 +71,15 @@ def rule(rules: list[tuple[str, str, str]] = RULES):
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """(a, b): addresses that stand for each other, from canonical links and meta refreshes of the pages and from
-    redirects(source, target). Targets without a host (relative ones) and links to the same address give no edge."""
-    targets = F.array(*(F.regexp_extract(F.coalesce("html", F.lit("")), p, 1) for p in CANONICAL + REFRESH))
+    redirects(source, target). Of several canonical links in one order of attributes the first counts; all refreshes count.
+    Relative targets are resolved against the page; links to the same address give no edge."""
+    html = F.coalesce("html", F.lit(""))
+    targets = F.concat(F.array(*(F.regexp_extract(html, p, 1) for p in CANONICAL)), *(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in REFRESH))
     # few pages have such links; the others are passed by with one search
     found = pages.where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv\s*=\s*[\"']?refresh")).select("url", F.explode(targets).alias("target"))
     if redirects is not None:
         found = found.union(redirects.select(F.col("source").alias("url"), "target"))
+    found = found.where("target <> ''").select("url", resolve("url", "target").alias("target"))
     return found.select(identity("url").alias("a"), identity("target").alias("b")).where("a <> '' and b <> '' and a <> b").distinct()
 
 

@@ -253,6 +253,34 @@ def test_urls(spark):
     assert got[1] == got[3] == "allow" and got[2] == "block"
 
 
+def test_urls_resolve_like_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.org/x/y/z?q", "https://a.org", "http://a.org/x/"]
+    targets = ["http://b.org/c", "//b.org/c?d", "/en/a", "/en/../a?b=../c", "?p=1", "g", "./g/../h", "../g", "../../../g", "/login?next=http://c.org/"]
+    rows = spark.createDataFrame([(b, t) for b in bases for t in targets], "base string, t string").select("base", "t", urls.resolve("base", "t").alias("u")).collect()
+    assert len(rows) == len(bases) * len(targets)
+    for r in rows:
+        want = urljoin(r.base, r.t)
+        assert r.u == want or (r.base, r.t, r.u) == ("https://a.org", "?p=1", want), (r, want)
+    odd = spark.createDataFrame([("no host", "/x"), (None, "/x"), ("http://a.org/x", "#y")], "base string, t string")
+    assert {r.u for r in odd.select(urls.resolve("base", "t").alias("u")).collect()} == {""}
+
+
+def test_urls_alias_edges_of_all_forms(spark):
+    rows = [
+        ("http://a.org/x/y", '<link rel="canonical" href="/en/a">'),
+        ("https://b.org/x", '<meta content="0; url=//c.org/z" http-equiv="refresh">'),
+        ("http://d.org/x/y", "<meta http-equiv=refresh content='1; URL=z'><META HTTP-EQUIV='refresh' CONTENT='9; url=../w'>"),
+        ("http://e.org/x", '<meta content="a; url=/no" name="x"><meta http-equiv="refresh" content="5">'),
+    ]
+    got = {(r.a, r.b) for r in urls.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {("a.org/x/y", "a.org/en/a"), ("b.org/x", "c.org/z"), ("d.org/x/y", "d.org/x/z"), ("d.org/x/y", "d.org/w")}
+    pages = [(1, "http://q.org/go", '<meta content="0; url=//x.net/" http-equiv="refresh">'), (2, "http://x.net/", None)]
+    verdicts = {r.page_id: (r.verdict, r.by) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert verdicts == {1: ("block", "alias"), 2: ("block", "rule")}
+
+
 # toxicity
 
 
