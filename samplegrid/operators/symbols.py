@@ -87,6 +87,11 @@ def context_hits(sy: DataFrame, k: int = 2) -> DataFrame:
     return p.select("doc_id", (guess == F.col("s")).cast("long").alias("hit")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
 
 
+def bits(sy: DataFrame) -> DataFrame:
+    """(doc_id, pos, s): the eight bits of each byte as symbols, the high bit first."""
+    return sy.select("doc_id", "pos", "s", F.explode(F.expr("sequence(0, 7)")).alias("i")).selectExpr("doc_id", "pos * 8 + i pos", "shiftright(s, 7 - i) & 1 s")
+
+
 def cumulative(hist: DataFrame) -> DataFrame:
     """(doc_id, s, cnt, low, high): the half-open range of running counts of each symbol."""
     high = F.sum("cnt").over(Window.partitionBy("doc_id").orderBy("s"))

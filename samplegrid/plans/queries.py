@@ -68,6 +68,13 @@ _color(
         ),
     ), None,
 )
+_color(
+    "c7_rgb565_inverse", lambda *c: tuple(F.round(x * 1000) for x in color.rgb565_to_yuv(F.col("r") * 256 + F.col("b") - 32768)),
+    tuple(
+        f"round(1000e0*({terms}))".replace("R", "((w >> 8) & 248)").replace("G", "((w >> 3) & 252)").replace("B", "((w << 3) & 248)").replace("w", "((r*256 + b + 32768) % 65536)")
+        for terms in ("0.257e0*R + 0.504e0*G + 0.098e0*B + 16", "0.439e0*B - 0.148e0*R - 0.291e0*G + 127.5e0", "0.439e0*R - 0.368e0*G - 0.071e0*B + 127.5e0")
+    ), None,
+)
 _color("c8_exp", color.to_exp, tuple(_clip(s) for s in ("0.144547e0*r + 0.291612e0*g + 0.0638407e0*b + 64", "-0.1649e0*r - 0.270198e0*g + 0.435098e0*b + 128", "0.435098e0*r - 0.382359e0*g - 0.0527391e0*b + 128")), None)
 _color("c11_xyz", color.to_xyz, (_X, _XY, _Z))
 _LMS = (f"(0.210576e0*{_X} + 0.855098e0*{_XY} - 0.0396983e0*{_Z})", f"(-0.417076e0*{_X} + 1.17726e0*{_XY} + 0.0786283e0*{_Z})", f"(0.516835e0*{_Z})")
@@ -86,6 +93,11 @@ _oklab = lambda *c: color.to_oklab(*(F.col(x) / 255 for x in c))
 _color("c14_oklab", _oklab, _OKLAB)
 _chroma = f"sqrt({_OKLAB[1]}*{_OKLAB[1]} + {_OKLAB[2]}*{_OKLAB[2]})"
 _color("c15_oklch", lambda *c: tuple(F.round(x, 4) for x in color.to_oklch(*_oklab(*c)))[:2] + (F.lit(0.0),), (f"round({_OKLAB[0]}, 4)", f"round({_chroma}, 4)", "0.0"))
+# the hue by its cosine and sine, as the angle wraps
+_color(
+    "c15_oklch_hue", lambda *c: tuple(F.round(f(color.to_oklch(*_oklab(*c))[2]), 4) for f in (F.cos, F.sin)),
+    tuple(f"round(case when {_chroma} > 0.000004e0 then {f}(atan2({_OKLAB[2]}, {_OKLAB[1]})) else {none} end, 4)" for f, none in (("cos", "1e0"), ("sin", "0e0"))),
+)
 _color("c16_linear", lambda *c: tuple(color.linear(F.col(x) / 255) for x in c), tuple(f"case when {x}/255.0e0 >= 0.04045e0 then pow(({x}/255.0e0 + 0.055e0)/1.055e0, 2.4e0) else {x}/255.0e0/12.92e0 end" for x in "rgb"))
 _color("c17_kla", color.to_kla, ("0.54933e0*r + 0.60238e0*g + 0.57912e0*b + 64", "0.80429e0*r - 0.19322e0*g - 0.56194e0*b + 128", "0.22661e0*r - 0.77447e0*g - 0.59063e0*b + 128"))
 _color("c18_clip", lambda *c: tuple(color.clip(F.col(x) * 2 - 100.5) for x in c), tuple(_clip(f"{x}*2 - 100.5e0") for x in "rgb"), None)
@@ -374,6 +386,22 @@ add(
     f"""{_SYM}, k as (select doc_id, pos, s, {_LAG1} a, {_LAG2} b from sy), g as (select doc_id, s, coalesce(lag(s) over (partition by doc_id, a, b order by pos), 0) g from k)
         select doc_id, count(*) n, sum((s = g)::int)::bigint hits from g group by doc_id""",
 )
+
+
+def _hits_sql(k: int, sy: str = "sy") -> str:
+    past = ", ".join(f"coalesce(lag(s, {i + 1}) over ({_WP}), 0) k{i}" for i in range(k))
+    keys = ", ".join(f"k{i}" for i in range(k))
+    return f"""k as (select doc_id, pos, s, {past} from {sy}), g as (select doc_id, s, coalesce(lag(s) over (partition by doc_id, {keys} order by pos), 0) g from k)
+        select doc_id, count(*) n, sum((s = g)::int)::bigint hits from g group by doc_id"""
+
+
+for _k in (1, 3, 4, 5, 6, 7):
+    add(f"w13_context_hits_{_k}", _sy(lambda y, k=_k: symbols.context_hits(y, k)), f"{_SYM}, {_hits_sql(_k)}")
+add(
+    "w13_context_hits_bits",
+    _sy(lambda y: symbols.context_hits(symbols.bits(y), 8)),
+    f"{_SYM}, e as (select doc_id, pos, s, unnest(range(8)) i from sy), bt as (select doc_id, pos * 8 + i pos, (s >> (7 - i)::int) & 1 s from e), {_hits_sql(8, 'bt')}",
+)
 add(
     "w14_cumulative",
     _sy(lambda y: symbols.cumulative(symbols.histogram(y).drop("share"))),
@@ -384,6 +412,12 @@ add(
     _sy(symbols.sum_pyramid),
     f"{_SYM} select doc_id, pos, " + ", ".join(f"(sum(s) over ({_WP} rows between current row and {n - 1} following) % 256)::int sum{n}" for n in (2, 4, 8)) + " from sy",
 )
+_LENGTHS = tuple(2**k for k in range(1, 9))
+add(
+    "w15_sum_pyramid_256",
+    _sy(lambda y: symbols.sum_pyramid(y, _LENGTHS)),
+    f"{_SYM} select doc_id, pos, " + ", ".join(f"(sum(s) over ({_WP} rows between current row and {n - 1} following) % 256)::int sum{n}" for n in _LENGTHS) + " from sy",
+)
 
 add(
     "snk1_interleave",

@@ -1,5 +1,6 @@
 """Golden values and inverse pairs."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,14 @@ def test_morph_laws(spark):
 def test_interleave_skips_exhausted_planes(spark):
     px = spark.createDataFrame([(1, p, i, 10 * p + i) for p, n in ((0, 1), (1, 3), (2, 2)) for i in range(n)], "image_id int, plane int, pos int, s int")
     assert [r.s for r in symbols.interleave(px).orderBy("seq").collect()] == [0, 10, 20, 11, 21, 12]
+
+
+@pytest.mark.parametrize("name", ["c7_rgb565_inverse", "c15_oklch_hue", "w13_context_hits_1", "w13_context_hits_7", "w13_context_hits_bits", "w15_sum_pyramid_256"])
+def test_whole_survey_entries_match_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("lineitem", "documents"):
+        db.sql(f"create view {t} as from '{SF}/{t}.parquet'")
+    want = db.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
