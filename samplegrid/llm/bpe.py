@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 
 from samplegrid.llm.common import map_arrow
 
-#: Entries of one generation of a worker's piece memo and word memo.
-PIECES, WORDS = 100_000, 200_000
+#: Entries of one generation of a worker's piece memo and word memo; longer keys are not kept, which bounds its bytes.
+PIECES, WORDS, LONGEST_KEY = 100_000, 200_000, 64
 
 #: The white space of the tokenizer's regular expressions.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Memo(dict):
-    """key -> make(key), with at most two generations of `size` entries."""
+    """key -> make(key), with at most two generations of `size` entries; keys over LONGEST_KEY characters are made anew."""
 
     def __init__(self, make, size: int):
         self.make, self.size, self.old = make, size, {}
@@ -40,6 +40,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST_KEY:
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
@@ -56,10 +58,11 @@ def byte_alphabet() -> list[str]:
 
 @functools.cache
 def char_class(kind: str) -> str:
-    """The characters whose Unicode category begins with `kind`, as ranges of a regular expression's class."""
+    """The characters whose Unicode category begins with `kind`, as ranges of a regular expression's class. Cn: characters that
+    this Python's tables do not know."""
     out, first = [], None
     for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c)).startswith(kind)
         if inside and first is None:
             first = c
         elif not inside and first is not None:
@@ -69,23 +72,38 @@ def char_class(kind: str) -> str:
 
 
 class Splitter:
-    """Normalized words of a tokenizer file: added tokens first, then NFC and lower case, then its split pattern."""
+    """Normalized words of a tokenizer file: added tokens first, then NFC and lower case, then its split pattern. Pieces with
+    characters that Python's Unicode tables do not know are split by the library, whose tables may be newer."""
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, path: str):
+        self.path, self.unknown = path, re.compile(f"[{char_class('Cn')}]").search
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         ascii_only = pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
         wide = pattern.replace(r"\p{L}", char_class("L")).replace(r"\p{N}", char_class("N")).replace(r"\s", SPACE)
         self.split_ascii, self.split_wide = re.compile(ascii_only, re.ASCII).findall, re.compile(wide).findall
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.begins = "".join(sorted({t[0] for t in self.added}))
         self.cut = re.compile(f"[{SPACE}]+")
 
     def words(self, text: str) -> list[str]:
         """Lower case goes letter by letter (no final-sigma rule)."""
         if text.isascii():
             return self.split_ascii(text.lower())
+        if self.unknown(text):
+            return self.library_words(text)
         return self.split_wide(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
 
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path), {c: b for b, c in enumerate(byte_alphabet())}
+
+    def library_words(self, text: str) -> list[str]:
+        tokenizer, byte = self.library
+        return [bytes(byte[c] for c in w).decode() for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+
     def pieces(self, text: str) -> list[str]:
         """Parts between white space. str.split() also cuts at \\x1c-\\x1f, which the tokenizer does not."""
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
@@ -93,7 +111,7 @@ class Splitter:
 
     def encode_piece(self, piece: str, words: dict[str, bytes]) -> bytes:
         """Ids of a text without white space; added tokens are taken first, from the text as it is."""
-        if "<" not in piece or not self.special:
+        if not any(c in piece for c in self.begins):
             return b"".join(map(words.__getitem__, self.words(piece)))
         out, at = [], 0
         for m in self.special.finditer(piece):
@@ -107,7 +125,7 @@ class BPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.splitter = Splitter(spec)
+        self.splitter = Splitter(spec, path)
         vocab, suffix, added = model["vocab"], model["end_of_word_suffix"] or "", self.splitter.added
         self.strings = [""] * (1 + max([*vocab.values(), *added.values()]))
         for s, i in [*vocab.items(), *added.items()]:

@@ -3,17 +3,23 @@
 Numbers, names and units of a text become typed placeholders. Windows of WINDOW such tokens are hashed and joined with
 the windows of the benchmark. A document is contaminated by an item if it holds at least half of the item's windows in
 copies whose slot values map one to one to the item's. So a question with other numbers or names is caught, and
-one whose numbers contradict each other is not.
+one whose numbers contradict each other is not. Items of LEAST to WINDOW - 1 tokens are one window and need equal slot values;
+shorter ones match nothing, as they name no question. A name at the start of a sentence is a plain word.
+
+A pair is nominated by the rarest windows of the item, just so many that half of its windows can't be found without one of
+them; only nominated pairs meet all windows. So a passage that many documents and items share makes no rows for each
+document and item that hold it, unless it is most of the item.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from samplegrid.llm.common import materialize, small
 
-WINDOW = 8
+WINDOW, LEAST = 8, 4
 COVERAGE = 0.5
 #: Windows of the benchmark up to which they are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
@@ -31,65 +37,86 @@ TOKEN = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[.!?:\n]+"
 def _typed(tokens: str) -> str:
     """SQL: each token as (canonical string, slot type or '', raw token); ends of sentences become null.
 
-    A number is a token that begins with a digit; a unit is a listed word after a number; a name is a capitalised word (not one all in capitals)
-    of three or more letters after a word or number in the same sentence."""
+    A number is a token that begins with a digit; a unit is a listed word after a number; a name is a capitalised word of any
+    script (not one all in capitals) of three or more letters after a word or number in the same sentence."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     return f"""transform({tokens}, (t, i) -> case
         when t < ':' and t >= '0' then '#number'
         when t rlike '^[.!?:\\n]' then null
         when i > 0 and get({tokens}, i - 1) between '0' and ':' and lower(t) in ({units}) then '#unit'
-        when i > 0 and t >= 'A' and t < '[' and length(t) > 2 and substring(t, 2, 1) >= 'a' and not get({tokens}, i - 1) rlike '^[.!?:\\n]' then '#name'
+        when i > 0 and t <> lower(t) and length(t) > 2 and left(t, 1) <> lower(left(t, 1)) and substring(t, 2, 1) <> upper(substring(t, 2, 1))
+            and not get({tokens}, i - 1) rlike '^[.!?:\\n]' then '#name'
         else lower(t) end)"""
 
 
-def windows(df: DataFrame, key: str, text: str, n: int = WINDOW) -> DataFrame:
-    """(key, pos, h): the hash of each window of n typed tokens; a text with fewer tokens, or null, has none."""
+def windows(df: DataFrame, keys: list[str], text: str, sizes: tuple[int, ...] = (WINDOW,), whole: bool = False) -> DataFrame:
+    """(keys, pos, h): the hash of each window of n typed tokens, for each n of `sizes`; a null text has none. whole: with n
+    the number of tokens if that is less than WINDOW, LEAST at least; and a column n."""
     # arrays are bound by lambdas, so that each is made once per text and not once per token
     hashed = f"filter(transform({_typed('tokens')}, t -> xxhash64(t)), h -> h <> 42)"  # xxhash64(null) is its seed, 42
-    each = f"if(size(h) < {n}, array(), transform(sequence(1, size(h) - {n - 1}), i -> xxhash64(slice(h, i, {n}))))"
+    cut = lambda n: f"if(size(h) < greatest({n}, {LEAST}), array(), transform(sequence(0, size(h) - {n}), i -> struct(i as pos, xxhash64(slice(h, i + 1, {n})) as h, {n} as n)))"
+    each = cut(f"least(size(h), {WINDOW})") if whole else f"concat({', '.join(map(cut, sizes))})"
     bound = f"transform(transform(array(regexp_extract_all({text}, r'{TOKEN}', 0)), tokens -> {hashed}), h -> {each})[0]"
-    return df.where(F.col(text).isNotNull()).selectExpr(key, f"posexplode({bound}) as (pos, h)")
+    return df.where(F.col(text).isNotNull()).selectExpr(*keys, f"inline({bound})").select(*keys, "pos", "h", *(["n"] if whole else []))
 
 
-def slots(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, slots array<struct<type, raw>>): one entry for each token that windows() counts, '' as type of plain words."""
+def slots(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, slots array<struct<type, raw>>): one entry for each token that windows() counts, '' as type of plain words."""
     typed = f"zip_with({_typed('tokens')}, tokens, (c, r) -> named_struct('c', c, 'raw', r))"
     kept = "transform(filter(z, x -> x.c is not null), x -> named_struct('type', if(x.c like '#%', x.c, ''), 'raw', lower(x.raw)))"
-    return df.selectExpr(key, f"transform(transform(array(regexp_extract_all({text}, r'{TOKEN}', 0)), tokens -> {typed}), z -> {kept})[0] slots")
+    return df.selectExpr(*keys, f"transform(transform(array(regexp_extract_all({text}, r'{TOKEN}', 0)), tokens -> {typed}), z -> {kept})[0] slots")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, slots, exact) of each pair of a document and an item that it leaks.
 
-    exact: all slot values are equal too. Null texts, null ids and items under n tokens match nothing. Rows that repeat
-    a doc_id count as one document, repeated items as one item. Other columns are not read; empty tables give no rows.
+    exact: all slot values are equal too. Null texts, null ids and items under LEAST tokens match nothing. Rows that repeat
+    a doc_id count as one document, rows that repeat an item_id as one item; each of their texts is compared by itself, and
+    the pair has the figures of the best one. Other columns are not read; empty tables give no rows.
+
+    If the benchmark has more than BROADCAST_WINDOWS windows, the join with it is a shuffle, whose hot windows Spark splits
+    (adaptive skew join).
     """
-    spark = docs.sparkSession
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
-    items = benchmark.selectExpr("cast(item_id as long) item_id", "text item_text").where("item_id is not null and item_text is not null")
-    items = items.dropDuplicates(["item_id"])
-    theirs = materialize(windows(items, "item_id", "item_text", n).withColumnRenamed("pos", "bpos"), "items")
-    total = theirs.groupBy("item_id").agg(F.count("*").alias("windows"))
-    near = small(theirs, BROADCAST_WINDOWS)
-    hits = windows(docs, "doc_id", "text", n).join(near, "h").select("doc_id", "item_id", "pos", "bpos")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null").withColumn("th", F.xxhash64("text"))
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "text item_text").where("item_id is not null and item_text is not null").distinct()
+    items = items.withColumn("ih", F.xxhash64("item_text"))
+    item, doc = ["item_id", "ih"], ["doc_id", "th"]
+    theirs = materialize(windows(items, item, "item_text", whole=True).withColumnRenamed("pos", "bpos"), "items")
+    total = theirs.groupBy(*item, "n").agg(F.count("*").alias("windows"))
+    # the rarest windows of each item, by the number of items that have them
+    common = theirs.select("h", *item).distinct().groupBy("h").agg(F.count("*").alias("items"))
+    rarest = Window.partitionBy(*item).orderBy("items", "h", "bpos")
+    rare = theirs.join(common, "h").withColumn("rank", F.row_number().over(rarest)).join(total.drop("n"), item)
+    rare = materialize(rare.where(F.col("rank") <= F.col("windows") - F.ceil(coverage * F.col("windows")) + 1).select("h", *item).distinct(), "rare")
+    sizes = tuple(sorted(r.n for r in theirs.select("n").distinct().collect()))  # of 4 to 8
+    if not sizes:
+        return docs.limit(0).selectExpr("doc_id", "doc_id item_id", "0L matched", "0L windows", "0D coverage", "0 slots", "false exact")
+    nominated = windows(docs, doc, "text", sizes).join(small(rare, BROADCAST_WINDOWS), "h").select(*doc, *item).distinct()
+    nominated = materialize(nominated, "nominated")
+    # all windows of the nominated pairs
+    concerned = docs.join(small(nominated.select("doc_id").distinct()), "doc_id", "left_semi")
+    wanted = nominated.join(theirs, item)
+    hits = windows(concerned, doc, "text", sizes).distinct().join(wanted, [*doc, "h"]).select(*doc, *item, "n", "pos", "bpos")
     hits = materialize(hits, "hits")
-    enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("bpos").alias("matched")).join(total, "item_id")
-    enough = materialize(enough.where(F.col("matched") >= coverage * F.col("windows")), "enough")
+    enough = hits.groupBy(*doc, *item).agg(F.countDistinct("bpos").alias("matched")).join(total, item)
+    enough = materialize(enough.where(F.col("matched") >= coverage * F.col("windows")).drop("matched", "n"), "enough")
     # slot values of the documents and items concerned
-    ours = slots(docs.join(small(enough.select("doc_id").distinct()), "doc_id", "left_semi"), "doc_id", "text").dropDuplicates(["doc_id"])
-    theirs = slots(items, "item_id", "item_text")
+    ours = slots(concerned.join(small(enough.select(*doc).distinct()), doc, "left_semi"), doc, "text").dropDuplicates(doc)
+    theirs = slots(items, item, "item_text")
     # a copy of an item lies on one diagonal pos - bpos; each is judged by itself
-    copies = hits.join(enough.select("doc_id", "item_id", "windows"), ["doc_id", "item_id"])
-    copies = copies.groupBy("doc_id", "item_id", "windows", (F.col("pos") - F.col("bpos")).alias("d")).agg(F.collect_set("bpos").alias("at"))
-    copies = copies.join(ours.withColumnRenamed("slots", "s"), "doc_id").join(theirs.withColumnRenamed("slots", "b"), "item_id")
+    copies = hits.join(enough, [*doc, *item])
+    copies = copies.groupBy(*doc, *item, "windows", "n", (F.col("pos") - F.col("bpos")).alias("d")).agg(F.collect_set("bpos").alias("at"))
+    copies = copies.join(ours.withColumnRenamed("slots", "s"), doc).join(theirs.withColumnRenamed("slots", "b"), item)
     # (type, theirs, ours) of every slot under a matched window
     copies = copies.selectExpr(
-        "doc_id", "item_id", "windows", "at",
-        f"""array_distinct(filter(flatten(transform(at, p -> transform(sequence(0, {n - 1}), j -> named_struct(
+        *doc, *item, "windows", "n", "at",
+        """array_distinct(filter(flatten(transform(at, p -> transform(sequence(0, n - 1), j -> named_struct(
             'type', get(b, p + j).type, 'theirs', get(b, p + j).raw, 'ours', get(s, p + d + j).raw)))), x -> x.type <> '')) m""",
-    )
+    )
     left, right = "size(array_distinct(transform(m, x -> struct(x.type, x.theirs))))", "size(array_distinct(transform(m, x -> struct(x.type, x.ours))))"
-    copies = copies.where(f"size(m) = {left} and size(m) = {right}").selectExpr("doc_id", "item_id", "windows", "at", "size(m) n", "forall(m, x -> x.theirs = x.ours) same")
-    out = copies.groupBy("doc_id", "item_id", "windows").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.max("n").alias("slots"), F.bool_or("same").alias("exact"))
-    out = out.select("doc_id", "item_id", F.size("at").cast("long").alias("matched"), "windows", (F.size("at") / F.col("windows")).alias("coverage"), "slots", "exact")
-    return out.where(F.col("coverage") >= coverage)
+    copies = copies.where(f"size(m) = {left} and size(m) = {right}").selectExpr(*doc, *item, "windows", "n", "at", "size(m) slots", "forall(m, x -> x.theirs = x.ours) same")
+    copies = copies.where(f"n = {WINDOW} or same")
+    out = copies.groupBy(*doc, *item, "windows").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.max("slots").alias("slots"), F.bool_or("same").alias("exact"))
+    out = out.selectExpr("doc_id", "item_id", "struct(size(at) / windows as coverage, cast(size(at) as long) as matched, windows, slots, exact) best")
+    out = out.where(F.col("best.coverage") >= coverage).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return out.select("doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "best.slots", "best.exact")

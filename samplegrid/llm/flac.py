@@ -2,8 +2,9 @@
 
 Coding works on many frames at once: one numpy lane is one frame, and every step handles the next sample (or byte) of
 all lanes. Streams are standard FLAC: STREAMINFO with the MD5 of the samples, a SEEKTABLE with the sample number and
-byte offset of each frame, fixed predictors of order 0 to 4 (and LPC subframes, which the decoder reads too), one
-Rice partition a frame, CRC-8 of each header and CRC-16 of each frame.
+byte offset of each frame, fixed predictors of order 0 to 4 or linear predictors of order LPC_ORDER, whichever is shorter, one
+Rice partition a frame, CRC-8 of each header and CRC-16 of each frame. The decoder also reads other orders, partitions and
+escapes, of 8-bit mono streams whose seek table has each frame; other streams give a row with the fault.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from samplegrid.llm.bpe import slices
 
@@ -21,6 +23,8 @@ FRAME = 1024
 RATE = 8000
 #: The largest Rice quotient that is written; a frame that would need more is stored verbatim.
 QUOTIENT = 24
+#: Order of the linear predictors that are written, and bits of a coefficient.
+LPC_ORDER, LPC_BITS = 4, 12
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -104,6 +108,35 @@ def _put(end: np.ndarray, code: np.ndarray, size: int) -> bytes:
     return high.astype(np.uint64).astype(">u4").tobytes()[2 : 2 + size]
 
 
+def _linear(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, shift, residuals) of a linear predictor for each lane: Levinson's recursion on the autocorrelation."""
+    p, lanes = LPC_ORDER, len(x)
+    f = x.astype(np.float32)
+    r = np.stack([np.einsum("ij,ij->i", f[:, k:], f[:, : f.shape[1] - k]) for k in range(p + 1)], 1).astype(np.float64)
+    a, error = np.zeros((lanes, p)), r[:, 0] + 1e-9
+    for i in range(p):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    top = 1 << (LPC_BITS - 1)
+    shift = (LPC_BITS - 1 - np.frexp(np.maximum(np.abs(a).max(1), 1e-6))[1]).clip(0, 14).astype(np.int32)
+    q = np.rint(a * (1 << shift)[:, None]).clip(-top, top - 1).astype(np.int32)
+    guess = np.zeros((lanes, x.shape[1] - p), np.int32)
+    for j in range(p):
+        guess += q[:, j : j + 1] * x[:, p - 1 - j : x.shape[1] - 1 - j]
+    out = np.zeros_like(x)
+    out[:, p:] = x[:, p:] - (guess >> shift[:, None])
+    out[np.arange(x.shape[1]) >= size[:, None]] = 0
+    return q, shift, out
+
+
+def _rice(folded: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Rice parameter by the mean, bits of all codes) of each lane's `count` residuals; zeros beyond them."""
+    rice = np.floor(np.log2(np.maximum(folded.sum(1, dtype=np.int64) / np.maximum(count, 1), 1))).astype(np.int64).clip(0, 14)
+    return rice, (folded >> rice[:, None].astype(np.int32)).sum(1, dtype=np.int64) + count * (rice + 1)
+
+
 def encode_frames(x: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> list[bytes]:
     """One FLAC frame for each lane, without its CRC-16."""
     lanes = len(x)
@@ -111,33 +144,44 @@ def encode_frames(x: np.ndarray, size: np.ndarray, numbers: np.ndarray) -> list[
     best = np.full(lanes, np.iinfo(np.int64).max)
     order = np.zeros(lanes, np.int64)
     folded = np.zeros(x.shape, np.int32)
-    for p in range(3):
+    for p in range(5):
         r = _residuals(x, size, p)
         f = (r << 1) ^ (r >> 31)
         total = f.sum(1, dtype=np.int64)
         better = (total < best) & (size > p)
         best[better], order[better] = total[better], p
         folded[better] = f[better]
-    # the mean residual gives the Rice parameter
-    rice = np.floor(np.log2(np.maximum(best / np.maximum(size - order, 1), 1))).astype(np.int64).clip(0, 14)
+    rice, bits = _rice(folded, size - order)
+    bits += 8 * order
+    coefficients, lpc_shift, r = _linear(x, size)
+    f = (r << 1) ^ (r >> 31)
+    k, more = _rice(f, size - LPC_ORDER)
+    extra = 9 + LPC_BITS * LPC_ORDER
+    lpc = (size > LPC_ORDER) & (more + 8 * LPC_ORDER + extra < bits)
+    folded[lpc], rice[lpc], order[lpc] = f[lpc], k[lpc], LPC_ORDER
+    bits = np.where(lpc, more + 8 * LPC_ORDER + extra, bits)
     shift = rice[:, None].astype(np.int32)
     q = folded >> shift
-    bits = q.sum(1, dtype=np.int64) + (size - order) * (rice + 1) + 8 * order
     verbatim = (q.max(1) > QUOTIENT) | (bits >= 8 * size)
-    # codes: the subframe's type; method, partition order and parameter before the first residual; raw samples of
-    # 8 bits; residuals as a unary quotient, a one and k bits
+    lpc &= ~verbatim
+    # codes: the subframe's type; raw samples of 8 bits; of a linear predictor precision, shift and coefficients; method, partition
+    # order and parameter before the first residual; residuals as a unary quotient, a one and k bits
     raw = (position < order[:, None]) | verbatim[:, None]
     one = np.int32(1) << shift
     code = np.where(raw, x & 255, one | (folded & (one - 1)))
     width = np.where(raw, 8, q + 1 + shift)
     inside = position < size[:, None]
     width[~inside] = 0
-    room = (8 + np.where(verbatim, 0, 10) + width.sum(1, dtype=np.int64) + 7) // 8
+    between = np.where(verbatim, 0, 10 + extra * lpc)
+    room = (8 + between + width.sum(1, dtype=np.int64) + 7) // 8
     begin = np.cumsum(room) - room
-    end = (8 * begin + 8)[:, None] + np.cumsum(width, 1, dtype=np.int64) + np.where(raw, 0, 10)
+    end = (8 * begin + 8)[:, None] + np.cumsum(width, 1, dtype=np.int64) + np.where(raw, 0, between[:, None])
+    warm = 8 * (begin + 1 + order)
+    kind = np.where(verbatim, 1, np.where(lpc, 31 + LPC_ORDER, 8 + order))
+    at_coefficient = warm[lpc][:, None] + 9 + LPC_BITS * np.arange(1, LPC_ORDER + 1)
     packed = _put(
-        np.concatenate([8 * begin + 8, (8 * (begin + 1 + order) + 10)[~verbatim], end[inside]]),
-        np.concatenate([np.where(verbatim, 1, 8 + order) << 1, rice[~verbatim], code[inside].astype(np.int64)]),
+        np.concatenate([8 * begin + 8, (warm + between)[~verbatim], end[inside], warm[lpc] + 9, at_coefficient.reshape(-1)]),
+        np.concatenate([kind << 1, rice[~verbatim], code[inside].astype(np.int64), (LPC_BITS - 1) << 5 | lpc_shift[lpc], coefficients[lpc].reshape(-1) & (1 << LPC_BITS) - 1]),
         int(room.sum()),
     )
     frames = []
@@ -213,12 +257,21 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
         raise ValueError("a frame fails its CRC-16")
     size, bit = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for i, s in enumerate(starts.tolist()):
-        if data[s] != 0xFF or data[s + 1] != 0xF8 or data[s + 2] >> 4 != 7 or data[s + 3] != 2:
-            raise ValueError("not a mono frame of 8-bit samples and 16-bit block size")
+        if data[s] != 0xFF or data[s + 1] & 0xFE != 0xF8 or data[s + 3] not in (0, 2):
+            raise ValueError("not a mono frame of 8-bit samples")
         _, at = _read_number(data, s + 4)
-        if crc8(data[s : at + 2].tobytes()) != data[at + 2]:
+        # the block size by its code, or in one or two bytes after the number; then up to two bytes of the sample rate
+        coded, more = int(data[s + 2]) >> 4, {12: 1, 13: 2, 14: 2}.get(int(data[s + 2]) & 15, 0)
+        if coded in (6, 7):
+            size[i] = int.from_bytes(data[at : at + coded - 5].tobytes(), "big") + 1
+            at += coded - 5
+        elif coded:
+            size[i] = 192 if coded == 1 else 576 << coded - 2 if coded < 6 else 256 << coded - 8
+        else:
+            raise ValueError("reserved block size")
+        if crc8(data[s : at + more].tobytes()) != data[at + more]:
             raise ValueError("a frame fails its CRC-8")
-        size[i], bit[i] = (int(data[at]) << 8 | int(data[at + 1])) + 1, 8 * (at + 3)
+        bit[i] = 8 * (at + more + 1)
     kind = (_window(words, bit) >> np.uint64(25)).astype(np.int64) & 63
     bit += 8
     fixed, lpc = (kind >= 8) & (kind <= 12), kind >= 32
@@ -355,8 +408,9 @@ def read_stream(stream: bytes) -> tuple[int, bytes, np.ndarray, np.ndarray]:
     return total, md5, seek["sample"].astype(np.int64), np.append(seek["offset"].astype(np.int64) + at, len(stream))
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream (sample + 128), verified by frame checksums and MD5. All frames need a seek point."""
+def decode_blocks(streams: list[bytes]) -> list[tuple[np.ndarray, list[bytes]]]:
+    """(sample offsets, PCM blocks of sample + 128) of each stream by its seek points, verified by frame checksums and MD5. All
+    frames need a seek point."""
     heads = [read_stream(s) for s in streams]
     data = np.frombuffer(b"".join(streams), np.uint8)
     base = np.cumsum([0, *map(len, streams)])
@@ -370,14 +424,32 @@ def decode(streams: list[bytes]) -> list[bytes]:
         blocks += [pcm[i, : size[i]].tobytes() for i in range(len(size))]
     out, first = [], 0
     for total, md5, seek, _ in heads:
-        payload = b"".join(blocks[first : first + len(seek)])
+        own = blocks[first : first + len(seek)]
         first += len(seek)
-        if len(payload) != total or hashlib.md5(bytes(np.frombuffer(payload, np.uint8) ^ np.uint8(128))).digest() != md5:
+        whole = b"".join(own)
+        if len(whole) != total or hashlib.md5(bytes(np.frombuffer(whole, np.uint8) ^ np.uint8(128))).digest() != md5:
             raise ValueError("a stream fails its MD5")
-        out.append(payload)
+        if (np.cumsum([0, *map(len, own)])[:-1] != seek).any():
+            raise ValueError("a seek point names another sample")
+        out.append((seek, own))
     return out
 
 
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload of each stream."""
+    return [b"".join(own) for _, own in decode_blocks(streams)]
+
+
+def read_block(stream: bytes, sample: int) -> tuple[int, bytes]:
+    """(offset of its first sample, PCM) of the block that holds a sample: only that frame is decoded."""
+    _, _, seek, at = read_stream(stream)
+    k = int(np.searchsorted(seek, sample, side="right")) - 1
+    x, size = decode_frames(np.frombuffer(stream[at[k] : at[k + 1]], np.uint8), np.array([0]), np.array([at[k + 1] - at[k]]))
+    if not 0 <= sample - seek[k] < size[0]:
+        raise ValueError("no such sample")
+    return int(seek[k]), (x[0, : size[0]] + 128).astype(np.uint8).tobytes()
+
+
 def payload(text: str | None) -> bytes:
     """The text in UTF-8, with bytes 0 up to a positive multiple of 64."""
     data = (text or "").encode()
@@ -400,20 +472,49 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def pcm(stored: DataFrame) -> DataFrame:
-    """stored's rows with pcm binary, decoded and verified, and features of the samples: their mean, their mean square and
-    their sign changes per sample, with 6 digits."""
+def features(x: bytes) -> str:
+    """Mean, mean square and sign changes per sample, with 6 digits."""
+    s = np.frombuffer(x, np.uint8).astype(np.float64) - 128
+    return f"mean={s.mean():.6f};power={np.mean(s * s):.6f};turns={np.mean((s[1:] < 0) != (s[:-1] < 0)):.6f}"
+
 
-    def features(x: bytes) -> str:
-        s = np.frombuffer(x, np.uint8).astype(np.float64) - 128
-        return f"mean={s.mean():.6f};power={np.mean(s * s):.6f};turns={np.mean((s[1:] < 0) != (s[:-1] < 0)):.6f}"
+def blocks(stored: DataFrame) -> DataFrame:
+    """stored(media, ...) with blocks array<struct<sample_offset long, pcm binary>>, the decoded and verified PCM blocks in order,
+    feature, and fault: null, or why a stream could not be read, with null blocks and feature. Columns of these names are
+    replaced; null media is a fault. No shuffle."""
+    stored = stored.drop("blocks", "feature", "fault")
+
+    def tried(stream: bytes | None):
+        try:
+            return decode_blocks([stream])[0], None
+        except (ValueError, IndexError, TypeError) as fault:
+            return None, str(fault)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "media", 4 << 20):
-                out = decode(part.column("media").to_pylist())
-                columns = [*part.columns, pa.array(out, pa.binary()), pa.array([features(x) for x in out], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "pcm", "feature"])
+                streams = part.column("media").to_pylist()
+                try:
+                    found = [(b, None) for b in decode_blocks(streams)]
+                except (ValueError, IndexError, TypeError):
+                    found = [tried(s) for s in streams]
+                ends = np.cumsum([0, *(0 if b is None else len(b[1]) for b, _ in found)])
+                offsets = pa.array(np.concatenate([np.empty(0, np.int64), *(b[0] for b, _ in found if b is not None)]).astype(np.int64))
+                whole = pa.StructArray.from_arrays([offsets, pa.array([x for b, _ in found if b is not None for x in b[1]], pa.binary())], ["sample_offset", "pcm"])
+                lists = pa.ListArray.from_arrays(pa.array([None if b is None else int(e) for e, (b, _) in zip(ends, found, strict=False)] + [int(ends[-1])], pa.int32()), whole)
+                marks = pa.array([None if b is None else features(b"".join(b[1])) for b, _ in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, marks, pa.array([f for _, f in found], pa.string())], [*part.schema.names, "blocks", "feature", "fault"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
-    return stored.mapInArrow(run, f"{fields}, pcm binary, feature string")
+    return stored.mapInArrow(run, f"{fields}, blocks array<struct<sample_offset: bigint, pcm: binary>>, feature string, fault string")
+
+
+def pcm_blocks(stored: DataFrame) -> DataFrame:
+    """One row for each PCM block: stored's columns but for media, block, sample_offset, pcm. Streams that can't be read have none."""
+    rows = blocks(stored).drop("media", "feature", "fault", "block", "sample_offset", "pcm")
+    return rows.select("*", F.posexplode("blocks").alias("block", "b")).select(*[c for c in rows.columns if c != "blocks"], "block", "b.sample_offset", "b.pcm")
+
+
+def pcm(stored: DataFrame) -> DataFrame:
+    """blocks(), with pcm, the blocks put together; null where a stream could not be read."""
+    return blocks(stored).withColumn("pcm", F.expr("aggregate(blocks, cast('' as binary), (a, b) -> concat(a, b.pcm))"))

@@ -6,10 +6,11 @@
 3. Bands become buckets. In every bucket the other members are paired with up to three leaders. Bit counts of the
    signatures' exclusive-or give a collision-corrected estimate; pairs six standard errors under the threshold go.
    The others are confirmed on full sets.
-4. Components of confirmed links show which buckets are settled. In the others, members of different components
-   meet in blocks of bounded size: by signature, then on full sets at once. A block returns the links that join its
-   components, fewer than it has members. So no link between different texts that share a band is lost, and no
-   group is expanded into its pairs.
+4. Components of confirmed links show which buckets are settled. In the others, members outside the bucket's largest
+   component meet all members of other components, in blocks of bounded size: by signature, then on full sets at once. A
+   block returns the links that join its components, fewer than it has members. So no link between different texts that
+   share a band is lost, and no group is expanded into its pairs. With s strangers among n members, (s / BLOCK) * n rows and
+   s * n comparisons of signatures are made: linear for few strangers, quadratic where most members of a bucket stay unlinked.
 
 At the threshold 0.85, a pair shares none of 32 bands of 4 with probability (1 - 0.85^4)^32 = 6e-11.
 """
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplegrid.llm.bpe import slices
-from samplegrid.llm.common import connected_components, discard, map_arrow, materialize, small
+from samplegrid.llm.common import by_key, connected_components, discard, map_arrow, materialize, small
 
 HASHES, BANDS, BITS = 128, 32, 4
-#: Members of a block in an unsettled bucket.
-BLOCK = 256
+#: Members of a block in an unsettled bucket, and shingles of all its members.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Pairs that meet one copy of a leader's set.
+FAN = 1000
 
 _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(1, 2**63, 256, np.uint64)
@@ -202,15 +205,26 @@ def agreement(a: str, b: str):
     return F.expr(f"{HASHES} - aggregate(zip_with({a}, {b}, (x, y) -> bit_count(({folded}) & 1229782938247303441)), 0, (s, c) -> s + c)")
 
 
+def whole_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of ids(doc_id); a doc_id that repeats with different texts has a row for each set."""
+    wanted = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    return materialize(full_sets(wanted, k).withColumn("f", F.xxhash64("shingles")).dropDuplicates(["doc_id", "f"]).drop("f"), "sets")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of the (a, b), those with 100 * intersection >= percent * union of their full sets."""
+    """Of the (a, b), those with 100 * intersection >= percent * union of their full sets. b may stand in many pairs: its set
+    is copied, once for FAN pairs, so that they don't meet in one task."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    wanted = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    sets = materialize(full_sets(wanted, k), "sets").dropDuplicates(["doc_id"])
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.withColumn("i", F.expr("size(array_intersect(sa, sb))"))
-    return both.where(f"100 * i >= {percent} * (size(sa) + size(sb) - i)").select("a", "b")
+    sets = whole_sets(ids, docs, k)
+    fan = materialize(pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / FAN)), "fan")
+    total = fan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    both = by_key(pairs, fan, "b", total).selectExpr("a", "b", "pmod(xxhash64(a), salts) salt")
+    both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    copies = sets.join(fan.selectExpr("b doc_id", "salts"), "doc_id").selectExpr("doc_id b", "shingles sb", "explode(sequence(0L, salts - 1)) salt")
+    both = both.join(copies, ["b", "salt"]).withColumn("i", F.expr("size(array_intersect(sa, sb))"))
+    out = materialize(both.where(f"100 * i >= {percent} * (size(sa) + size(sb) - i)").select("a", "b").distinct(), "links")
+    discard(ids, sets, fan)
+    return out
 
 
 def _block_links(pdf, least: int, percent: int):
@@ -256,42 +270,59 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     least = least_agreement(percent / 100)
     sig = materialize(signatures(docs, k), "sig")
     known = sig.where("doc_id is not null and n_shingles > 0")
-    reps = known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = materialize(known.select("doc_id", "fp1", "fp2", "n_shingles").join(reps, ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep"), "member")
+    same = ["fp1", "fp2", "n_shingles"]
+    reps = materialize(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    member = materialize(by_key(known.select("doc_id", *same), reps, same, total).select("doc_id", "rep"), "member")
     own = known.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    bands = own.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
+    bands = own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key")).groupBy("rep", "key").agg(F.max("size").alias("size"))
+    bands = materialize(bands, "bands")
     # by an order of all documents, so that few different leaders serve the many buckets of one family
     order = F.xxhash64("rep")
     leaders = bands.groupBy("key").agg(
         F.count("*").alias("n"), F.min("rep").alias("l1"), F.max("rep").alias("l2"), F.min(F.struct(order.alias("o"), F.col("rep").alias("l"))).alias("l3")
     )
-    leaders = leaders.where("n > 1").select("key", "n", F.array_distinct(F.array("l1", "l2", "l3.l")).alias("leaders"))
-    buckets = materialize(bands.join(leaders, "key"), "buckets")
-    stars = buckets.select("rep", F.explode("leaders").alias("l")).where("rep != l")
-    stars = stars.select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b")).distinct()
-    signs = materialize(own.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "signs")
-    stars = stars.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("s1")), "a")
-    stars = stars.join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("s2")), "b")
-    stars = materialize(stars.where(agreement("s1", "s2") >= least).select("a", "b"), "stars")
-    links = materialize(confirm(stars, docs, percent, k), "links")
+    leaders = materialize(leaders.where("n > 1").select("key", "n", F.array_distinct(F.array("l1", "l2", "l3.l")).alias("leaders")), "leaders")
+    total = leaders.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = materialize(by_key(bands, leaders, "key", total), "buckets")
+    discard(reps, bands, leaders)
+    # (a, b): b leads a; a document has at most three leaders in each of its buckets, a leader may have many followers
+    stars = buckets.select(F.col("rep").alias("a"), F.explode("leaders").alias("b")).where("a != b").distinct()
+    stars = materialize(stars, "pairs")
+    signs = materialize(own.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "sig").distinct(), "signs")
+    fan = stars.groupBy("b").agg(F.count("*").alias("n"))
+    fan = materialize(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("s2")).join(fan, "b"), "fan")
+    total = fan.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    followed = by_key(stars, fan, "b", total).join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("s1")), "a")
+    near = materialize(followed.where(agreement("s1", "s2") >= least).select("a", "b").distinct(), "near")
+    links = confirm(near, docs, percent, k)
     comp = materialize(connected_components(links), "comp")
+    discard(stars, fan, near, links)
 
     now = buckets.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    now = now.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = now.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2 and n > 2")
-    parts = F.ceil(F.col("n") / BLOCK)
-    rest = now.join(open_, "key").select("key", "rep", "comp", parts.alias("parts"), F.expr(f"pmod(xxhash64(rep), ceil(n / {BLOCK}))").alias("part"))
-    rest = materialize(rest, "rest")
-    if rest.limit(1).count():
+    now = now.select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
+    # of each open bucket: members and shingles inside and outside its largest component
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("key")
+    parts = parts.agg(F.max(F.struct("n", "size", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("comps")).where("comps > 1 and n > 2")
+    count = f"cast(greatest(ceil(({{0}}) / {BLOCK}), ceil(({{1}}) / {BLOCK_SHINGLES})) as int)"
+    parts = parts.selectExpr("key", "n", "main.comp main", count.format("n - main.n", "size - main.size") + " others", count.format("main.n", "main.size") + " mains")
+    parts = materialize(parts, "parts")
+    if parts.limit(1).count():
+        now = materialize(now.join(small(parts.select("key")), "key", "left_semi"), "open")
+        total = parts.agg(F.sum("n")).first()[0]
+        # parts 0 .. others - 1 hold the members outside the largest component, the following ones those inside. A part p of the
+        # former meets all parts q >= p: as the left side of (p, q), or as both sides if p = q
+        rest = by_key(now, parts, "key", total).selectExpr("*", "if(comp = main, others + pmod(xxhash64(rep), mains), pmod(xxhash64(rep), others)) part")
+        rest = rest.selectExpr("key", "rep", "comp", "part", "explode(sequence(0, if(comp = main, others, others + mains) - 1)) q")
+        rest = materialize(rest.selectExpr("key", "least(part, q) p", "greatest(part, q) q", "case when part = q then 2 when part < q then 0 else 1 end side", "rep", "comp"), "rest")
         ids = materialize(rest.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-        wanted = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(small(ids), "doc_id", "left_semi")
-        sets = materialize(full_sets(wanted, k), "sets").dropDuplicates(["doc_id"]).join(signs, "doc_id").withColumnRenamed("doc_id", "rep")
-        # a member of part p meets the parts q: as the left side of (p, q) if p < q, as the right side of (q, p) if q < p
-        rest = rest.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
-        rest = rest.selectExpr("key", "least(part, q) p", "greatest(part, q) q", "case when part = q then 2 when part < q then 0 else 1 end side", "rep", "comp").join(sets, "rep")
-        more = rest.groupBy("key", "p", "q").applyInPandas(lambda pdf: _block_links(pdf, least, percent), "a long, b long").distinct()
+        sets = whole_sets(ids, docs, k)
+        rest = rest.join(sets.join(signs, "doc_id").withColumnRenamed("doc_id", "rep"), "rep")
+        more = materialize(rest.groupBy("key", "p", "q").applyInPandas(lambda pdf: _block_links(pdf, least, percent), "a long, b long").distinct(), "more")
         ends = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comp = materialize(connected_components(more.unionByName(ends)), "comp")
+        done, comp = comp, materialize(connected_components(more.unionByName(ends)), "comp")
+        discard(now, ids, sets, more, done)
+    discard(buckets, signs, parts)
     # copies of a set follow their representative; a repeated doc_id may stand in more than one set
     split = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2"))
     bridges = split.where("rep != rep2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
@@ -299,10 +330,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     if bridges.limit(1).count():
         ends = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comp = materialize(connected_components(bridges.unionByName(ends)), "comp")
-    label = split.select("doc_id", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    split = materialize(split.select("doc_id", "rep"), "split")
+    copies = split.groupBy("rep").agg(F.count("*").alias("n")).join(comp.select(F.col("node").alias("rep"), "component"), "rep")
+    label = by_key(split, materialize(copies, "copies"), "rep", split.count(), "left")
     label = label.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    for done in (buckets, stars, links):
-        discard(done)
+    discard(member, bridges)
     out = sig.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -43,7 +43,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(table(spark, sf_dir, "pages"), every=True).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +107,47 @@ ORACLE = {
 }
 
 
+def _escaped(c: str) -> str:
+    """chat.escape() without lookahead: backslashes first, then each control string; nested brackets from the outside in."""
+    c = f"replace({c}, '\\', '\\\\')"
+    for pattern, mark in ((r"<(/?s>)", "l"), (r"<(\|)", "l"), *[(r"<(/?<?/?<?/?SYS>)", "l")] * 3, (r"\[(/?INST\])", "b")):
+        c = f"regexp_replace({c}, '{pattern}', '\\\\{mark}\\1', 'g')"
+    return c
+
+
+ORACLE["op9_chat"] = f"""
+    with r as (select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') role, coalesce(text, '') body from conversations
+               union all select * from (values (-1::bigint, 0::bigint, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+         e as (select *, length('<|turn|>' || {_escaped("role")} || chr(10) || {_escaped("body")} || '<|end|>' || chr(10)) size from r),
+         g as (select conv_id, count(*) n_turns, string_agg(role || chr(10) || body || chr(10), '' order by turn, role, body) turns,
+                      coalesce(string_agg(body, '' order by turn, role, body) filter (role = 'assistant'), '') loss, sum(size)::bigint size from e group by conv_id)
+    select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, size formatted_chars from g"""
+
+
+def _secrets_sql() -> str:
+    """Positions are sums of the lengths of the parts between matches and of the matches before; RE2 needs no lookbehind, as
+    a greedy match takes its whole run."""
+    patterns = {k: p for k, (p, _) in secrets.BASE.items()} | secrets.WEAK
+    quote = lambda p: "'" + p.replace("(?<![A-Za-z0-9+/_-])", "").replace("'", "''") + "'"
+    each = " union all ".join(
+        f"select doc_id, {i} rank, '{k}' kind, '{secrets.ROLE[k]}' role, string_split_regex(t, {quote(patterns[k])}) g, regexp_extract_all(t, {quote(patterns[k])}) ms from d" for i, k in enumerate(secrets.KINDS)
+    )
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank, e){}, '')"
+    base = f"rank < {len(secrets.BASE)}"
+    return f"""
+    with d as (select doc_id, coalesce(text, '') t from documents), m as ({each}), i as (select *, unnest(range(1, len(ms) + 1)) i from m where len(ms) > 0),
+         x as (select doc_id, rank, kind, role, ms[i] m, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::int s from i),
+         p as (select *, s + length(m) e from x where case kind when 'assign' then length(regexp_extract(m, {quote(patterns["assign"])}, 1)) >= 6
+             when 'mixed' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') else true end),
+         w as (select a.doc_id, a.rank, a.kind, a.s, a.e from p a join p b on a.doc_id = b.doc_id and a.role <> b.role and abs(a.s - b.s) <= {secrets.SCOPE}
+             where not a.{base} group by all having bool_or(b.role = 'secret') or any_value(a.role) = 'secret'),
+         f as (select doc_id, rank, kind, s, e from p where {base} union all select doc_id, rank, kind, s, e from w),
+         h as (select doc_id, count(*) filter (rank = 0) a, count(*) filter (rank = 1) b, count(*) filter (rank = 2) c, {listed.format(f" filter ({base})")} base, {listed.format("")} spans from f group by doc_id)
+    select doc_id, coalesce(a, 0) n_assign, coalesce(b, 0) n_access, coalesce(c, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join h using (doc_id)"""
+
+
+ORACLE["op10_secrets"] = _secrets_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return ORACLE

@@ -35,6 +35,8 @@ WEAK_KEEP = {"mixed": "x.m rlike '[0-9]' and x.m rlike '[A-Z]' and x.m rlike '[a
 VALUE = {k: "x.start + length(x.m) - length(regexp_extract(x.m, p, 1))" for k in ("assign", "ident")}
 ROLE = {"assign": "secret", "hex": "secret", "mixed": "secret", "access": "ident", "ident": "ident", "endpoint": "endpoint"}
 KINDS = [*BASE, *WEAK]
+#: Matches of a text whose offsets are summed up at a time.
+CHUNK = 256
 
 
 def _sql(s: str) -> str:
@@ -43,15 +45,18 @@ def _sql(s: str) -> str:
 
 def _spans(kind: str, pattern: str, keep: str = "true") -> str:
     """SQL: array<struct<start, end, rank, cut>> of the pattern's matches in `text`, in code points, end exclusive; redaction
-    takes cut to end. The texts between the matches and the matches themselves give the offsets."""
+    takes cut to end. The texts between the matches and the matches themselves give the offsets, summed up in chunks, as a
+    fold copies its array with each match."""
     p = _sql(pattern)
     cut = VALUE.get(kind, "x.start").replace("x.start", "s.at + x.gap").replace("(x.m, p,", f"(x.m, {p},")
-    return f"""case when text rlike {p} then filter(aggregate(
-        zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('gap', length(g), 'm', m)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,rank:int,cut:int,ok:boolean>>)),
-        (s, x) -> named_struct('at', s.at + x.gap + coalesce(length(x.m), 0), 'out', if(x.m is null, s.out, concat(s.out, array(named_struct(
-            'start', s.at + x.gap, 'end', s.at + x.gap + length(x.m), 'rank', {KINDS.index(kind)}, 'cut', {cut}, 'ok', {keep.replace('(m, p,', f'(x.m, {p},')}))))),
-        s -> s.out), x -> x.ok) else array() end"""
+    span = f"""named_struct('start', s.at + x.gap, 'end', s.at + x.gap + length(x.m), 'rank', {KINDS.index(kind)}, 'cut', {cut}, 'ok', {keep.replace('(m, p,', f'(x.m, {p},')})"""
+    spans = "array<struct<start:int,end:int,rank:int,cut:int,ok:boolean>>"
+    fold = f"""aggregate(c, named_struct('at', a.at, 'out', cast(array() as {spans})),
+        (s, x) -> named_struct('at', s.at + x.gap + coalesce(length(x.m), 0), 'out', if(x.m is null, s.out, concat(s.out, array({span})))))"""
+    pairs = f"zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('gap', length(g), 'm', m))"
+    chunks = f"transform(array({pairs}), z -> transform(sequence(0, (size(z) - 1) div {CHUNK}), i -> slice(z, i * {CHUNK} + 1, {CHUNK})))[0]"
+    return f"""case when text rlike {p} then filter(flatten(aggregate({chunks}, named_struct('at', 0, 'out', cast(array() as array<{spans}>)),
+        (a, c) -> transform(array({fold}), r -> named_struct('at', r.at, 'out', concat(a.out, array(r.out))))[0], a -> a.out)), x -> x.ok) else array() end"""
 
 
 def _text(spans: str) -> str:

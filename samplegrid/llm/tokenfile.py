@@ -117,7 +117,7 @@ class Library:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.splitter = Splitter(json.load(f))
+            self.splitter = Splitter(json.load(f), path)
         self.model = Tokenizer.from_file(path).model
         self.letters = byte_alphabet()
         self.words = Memo(self.word, 300_000)

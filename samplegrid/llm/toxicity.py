@@ -21,8 +21,7 @@ from samplegrid.llm.common import map_arrow
 
 #: Bound of the labelled sample: documents of each class, chosen by a hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
-#: Bound of the lexicon.
-TERMS = 2000
+#: Letters of the word beginnings that may become terms.
 SHORTEST, LONGEST = 4, 12
 #: Characters on either side of a term in which signs of quotation count.
 CONTEXT = 48
@@ -148,7 +147,7 @@ class Scorer:
                 continue
             before, after = low[max(0, m.start() - CONTEXT) : m.start()], low[m.end() : m.end() + CONTEXT]
             wrapped = before[-1:] in QUOTES and after[:1] in QUOTES and before[-1:] and after[:1]
-            if wrapped or REPORTING.search(before[-24:]):
+            if wrapped or REPORTING.search(before):
                 mentioned += w
             else:
                 used += w
@@ -223,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     ratio = F.col("toxic") * F.log(F.col("toxic") / n / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - share))).otherwise(0.0)
     odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
     found = counts.where(F.col("toxic") > 2).withColumn("ratio", ratio).where((F.col("ratio") >= 9) & (odds >= 2.5))
-    rows = found.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
+    rows = found.collect()  # beginnings of the bounded sample's words
     terms, weights = lexicon(rows, t, c)
     model = Model(terms, weights, [0.0] * Scorer.FEATURES)
 

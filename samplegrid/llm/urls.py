@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplegrid.llm.common import connected_components, materialize
+from samplegrid.llm.common import BROADCAST_ROWS, by_key, connected_components, discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,36 +69,48 @@ def rule(rules: list[tuple[str, str, str]] = RULES):
     return out
 
 
-def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, every: bool = False) -> DataFrame:
     """(a, b): addresses that stand for each other, from canonical links and meta refreshes of the pages and from
-    redirects(source, target). Of several canonical links in one order of attributes the first counts; all refreshes count.
-    Relative targets are resolved against the page; links to the same address give no edge."""
+    redirects(source, target). All refreshes count; of several canonical links of a page all count if `every`, else the first
+    in each order of attributes. Relative targets are resolved against the page, &amp; is read as &; links to the same
+    address give no edge."""
     html = F.coalesce("html", F.lit(""))
-    targets = F.concat(F.array(*(F.regexp_extract(html, p, 1) for p in CANONICAL)), *(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in REFRESH))
+    canonical = F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in CANONICAL)) if every else F.array(*(F.regexp_extract(html, p, 1) for p in CANONICAL))
+    targets = F.concat(canonical, *(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in REFRESH))
     # few pages have such links; the others are passed by with one search
     found = pages.where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv\s*=\s*[\"']?refresh")).select("url", F.explode(targets).alias("target"))
     if redirects is not None:
         found = found.union(redirects.select(F.col("source").alias("url"), "target"))
-    found = found.where("target <> ''").select("url", resolve("url", "target").alias("target"))
+    found = found.where("target <> ''").select("url", F.replace("target", F.lit("&amp;"), F.lit("&")).alias("target"))
+    found = found.select("url", resolve("url", "target").alias("target"))
     return found.select(identity("url").alias("a"), identity("target").alias("b")).where("a <> '' and b <> '' and a <> b").distinct()
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, every: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, by) for every row of pages(page_id, url, html, ...).
 
     by: rule, alias or default. Null or hostless URLs fit no rule and have no aliases: allowed by default. Repeated rows
-    are judged alike; null page_ids are kept; other columns are not read; an empty table gives an empty result.
+    are judged alike; null page_ids are kept; other columns are not read; an empty table gives an empty result. every: see
+    alias_edges().
     """
     own = pages.select("page_id", "url").withColumn("host", host("url")).withColumn("path", path("url"))
     own = own.withColumn("r", rule(rules)).withColumn("id", identity("url"))
-    edges = materialize(alias_edges(pages.select("url", "html"), redirects), "aliases")
+    edges = materialize(alias_edges(pages.select("url", "html"), redirects, every), "aliases")
     comp = materialize(connected_components(edges), "addresses")
-    # decisions of the linked addresses only; a grouped maximum, so a huge component never meets in one task
+    # decisions of the linked addresses only: grouped maxima by address, then by component
     linked = comp.select(F.col("node").alias("id"), "component")
-    decided = own.where("r is not null and id <> ''").select("id", (F.col("r.kind") == "allow").cast("int").alias("allowed"))
-    known = decided.join(linked, "id").groupBy("component").agg(F.max("allowed").alias("allowed"))
-    inherited = linked.join(known, "component").select("id", "allowed")
-    out = own.join(inherited, "id", "left")
+    decided = own.where("r is not null and id <> ''").groupBy("id").agg(F.max((F.col("r.kind") == "allow").cast("int")).alias("allowed"))
+    known = linked.join(decided, "id").groupBy("component").agg(F.max("allowed").alias("allowed"))
+    known = materialize(linked.groupBy("component").agg(F.count("*").alias("n")).join(known, "component"), "known")
+    inherited = materialize(by_key(linked, known, "component", comp.count()).select("id", "allowed"), "inherited")
+    if inherited.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        out = own.join(F.broadcast(inherited), "id", "left")
+    else:
+        # popular addresses and pages without a host are not gathered
+        hosted = own.where("id <> ''")
+        pages_of = inherited.join(hosted.groupBy("id").agg(F.count("*").alias("n")), "id")
+        out = by_key(hosted, materialize(pages_of, "popular"), "id", pages.count(), "left").unionByName(own.where("id = ''").withColumn("allowed", F.lit(None).cast("int")))
+    discard(edges, known)
     verdict = F.when(F.col("r").isNotNull(), F.col("r.kind")).when(F.col("allowed") == 0, "block").otherwise("allow")
     by = F.when(F.col("r").isNotNull(), "rule").when(F.col("allowed").isNotNull(), "alias").otherwise("default")
     return out.select("page_id", "host", "path", F.col("r.text").alias("rule"), verdict.alias("verdict"), by.alias("by"))

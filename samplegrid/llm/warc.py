@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplegrid.llm.bpe import slices
-from samplegrid.llm.common import materialize, scratch_path
+from samplegrid.llm.common import BROADCAST_ROWS, by_key, materialize, scratch_path
 
 #: Payloads of so many bytes at least are stored once; later copies become revisit records.
 REVISIT_BYTES = 1000
@@ -88,26 +88,36 @@ def take_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
 
 def inflate(file, size: int = PIECE) -> Iterator[bytes]:
     """The bytes of a gzip file of one or more members, in pieces of at most `size` bytes."""
-    z = zlib.decompressobj(31)
+    z, ended = zlib.decompressobj(31), True
     while data := file.read(size):
         while data:
             yield z.decompress(data, size)
             data = z.unconsumed_tail
             if z.eof:
                 data = z.unused_data
-                z = zlib.decompressobj(31)
+                z, ended = zlib.decompressobj(31), True
+            else:
+                ended = False
+    if not ended:
+        raise ValueError("a gzip stream ends within a member")
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """pages(page_id, url, html) with payload_digest, record_type and refers_to. Of equal payloads of at least `least`
-    bytes the largest page_id is the response (null ids never are, unless all are null). The digests' maximum is
-    grouped before the join, so a payload shared by many pages never meets in one task."""
+    bytes the largest page_id is the response (null ids never are, unless all are null). Only digests that occur twice or
+    more are joined back: by a broadcast if there are few, else by a shuffle that leaves hot digests out, so that the pages of one payload
+    never meet in one task."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", F.sha1(F.encode("html", "utf-8")))
-    large = rows.where(F.octet_length("html") >= least)
-    first = large.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = rows.join(first, "payload_digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least)
+    size = F.octet_length("html")
+    first = rows.where(size >= least).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "first")
+    digests, total = first.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if digests <= BROADCAST_ROWS:
+        out = rows.join(F.broadcast(first.drop("n")), "payload_digest", "left")
+    else:
+        out = by_key(rows.where(size >= least), first, "payload_digest", total, "left").unionByName(rows.where(size < least).withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (size >= least)
     return out.select(
         "page_id", "url", "html", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
     )
@@ -135,7 +145,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrites each file of files(file) from folder source to folder target, one gzip member a record; returns the index
-    (file, offset, length, record_type, page)."""
+    (file, offset, length, record_type, record_id). A stream that is cut off or broken keeps the records before the fault, and
+    has one more row of type error, without a length, whose record_id is the fault."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +154,14 @@ def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
                 fs, path = pa.fs.FileSystem.from_uri(source)
                 out, rows = File(target, name), []
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as file:
-                    for head, whole in take_records(inflate(file)):
-                        z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                        at = out.at
-                        out.write(z.compress(whole) + z.flush())
-                        rows.append((name, at, out.at - at, head["WARC-Type"], head["WARC-Record-ID"]))
+                    try:
+                        for head, whole in take_records(inflate(file)):
+                            z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                            at = out.at
+                            out.write(z.compress(whole) + z.flush())
+                            rows.append((name, at, out.at - at, head["WARC-Type"], head["WARC-Record-ID"]))
+                    except (ValueError, KeyError, zlib.error) as fault:
+                        rows.append((name, out.at, None, "error", str(fault)))
                 out.close()
                 for k in range(0, len(rows), 10_000):
                     columns = list(zip(*rows[k : k + 10_000], strict=True))
@@ -160,7 +174,8 @@ def normalise(files: DataFrame, source: str, target: str) -> DataFrame:
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """(record_id, record_type, payload_bytes, payload_digest, refers_to, url) of each index row, from the archives.
 
-    The digest of a response is computed from its block and checked against its header; a revisit has it in its header."""
+    The digest of a response is computed from its block and checked against its header; a revisit has it in its header.
+    Rows of type error are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pa.fs.FileSystem.from_uri(folder)
@@ -182,7 +197,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["record_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url"])
 
-    return index.mapInArrow(run, "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, url string")
+    return index.where("record_type <> 'error'").mapInArrow(run, "record_id string, record_type string, payload_bytes long, payload_digest string, refers_to string, url string")
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, str]:
