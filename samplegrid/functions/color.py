@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import struct
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Triple = tuple[Column, Column, Column]
 
+
+def single(x: float) -> float:
+    """The double next to a number of single precision."""
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
 #: out = matrix * (in - before) + after, row by row.
 AFFINE = {
+    "from_ycbcr24": ([(1.164, -0.0017, 1.596), (1.164, -0.3914, -0.813), (1.164, 2.0178, 0.001)], (16, 128, 128), (0, 0, 0)),
     "ycbcr": ([(0.257, 0.504, 0.098), (-0.148, -0.291, 0.439), (0.439, -0.368, -0.071)], (0, 0, 0), (16, 128, 128)),
     "from_yuv": ([(1.164, 0, 1.596), (1.164, -0.392, -0.813), (1.164, 2.017, 0)], (16, 128, 128), (0, 0, 0)),
     "lpqg": ([(0.25, 0.5, 0.25), (0.5, 0.5, -1), (1, -1, 0)], (0, 0, 0), (0, 0, 0)),
     "from_lpqg": ([(1, 0.25, 0.625), (1, 0.25, -0.375), (1, -0.75, 0.125)], (0, 0, 0), (0, 0, 0)),
-    "exp": ([(0.144547, 0.291612, 0.0638407), (-0.1649, -0.270198, 0.435098), (0.435098, -0.382359, -0.0527391)], (0, 0, 0), (64, 128, 128)),
+    "exp_of_bgr": ([(0.0638407, 0.291612, 0.144547), (0.435098, -0.270198, -0.1649), (-0.0527391, -0.382359, 0.435098)], (0, 0, 0), (64, 128, 128)),
     "from_exp": ([(2, -0.1, 1.596), (2, -0.392, -0.813), (2, 2.017, 0.1)], (64, 128, 128), (0, 0, 0)),
     "xyz_of_linear": ([(0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.072175), (0.0193339, 0.119192, 0.9503041)], (0, 0, 0), (0, 0, 0)),
     "linear_of_xyz": ([(3.2404542, -1.5371385, -0.4985374), (-0.969266, 1.8760108, 0.041556), (0.0556434, -0.2040259, 1.0572252)], (0, 0, 0), (0, 0, 0)),
@@ -26,6 +35,9 @@ AFFINE = {
     "roots_of_oklab": ([(1, 0.3963377774, 0.2158037573), (1, -0.1055613458, -0.0638541728), (1, -0.0894841775, -1.291485548)], (0, 0, 0), (0, 0, 0)),
     "linear_of_lms": ([(4.0767245293, -3.3072168827, 0.2307590544), (-1.2681437731, 2.6093323231, -0.341134429), (-0.0041119885, -0.7034763098, 1.7068625689)], (0, 0, 0), (0, 0, 0)),
 }
+#: Fixed: these coefficients are of single precision.
+for _name in ("oklab_lms", "oklab_of_roots"):
+    AFFINE[_name] = ([tuple(map(single, row)) for row in AFFINE[_name][0]], *AFFINE[_name][1:])
 
 
 def affine(name: str, *c) -> Triple:
@@ -48,6 +60,23 @@ def to_ycbcr24(r, g, b) -> Triple:
     return tuple(clip(c) for c in affine("ycbcr", r, g, b))
 
 
+def from_ycbcr24(y, cb, cr) -> Triple:
+    return tuple(clip(c) for c in affine("from_ycbcr24", y, cb, cr))
+
+
+def to_ycbcr16(r, g, b) -> Column:
+    """6 bits of luma, 5 of each chroma, in one whole number."""
+    y, cb, cr = to_ycbcr24(r, g, b)
+    return F.shiftright(y, 2) * 1024 + F.shiftright(cb, 3) * 32 + F.shiftright(cr, 3)
+
+
+def from_ycbcr16(c) -> Triple:
+    """The low bits are zero; other factors than in 24 bits, as published."""
+    (c,) = _cols(c)
+    y, cb, cr = F.shiftright(c, 10).bitwiseAND(F.lit(63)) * 4, F.shiftright(c, 5).bitwiseAND(F.lit(31)) * 8, c.bitwiseAND(F.lit(31)) * 8
+    return tuple(clip(x) for x in affine("from_yuv", y, cb, cr))
+
+
 def to_yuv(r, g, b) -> Triple:
     return affine("ycbcr", r, g, b)
 
@@ -136,13 +165,77 @@ def rgb565_to_yuv(c) -> Triple:
 
 
 def to_exp(r, g, b) -> Triple:
-    return tuple(clip(c) for c in affine("exp", r, g, b))
+    """The terms are summed from blue to red, which decides some cuts."""
+    return tuple(clip(c) for c in affine("exp_of_bgr", b, g, r))
 
 
 def from_exp(x, y, z) -> Triple:
     return tuple(clip(c) for c in affine("from_exp", x, y, z))
 
 
+#: Perceived weight of red, green and blue; what counts as noise.
+HSP, NOISE = (0.299, 0.587, 0.114), 0.03
+
+
+def to_hsp(r, g, b) -> Triple:
+    """Hue, saturation and perceived brightness, 0..255. Hue is 0 for greys and at low saturation, both are for very dark."""
+    raw = [c.cast("double") for c in _cols(r, g, b)]
+    rgb = [c / 255.0 for c in raw]
+    bright = F.sqrt(rgb[0] * rgb[0] * HSP[0] + rgb[1] * rgb[1] * HSP[1] + rgb[2] * rgb[2] * HSP[2])
+    grey = (F.abs(raw[0] - raw[1]) < NOISE) & (F.abs(raw[0] - raw[2]) < NOISE)
+
+    def hue(k: int) -> Column:
+        # the largest channel's turn, less or more a sixth of the distance of its neighbours on the circle
+        top, after, before = rgb[k], rgb[(k + 1) % 3], rgb[(k + 2) % 3]
+        back = F.lit(2 * k / 6 if k else 1.0) - (before - after) * (1 / 6) / F.nullif(top - after, F.lit(0.0))
+        ahead = F.lit(2 * k / 6) + (after - before) * (1 / 6) / F.nullif(top - before, F.lit(0.0))
+        return F.when(before >= after, back).otherwise(ahead)
+
+    largest = F.greatest(*rgb)
+    h = F.when(rgb[0] >= largest, hue(0)).when(rgb[1] >= largest, hue(1)).otherwise(hue(2))
+    s = F.when(grey | (bright < NOISE), 0.0).otherwise(1.0 - F.least(*rgb) / F.nullif(largest, F.lit(0.0)))
+    h = F.when(grey | (s < NOISE), 0.0).otherwise(h)
+    return clip(h * 255), clip(s * 255), clip(bright * 255)
+
+
+def from_hsp(h, s, p) -> Triple:
+    """Doubles, which may exceed 255. Each sixth of the circle orders the channels from the largest to the smallest."""
+    h, s, p = (c.cast("double") / 255.0 for c in _cols(h, s, p))
+    m = 1.0 - s
+    out = [F.lit(None).cast("double")] * 3
+    for k, (top, middle, low) in reversed(list(enumerate([(0, 1, 2), (1, 0, 2), (1, 2, 0), (2, 1, 0), (2, 0, 1), (0, 2, 1)]))):
+        f = (h - k / 6) * 6.0 if k % 2 == 0 else (-h + (k + 1) / 6) * 6.0
+        part = f * (1.0 / F.nullif(m, F.lit(0.0)) - 1.0) + 1.0
+        least = p / F.sqrt(HSP[top] / m / m + part * part * HSP[middle] + HSP[low])
+        pure = F.sqrt(p * p / (f * f * HSP[middle] + HSP[top]))
+        most = F.when(m > 0, least / F.nullif(m, F.lit(0.0))).otherwise(pure)
+        own = {top: most, middle: F.when(m > 0, least + f * (most - least)).otherwise(pure * f), low: F.when(m > 0, least).otherwise(0.0)}
+        out = [F.when(h < (k + 1) / 6 if k < 5 else F.lit(True), own[i]).otherwise(out[i]) for i in range(3)]
+    return tuple(c * 255 for c in out)
+
+
+def to_hcl(r, g, b) -> Triple:
+    """Hue in degrees, chroma and luma 0..1."""
+    r, g, b = (c.cast("double") for c in _cols(r, g, b))
+    luma, most, chroma = (r * 0.30 + g * 0.59 + b * 0.11) / 255.0, F.greatest(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
+    span = F.nullif(chroma, F.lit(0.0))
+    hue = F.when(most == r, F.pmod((g - b) / span, F.lit(6.0))).when(most == g, (b - r) / span + 2).otherwise((r - g) / span + 4)
+    return F.when(chroma > 0, hue * 60).otherwise(0.0), F.when(chroma > 0, chroma / 255).otherwise(0.0), luma
+
+
+def from_hcl(hue, chroma, luma) -> Triple:
+    """Chroma and luma 0..255 (asymmetric, as published); without chroma a double grey, else clipped."""
+    hue, chroma, luma = (c.cast("double") for c in _cols(hue, chroma, luma))
+    c, light = chroma * (1 / 255), luma * (1 / 255)
+    turn = F.pmod(hue / 60, F.lit(6.0))
+    second, none = c * (F.lit(1.0) - F.abs(turn % 2 - 1)), F.lit(0.0)
+    parts = [none, none, none]
+    for k, order in reversed(list(enumerate([(c, second, none), (second, c, none), (none, c, second), (none, second, c), (second, none, c), (c, none, second)]))):
+        parts = [F.when(turn < k + 1, own).otherwise(other) for own, other in zip(order, parts, strict=True)]
+    base = light - (parts[0] * 0.30 + parts[1] * 0.59 + parts[2] * 0.11)
+    return tuple(F.when(c <= 0, light * 255).otherwise(clip((x + base) * 255)) for x in parts)
+
+
 def linear(c: Column) -> Column:
     """sRGB 0..1 to linear light."""
     return F.when(c >= 0.04045, F.pow((c + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 12.92)
@@ -153,6 +246,17 @@ def gamma(c: Column) -> Column:
     return F.when(c >= 0.0031308, F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055).otherwise(c * 12.92)
 
 
+def linear_of_byte(c: Column) -> Column:
+    """sRGB 0..255, cut to a whole number, to linear light."""
+    return linear(c.cast("int") / 255.0)
+
+
+def byte_of_linear(c: Column) -> Column:
+    """Linear light, pinned to 0..1 and cut to 4096 steps, to whole sRGB 0..255."""
+    v = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 4096) / 4096.0
+    return F.when(v <= 0.0031308, F.floor(v * 12.92 * 255 + 0.5)).otherwise(F.floor((F.pow(v, F.lit(1 / 2.4)) * 1.055 - (0.055 - (1 - 0.99999999999999989))) * 255)).cast("int")
+
+
 def to_xyz(r, g, b) -> Triple:
     return affine("xyz_of_linear", *(linear(c / 255) for c in _cols(r, g, b)))
 
@@ -203,6 +307,31 @@ def from_oklab(light, a, b) -> Triple:
     return tuple(F.round(c, 5) for c in affine("linear_of_lms", *(c * c * c for c in affine("roots_of_oklab", light, a, b))))
 
 
+def srgb_to_oklab(r, g, b) -> Triple:
+    """From sRGB bytes."""
+    return to_oklab(*(linear_of_byte(c) for c in _cols(r, g, b)))
+
+
+def oklab_to_srgb(light, a, b) -> Triple:
+    """To whole sRGB bytes, by the 4096 steps."""
+    return tuple(byte_of_linear(c) for c in from_oklab(light, a, b))
+
+
+def srgb_to_oklab_bytes(r, g, b) -> Triple:
+    light, x, y = srgb_to_oklab(r, g, b)
+    return clip(light * 255.0), clip((x + 1) * 127.5), clip((y + 1) * 127.5)
+
+
+def oklab_bytes_to_srgb(light, a, b) -> Triple:
+    light, a, b = _cols(light, a, b)
+    return oklab_to_srgb(light / 255.0, a / 127.5 - 1, b / 127.5 - 1)
+
+
+def oklab_to_rgb(light, a, b) -> Triple:
+    """To clipped bytes by the exact curve."""
+    return tuple(clip(gamma(c) * 255.0) for c in from_oklab(light, a, b))
+
+
 def to_oklch(light, a, b) -> Triple:
     """Hue in radians; 0 where chroma is next to none."""
     light, a, b = _cols(light, a, b)
@@ -236,7 +365,41 @@ def unpack_argb(c) -> tuple[Column, Column, Column, Column]:
     return tuple(F.shiftright(c, s).bitwiseAND(F.lit(255)).cast("int") for s in (24, 16, 8, 0))
 
 
-def invert_brightness(r, g, b) -> Triple:
-    """255 minus luma in YIQ, same chroma."""
-    y, i, q = to_yiq(r, g, b)
-    return tuple(clip(c) for c in from_yiq(F.lit(255.0) - y, i, q))
+def scaled(a, b, c) -> Triple:
+    """0..1 to whole 0..255."""
+    return tuple(clip(x * 255) for x in _cols(a, b, c))
+
+
+def brightness(r, g, b) -> Column:
+    return affine("ycbcr", r, g, b)[0].cast("int")
+
+
+def invert_brightness(r, g, b, space: str = "yiq") -> Triple:
+    """255 minus the luma of yiq, ycocg or hsp, same chroma."""
+    if space == "hsp":
+        h, s, p = to_hsp(r, g, b)
+        # bound by a lambda, as the inverse uses each of them many times
+        held = F.array(F.struct(h.alias("h"), s.alias("s"), (F.lit(255) - p).alias("p")))
+        back = F.transform(held, lambda x: F.struct(*(clip(c).alias(n) for c, n in zip(from_hsp(x["h"], x["s"], x["p"]), "rgb", strict=True))))[0]
+        return tuple(back[n] for n in "rgb")
+    to, back = {"yiq": (to_yiq, from_yiq), "ycocg": (to_ycocg, from_ycocg)}[space]
+    y, c1, c2 = to(r, g, b)
+    return tuple(clip(c) for c in back(F.lit(255.0) - y, c1, c2))
+
+
+#: Fixed value: the sum of the weights 1, 1/2 ... 1/8 that the pickers divide by.
+HARMONIC = 2.59285714285714
+
+
+def pick_colours(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, dark_r .. light_b, dark_y .. light_v): the dark and the light colour of each block of at least 8 colours r, g, b in the order of
+    brightness, then of `order`: whole averages of the first and last 4, and harmonic means of the first and last 8 in YUV.
+    A block is a few pixels, gathered in one row."""
+    ranked = df.withColumns({"bright": brightness("r", "g", "b"), **dict(zip("yuv", to_yuv("r", "g", "b"), strict=True))})
+    blocks = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bright", *order, *"rgbyuv"))).alias("p")).where("size(p) >= 8")
+    out = []
+    for name, p in (("dark", "p"), ("light", "reverse(p)")):
+        out += [F.expr(f"aggregate(slice({p}, 1, 4), 0L, (a, x) -> a + x.{c}) div 4").alias(f"{name}_{c}") for c in "rgb"]
+        weighted = "aggregate(zip_with(slice({p}, 1, 8), sequence(1, 8), (x, i) -> x.{c} / i), 0D, (a, x) -> a + x) / {h}"
+        out += [F.expr(weighted.format(p=p, c=c, h=f"{HARMONIC}D")).alias(f"{name}_{c}") for c in "yuv"]
+    return blocks.select(*keys, *out)

@@ -10,19 +10,31 @@ from pyspark.sql.window import Window
 
 
 def sizes(px: DataFrame) -> DataFrame:
+    """(image_id, w, h). Joined back by image: adaptive execution broadcasts it up to its threshold of bytes, some hundred thousand
+    images, and splits a skewed image beyond that."""
     return px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
 
+def kernel_offsets(n: int) -> list[int]:
+    """Distances of a kernel's n samples from its middle; even kernels leave out 0."""
+    return [i - n // 2 if i < n // 2 else i - n // 2 + 1 - n % 2 for i in range(n)]
+
+
 def convolve(px: DataFrame, kernel: list[list[float]]) -> DataFrame:
-    """Convolution with an odd-sided kernel; edges reflect. Each sample is sent to every output that reads it, also through
-    a reflection, and outputs sum up: one exchange with map-side sums, of kernel-size rows per sample."""
-    k = len(kernel) // 2
-    taps = ", ".join(f"struct({dy - k} as dy, {dx - k} as dx, cast({w!r} as double) as w)" for dy, row in enumerate(kernel) for dx, w in enumerate(row))
+    """v(y, x) = sum of kernel[i][j] * v(y - oy[j], x - ox[i]) with kernel_offsets() along each side; edges reflect. The first index runs
+    along x. Each sample is sent to every output that reads it, also through a reflection, and outputs sum up: one exchange
+    with map-side sums, of kernel-size rows per sample, so for large separable kernels convolve() by a column, then by a row.
+    An image must be wider than the kernel's reach: samples that would be reflected twice are left out."""
+    if not kernel or not kernel[0] or any(len(row) != len(kernel[0]) for row in kernel):
+        raise ValueError("a kernel is a rectangle")
+    ox, oy = kernel_offsets(len(kernel)), kernel_offsets(len(kernel[0]))
+    taps = ", ".join(f"struct({b} as dy, {a} as dx, cast({w!r} as double) as w)" for a, row in zip(ox, kernel, strict=True) for b, w in zip(oy, row, strict=True))
     p = px.join(sizes(px), "image_id").selectExpr("image_id", "y", "x", "v", "w as width", "h", f"inline(array({taps}))")
 
     def places(c: str, d: str, n: str) -> str:
-        # outputs o whose read place o + d is c, or reflects onto c
-        return f"filter(array({c} - {d}, -{c} - {d}, 2 * ({n} - 1) - {c} - {d}), (o, i) -> o >= 0 and o < {n} and (i = 0 or (i = 1 and o + {d} < 0) or (i = 2 and o + {d} >= {n})))"
+        # outputs o whose read place o - d is c, or reflects onto c
+        return f"""filter(array({c} + {d}, {d} - {c}, 2 * ({n} - 1) - {c} + {d}), (o, i) -> o >= 0 and o < {n}
+            and (i = 0 or (i = 1 and o < {d}) or (i = 2 and o - {d} >= {n})))"""
 
     p = p.selectExpr("image_id", f"explode({places('y', 'dy', 'h')}) y", "x", "dx", "width", "v * w as vw").selectExpr("image_id", "y", f"explode({places('x', 'dx', 'width')}) x", "vw")
     return p.groupBy("image_id", "y", "x").agg(F.sum("vw").alias("v"))
@@ -65,19 +77,21 @@ def resize_linear(px: DataFrame, factor: int = 2) -> DataFrame:
     return px.select("image_id", "y", "x", "v")
 
 
-def polygon_distance(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """(id, shape_id, distance, odd, winding): distance to the outline, whether crossings are odd, and the winding number.
-
-    Segments of a shape are a small table of fixed shapes here: points meet them by a broadcast join."""
-    p = points.join(F.broadcast(segments))
-    ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    px, py = F.col("x") - F.col("ax"), F.col("y") - F.col("ay")
-    length = ex * ex + ey * ey
-    t = F.when(length > 0, F.least(F.greatest((px * ex + py * ey) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    d2 = (px - t * ex) * (px - t * ex) + (py - t * ey) * (py - t * ey)
-    side = ex * py - ey * px
-    up = (F.col("ay") <= F.col("y")) & (F.col("by") > F.col("y")) & (side > 0)
-    down = (F.col("ay") > F.col("y")) & (F.col("by") <= F.col("y")) & (side < 0)
-    p = p.select("id", "shape_id", d2.alias("d2"), F.when(up, 1).when(down, -1).otherwise(0).alias("turn"))
-    out = p.groupBy("id", "shape_id").agg(F.sqrt(F.min("d2")).alias("distance"), F.sum("turn").alias("winding"), (F.sum(F.abs("turn")) % 2).alias("odd"))
-    return out.select("id", "shape_id", "distance", (F.col("odd") == 1).alias("odd"), "winding")
+def polygon_distance(points: DataFrame, segments: DataFrame, rule: str = "odd") -> DataFrame:
+    """(id, shape_id, distance, odd, winding) of points(id, x, y) and segments(shape_id, ax, ay, bx, by): distance to the outline, less than
+    0 inside by the rule (odd: an odd number of crossings; winding: a winding number that is not 0), and both numbers.
+
+    Each shape's segments, a few to some thousands, are one row; every point meets every shape, which is the result's
+    size, and no point meets its segments as rows."""
+    shapes = segments.groupBy("shape_id").agg(F.collect_list(F.struct("ax", "ay", "bx", F.col("by").alias("bz"))).alias("ring"))
+    # (least squared distance, signed crossings, crossings) by a fold over the segments
+    length = "((g.bx - g.ax) * (g.bx - g.ax) + (g.bz - g.ay) * (g.bz - g.ay))"
+    t = f"(if({length} > 0, least(greatest(((x - g.ax) * (g.bx - g.ax) + (y - g.ay) * (g.bz - g.ay)) / {length}, 0D), 1D), 0D))"
+    off = lambda p, a, b: f"({p} - g.{a} - {t} * (g.{b} - g.{a}))"
+    d2 = f"{off('x', 'ax', 'bx')} * {off('x', 'ax', 'bx')} + {off('y', 'ay', 'bz')} * {off('y', 'ay', 'bz')}"
+    side = "((g.bx - g.ax) * (y - g.ay) - (g.bz - g.ay) * (x - g.ax))"
+    turn = f"case when g.ay <= y and g.bz > y and {side} > 0 then 1 when g.ay > y and g.bz <= y and {side} < 0 then -1 else 0 end"
+    p = points.join(shapes).withColumn("least", F.expr(f"array_min(transform(ring, g -> {d2}))")).withColumn("turns", F.expr(f"transform(ring, g -> {turn})"))
+    p = p.selectExpr("id", "shape_id", "sqrt(least) distance", "aggregate(turns, 0, (a, k) -> a + abs(k)) % 2 = 1 odd", "cast(aggregate(turns, 0, (a, k) -> a + k) as bigint) winding")
+    inside = F.col("odd") if rule == "odd" else F.col("winding") != 0
+    return p.select("id", "shape_id", F.when(inside, -F.col("distance")).otherwise(F.col("distance")).alias("distance"), "odd", "winding")

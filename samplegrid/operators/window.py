@@ -1,6 +1,7 @@
 """Window operators on rasters (image_id, y, x, v): one exchange per axis, frames along one line at a time.
 
-The grid must be dense: frames count rows, not coordinates (see grid.densify).
+The grid must be dense: frames count rows, not coordinates; densify() fills one. A line is one group: a window's rows are
+sorted in one task, and a huge image is spread over its lines.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from samplegrid.functions.scalar import zigzag
+
 
 def along(axis: str) -> WindowSpec:
     """Lines along an axis: along('x') orders the samples of a row, along('y') those of a column."""
@@ -16,19 +19,38 @@ def along(axis: str) -> WindowSpec:
     return Window.partitionBy("image_id", other).orderBy(axis)
 
 
-def box_axis(px: DataFrame, axis: str, radius: int) -> DataFrame:
-    """Floored mean of 2r + 1 samples along an axis; the edge samples are repeated outward."""
+def densify(px: DataFrame, missing: float = 0) -> DataFrame:
+    """px with a row for each coordinate up to the image's largest x and y; absent samples are `missing`."""
+    ends = px.groupBy("image_id").agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    rows = ends.select("image_id", "w", F.explode(F.sequence(F.lit(0), "h")).alias("y"))
+    grid = rows.select("image_id", "y", F.explode(F.sequence(F.lit(0), "w")).alias("x"))
+    out = grid.join(px, ["image_id", "y", "x"], "left")
+    return out.select("image_id", "y", "x", F.coalesce("v", F.lit(missing)).cast(px.schema["v"].dataType).alias("v"))
+
+
+def padded_sum(axis: str, value: str, before: int, after: int) -> Column:
+    """Sum of the samples from p - before to p + after along an axis; the edge samples are repeated outward."""
     w = along(axis)
-    frame = w.rowsBetween(-radius, radius)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rank, n = F.row_number().over(w) - 1, F.count("*").over(whole)
-    before, after = F.greatest(F.lit(0), F.lit(radius) - rank), F.greatest(F.lit(0), rank + radius - n + 1)
-    total = F.sum("v").over(frame) + F.first("v").over(whole) * before + F.last("v").over(whole) * after
-    return px.select("image_id", "y", "x", F.floor(total / (2 * radius + 1)).cast("int").alias("v"))
+    left, right = F.greatest(F.lit(0), F.lit(before) - rank), F.greatest(F.lit(0), rank + after - n + 1)
+    return F.sum(value).over(w.rowsBetween(-before, after)) + F.first(value).over(whole) * left + F.last(value).over(whole) * right
 
 
-def box_blur(px: DataFrame, radius: int) -> DataFrame:
-    return box_axis(box_axis(px, "x", radius), "y", radius)
+def box_axis(px: DataFrame, axis: str, radius: int) -> DataFrame:
+    """Floored mean of 2r + 1 samples along an axis; the edge samples are repeated outward."""
+    return px.select("image_id", "y", "x", F.floor(padded_sum(axis, "v", radius, radius) / (2 * radius + 1)).cast("int").alias("v"))
+
+
+def box_blur(px: DataFrame, radius: int, mode: str = "exact") -> DataFrame:
+    """shift: the radius grows to a power of two, and the sum of 2r + 1 samples is divided by 2r, which brightens a little; values
+    are clipped after the second pass."""
+    if mode == "exact":
+        return box_axis(box_axis(px, "x", radius), "y", radius)
+    radius = 1 << max(0, radius - 1).bit_length()
+    for axis in ("x", "y"):
+        px = px.select("image_id", "y", "x", F.floor(padded_sum(axis, "v", radius, radius) / (2 * radius)).alias("v"))
+    return px.select("image_id", "y", "x", F.least("v", F.lit(255)).cast("int").alias("v"))
 
 
 def morph_axis(px: DataFrame, axis: str, radius: int, op: str) -> DataFrame:
@@ -37,11 +59,12 @@ def morph_axis(px: DataFrame, axis: str, radius: int, op: str) -> DataFrame:
     return px.select("image_id", "y", "x", f("v").over(along(axis).rowsBetween(-(radius - 1), radius)).alias("v"))
 
 
-def morph(px: DataFrame, op: str, radius: int) -> DataFrame:
-    """dilate, erode, open (erode, then dilate) or close; columns first, then rows."""
+def morph(px: DataFrame, op: str, radius: int, axis: str = "both") -> DataFrame:
+    """dilate, erode, open (erode, then dilate) or close; columns first, then rows, or one axis."""
     steps = {"open": ("erode", "dilate"), "close": ("dilate", "erode")}.get(op, (op,))
     for step in steps:
-        px = morph_axis(morph_axis(px, "y", radius, step), "x", radius, step)
+        for a in ("y", "x") if axis == "both" else (axis,):
+            px = morph_axis(px, a, radius, step)
     return px
 
 
@@ -52,14 +75,28 @@ def neighbours(px: DataFrame) -> DataFrame:
     return px.select("*", F.lag("v").over(wy).alias("north"), F.lead("v").over(wy).alias("south"))
 
 
-def loco_residual(px: DataFrame) -> DataFrame:
-    """Median-edge predictor of west, north and north-west; the first row and column keep their values."""
+def _loco(px: DataFrame) -> DataFrame:
+    """px with difference, to the median-edge prediction of west, north and north-west, pinned to a byte and cut; null in the
+    first row and column."""
     p = px.select("*", F.lag("v").over(along("y")).alias("north"))
     p = p.select("*", F.lag("v").over(along("x")).alias("west"), F.lag("north").over(along("x")).alias("corner"))
     low, high = F.least("west", "north"), F.greatest("west", "north")
     guess = F.when(F.col("corner") >= high, low).when(F.col("corner") <= low, high).otherwise(F.col("west") + F.col("north") - F.col("corner"))
-    guess = F.least(F.greatest(guess, F.lit(0)), F.lit(255))
-    return p.select("image_id", "y", "x", F.when(F.col("corner").isNull(), F.col("v")).otherwise(F.col("v") - guess).cast("int").alias("residual"))
+    guess = F.least(F.greatest(guess, F.lit(0)), F.lit(255)).cast("int")
+    return p.withColumn("difference", F.when(F.col("corner").isNotNull(), F.col("v") - guess))
+
+
+def loco_residual(px: DataFrame) -> DataFrame:
+    """(image_id, y, x, residual): half the zig-zagged difference to the prediction; the first row and column keep their values."""
+    residual = F.when(F.col("difference").isNull(), F.col("v")).otherwise(zigzag(F.col("difference").cast("int")) / 2.0)
+    return _loco(px).select("image_id", "y", "x", residual.cast("double").alias("residual"))
+
+
+def zero_residuals(px: DataFrame) -> DataFrame:
+    """(image_id, zeros, average) of the predicted samples: residuals under 0.01, and the mean difference before folding."""
+    p = _loco(px).where("difference is not null")
+    zeros = F.sum(F.when(F.abs(zigzag(F.col("difference").cast("int")) / 2.0) < 0.01, 1).otherwise(0))
+    return p.groupBy("image_id").agg(zeros.alias("zeros"), F.avg("difference").alias("average"))
 
 
 def edges(px: DataFrame, inside: Column) -> DataFrame:
@@ -83,10 +120,15 @@ def axis_distance(px: DataFrame, axis: str, inside: Column) -> DataFrame:
 
 
 def haar_gradients(px: DataFrame) -> DataFrame:
-    """Sums and differences of the pairs of each row: low = a + b, high = 255 + a - b, at half the width."""
+    """Eight times the sum of each pair of a row, in the left half, and eight times 255 + the difference, in the right half."""
     w = along("x")
-    p = px.select("*", F.lead("v").over(w).alias("next"), F.row_number().over(w).alias("p")).where("p % 2 = 1 and next is not null")
-    return p.select("image_id", "y", F.expr("cast((p - 1) div 2 as int)").alias("x"), (F.col("v") + F.col("next")).alias("low"), (F.col("v") - F.col("next") + 255).alias("high"))
+    p = px.select("*", F.lead("v").over(w).alias("next"), (F.row_number().over(w) - 1).alias("p"), F.expr("cast(count(*) over (partition by image_id, y) div 2 as int)").alias("half"))
+    p = p.where("p % 2 = 0 and next is not null").withColumn("k", F.expr("cast(p div 2 as int)"))
+    both = F.array(
+        F.struct(F.col("k").alias("x"), ((F.col("v") + F.col("next")) * 8).alias("v")),
+        F.struct((F.col("k") + F.col("half")).alias("x"), ((F.col("v") - F.col("next") + 255) * 8).alias("v")),
+    )
+    return p.select("image_id", "y", F.inline(both))
 
 
 def epx2(px: DataFrame) -> DataFrame:
@@ -102,36 +144,32 @@ def epx2(px: DataFrame) -> DataFrame:
     return p.select("image_id", quarters.alias("q")).select("image_id", "q.y", "q.x", "q.v")
 
 
-def unsharp_threshold(px: DataFrame, scale: int = 3, exposure: int = 0, invert: bool = False) -> DataFrame:
+def unsharp_threshold(px: DataFrame, scale: int = 5, exposure: int = 0, invert: bool = False) -> DataFrame:
     """0 or 255 by the local mean of 2^(scale+1) samples a side, two floored passes, pinned to 16..240; edges repeat."""
     radius = 1 << scale
-
-    def mean(df: DataFrame, axis: str) -> DataFrame:
-        w = along(axis)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rank, n = F.row_number().over(w) - 1, F.count("*").over(whole)
-        before, after = F.greatest(F.lit(0), F.lit(radius) - rank), F.greatest(F.lit(0), rank + radius - n)
-        total = F.sum("m").over(w.rowsBetween(-radius, radius - 1)) + F.first("m").over(whole) * before + F.last("m").over(whole) * after
-        return df.select("image_id", "y", "x", "v", F.floor(total / (2 * radius)).alias("m"))
-
-    p = mean(mean(px.withColumn("m", F.col("v").cast("long")), "y"), "x")
+    p = px.withColumn("m", F.col("v").cast("long"))
+    for axis in ("y", "x"):
+        p = p.select("image_id", "y", "x", "v", F.floor(padded_sum(axis, "m", radius, radius - 1) / (2 * radius)).alias("m"))
     black = F.col("v") - exposure < F.least(F.greatest("m", F.lit(16)), F.lit(240))
     return p.select("image_id", "y", "x", F.when(black, 255 if invert else 0).otherwise(0 if invert else 255).alias("v"))
 
 
 def block_stats(px: DataFrame, step: int = 4) -> DataFrame:
-    """Minimum, maximum and mean of the 5 by 5 samples around every step-th sample of every step-th row."""
+    """Minimum, maximum and mean of the 5 by 5 samples around every step-th sample of every step-th row, at y and x divided by the
+    step; the edge samples count again beyond the edge, and a last part of less than a step is left out."""
     for axis in ("x", "y"):
-        w = along(axis).rowsBetween(-2, 2)
-        low, high, total, n = ("v", "v", "v", F.lit(1)) if axis == "x" else ("low", "high", "total", "n")
-        columns = (F.min(low).over(w).alias("low"), F.max(high).over(w).alias("high"), F.sum(total).over(w).alias("total"), F.sum(n).over(w).alias("n"))
-        px = px.select("image_id", "y", "x", *columns)
-    return px.where(f"x % {step} = 0 and y % {step} = 0").select("image_id", "y", "x", "low", "high", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
+        w = along(axis)
+        low, high, total = ("v", "v", "v") if axis == "x" else ("low", "high", "total")
+        columns = [F.min(low).over(w.rowsBetween(-2, 2)).alias("low"), F.max(high).over(w.rowsBetween(-2, 2)).alias("high"), padded_sum(axis, total, 2, 2).alias("total")]
+        n = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        px = px.select("image_id", "y", "x", *columns, *(["nx"] if axis == "y" else []), n.alias(f"n{axis}"))
+    px = px.where(f"x % {step} = 0 and y % {step} = 0 and x div {step} < nx div {step} and y div {step} < ny div {step}")
+    return px.selectExpr("image_id", f"cast(y div {step} as int) y", f"cast(x div {step} as int) x", "low", "high", "round(total / 25, 6) mean")
 
 
 def normalise(px: DataFrame, high: float = 255.0) -> DataFrame:
-    """(v - min) * high / (max - min) within an image; 0 where an image has one value. Extremes are grouped and joined back,
-    so that one huge image is not gathered in one task."""
+    """(v - min) * high / (max - min) within an image; 0 where an image has one value. Extremes are grouped and joined back: adaptive
+    execution broadcasts them up to its threshold of bytes, some hundred thousand images, and splits skewed images beyond it."""
     ends = px.groupBy("image_id").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     out = px.join(ends, "image_id")
     return out.select("image_id", "y", "x", F.when(F.col("b") > F.col("a"), (F.col("v") - F.col("a")) * high / (F.col("b") - F.col("a"))).otherwise(0.0).alias("v"))

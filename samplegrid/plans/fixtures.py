@@ -12,15 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def emb_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image per label, one row per vector, 64 samples of 0..255 a row."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), "vec_id", "embedding")
+    """One image for each label in a block of 640 vectors, one row per vector, 64 samples of 0..255 a row. Images keep their size
+    and grow in number with the table."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("cast(label + 10 * (vec_id div 640) as bigint) image_id", "vec_id", "embedding")
     e = e.withColumn("y", F.dense_rank().over(Window.partitionBy("image_id").orderBy("vec_id")) - 1)
     e = e.select("image_id", "y", F.posexplode("embedding").alias("x", "e"))
     v = F.least(F.greatest(F.floor(127.5 + 127.5 * F.col("e").cast("double")), F.lit(0)), F.lit(255)).cast("int")
     return e.select("image_id", "y", "x", v.alias("v"))
 
 
-EMB_RASTER = """e as (select label image_id, dense_rank() over (partition by label order by vec_id) - 1 y, embedding, unnest(range(64)) x from embeddings),
+EMB_RASTER = """e as (select (label + 10 * (vec_id // 640))::bigint image_id, dense_rank() over (partition by label, vec_id // 640 order by vec_id) - 1 y, embedding, unnest(range(64)) x from embeddings),
     px as (select image_id, y, x, least(greatest(floor(127.5 + 127.5 * cast(embedding[x + 1] as double)), 0), 255)::int v from e)"""
 
 
@@ -33,9 +34,10 @@ RGB_LINES = "c as (select l_orderkey k1, l_linenumber k2, (l_partkey % 256)::int
 
 
 def doc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every byte of every text."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(F.hex(F.encode("text", "utf-8")), F.lit(".."), F.lit(0))).alias("pos", "h"))
-    return t.select("doc_id", "pos", F.conv("h", 16, 10).cast("int").alias("s"))
+    """Every byte of every text: its UTF-8 read as Latin-1 has a character of the same number for each byte."""
+    bytes_ = F.split(F.decode(F.encode("text", "utf-8"), "iso-8859-1"), "")
+    t = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.posexplode(bytes_).alias("pos", "c"))
+    return t.select("doc_id", "pos", F.ascii("c").alias("s"))
 
 
 DOC_BYTES = """h as (select doc_id, regexp_extract_all(hex(encode(text)), '..') b from documents),

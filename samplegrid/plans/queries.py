@@ -10,35 +10,14 @@ from pyspark.sql import functions as F
 from samplegrid.functions import color, scalar
 from samplegrid.operators import gather, symbols, window
 from samplegrid.plans import fixtures as fx
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = query
-    if sql:
-        ORACLE[name] = sql
-
+from samplegrid.plans.registry import ORACLE, QUERIES, add
+from samplegrid.plans.registry import clip_sql as _clip
+from samplegrid.plans.registry import color_query as _color
 
 # colour: exact whole numbers, or doubles rounded to 6 places
 
 
-def _color(name: str, f, sql: tuple[str, str, str], digits: int | None = 6) -> None:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f("r", "g", "b")
-        cast = (lambda c: c.cast("int")) if digits is None else (lambda c: F.round(c, digits) + 0.0)
-        return fx.rgb_lines(spark, sf_dir).select("k1", "k2", *(cast(c).alias(f"c{i}") for i, c in enumerate(out)))
-
-    cast = "({})::int" if digits is None else f"round({{}}, {digits}) + 0.0"
-    add(name, query, f"with {fx.RGB_LINES} select k1, k2, " + ", ".join(f"{cast.format(s)} c{i}" for i, s in enumerate(sql)) + " from c")
-
-
-def _clip(s: str) -> str:
-    return f"trunc(least(greatest({s}, 0), 255))"
-
-
-_Y, _U, _V = "16 + 0.257e0*r + 0.504e0*g + 0.098e0*b", "128 - 0.148e0*r - 0.291e0*g + 0.439e0*b", "128 + 0.439e0*r - 0.368e0*g - 0.071e0*b"
+_Y, _U, _V = "16 + (0.257e0*r + 0.504e0*g + 0.098e0*b)", "128 + (-0.148e0*r - 0.291e0*g + 0.439e0*b)", "128 + (0.439e0*r - 0.368e0*g - 0.071e0*b)"
 _YIQ = "(0.3e0*r + 0.59e0*g + 0.11e0*b)"
 _X, _XY, _Z = (
     "(" + " + ".join(f"{w}e0 * (case when {c}/255.0e0 >= 0.04045e0 then pow(({c}/255.0e0 + 0.055e0)/1.055e0, 2.4e0) else {c}/255.0e0/12.92e0 end)" for w, c in zip(row, "rgb", strict=True)) + ")"
@@ -58,13 +37,13 @@ _color(
 )
 _LUMA = "1.164e0*(r - 16)"
 _color(
-    "c7_rgb565", lambda *c: (color.yuv_to_rgb565(*c), *(F.round(x * 1000) for x in color.rgb565_to_yuv(F.col("r") * 256 + F.col("b") - 32768)[:2])),
+    "c7_rgb565", lambda *c: (color.yuv_to_rgb565(*c), *(F.round(x * 1000) for x in color.rgb565_to_yuv(F.col("r") * 256 + F.col("b") - 32768))),
     (
         f"case when r > 220 then -1 else ((({_clip(f'{_LUMA} + 1.596e0*(b - 127.5e0)')}::int >> 3) * 2048 + ({_clip(f'{_LUMA} - 0.392e0*(g - 127.5e0) - 0.813e0*(b - 127.5e0)')}::int >> 2) * 32"
         f" + ({_clip(f'{_LUMA} + 2.017e0*(g - 127.5e0)')}::int >> 3)) + 32768) % 65536 - 32768 end",
         *(
             f"round(1000e0*({terms}))".replace("R", "((w >> 8) & 248)").replace("G", "((w >> 3) & 252)").replace("B", "((w << 3) & 248)").replace("w", "((r*256 + b + 32768) % 65536)")
-            for terms in ("0.257e0*R + 0.504e0*G + 0.098e0*B + 16", "0.439e0*B - 0.148e0*R - 0.291e0*G + 127.5e0")
+            for terms in ("0.257e0*R + 0.504e0*G + 0.098e0*B + 16", "0.439e0*B - 0.148e0*R - 0.291e0*G + 127.5e0", "0.439e0*R - 0.368e0*G - 0.071e0*B + 127.5e0")
         ),
     ), None,
 )
@@ -75,24 +54,29 @@ _color(
         for terms in ("0.257e0*R + 0.504e0*G + 0.098e0*B + 16", "0.439e0*B - 0.148e0*R - 0.291e0*G + 127.5e0", "0.439e0*R - 0.368e0*G - 0.071e0*B + 127.5e0")
     ), None,
 )
-_color("c8_exp", color.to_exp, tuple(_clip(s) for s in ("0.144547e0*r + 0.291612e0*g + 0.0638407e0*b + 64", "-0.1649e0*r - 0.270198e0*g + 0.435098e0*b + 128", "0.435098e0*r - 0.382359e0*g - 0.0527391e0*b + 128")), None)
+_color("c8_exp", color.to_exp, tuple(_clip(s) for s in ("0.0638407e0*b + 0.291612e0*g + 0.144547e0*r + 64", "0.435098e0*b - 0.270198e0*g - 0.1649e0*r + 128", "-0.0527391e0*b - 0.382359e0*g + 0.435098e0*r + 128")), None)
 _color("c11_xyz", color.to_xyz, (_X, _XY, _Z))
 _LMS = (f"(0.210576e0*{_X} + 0.855098e0*{_XY} - 0.0396983e0*{_Z})", f"(-0.417076e0*{_X} + 1.17726e0*{_XY} + 0.0786283e0*{_Z})", f"(0.516835e0*{_Z})")
 _color("c12_lms", lambda *c: color.to_lms(*color.to_xyz(*c)), _LMS)
 _color("c12_xyb", lambda *c: color.to_xyb(*color.to_xyz(*c)), (f"{_LMS[0]} - {_LMS[1]}", f"{_LMS[0]} + {_LMS[1]}", _LMS[2]))
 _color("c13_yjk", color.to_yjk, ("b/2.0e0 + r/4.0e0 + g/8.0e0", "r - (b/2.0e0 + r/4.0e0 + g/8.0e0)", "g - (b/2.0e0 + r/4.0e0 + g/8.0e0)"))
 _ROOT = [
-    "pow(" + " + ".join(f"{w}e0*{c}/255" for w, c in zip(row, "rgb", strict=True)) + ", 1/3.0e0)"
+    "pow(" + " + ".join(f"{w}::float::double*{c}/255" for w, c in zip(row, "rgb", strict=True)) + ", 1/3.0e0)"
     for row in ((0.412165612, 0.536275208, 0.0514575653), (0.211859107, 0.6807189584, 0.107406579), (0.0883097947, 0.2818474174, 0.6302613616))
 ]
 _OKLAB = tuple(
-    "(" + " + ".join(f"({w}e0)*{c}" for w, c in zip(row, _ROOT, strict=True)) + ")"
+    "(" + " + ".join(f"({w}::float::double)*{c}" for w, c in zip(row, _ROOT, strict=True)) + ")"
     for row in ((0.2104542553, 0.793617785, -0.0040720468), (1.9779984951, -2.428592205, 0.4505937099), (0.0259040371, 0.7827717662, -0.808675766))
 )
 _oklab = lambda *c: color.to_oklab(*(F.col(x) / 255 for x in c))
 _color("c14_oklab", _oklab, _OKLAB)
 _chroma = f"sqrt({_OKLAB[1]}*{_OKLAB[1]} + {_OKLAB[2]}*{_OKLAB[2]})"
-_color("c15_oklch", lambda *c: tuple(F.round(x, 4) for x in color.to_oklch(*_oklab(*c)))[:2] + (F.lit(0.0),), (f"round({_OKLAB[0]}, 4)", f"round({_chroma}, 4)", "0.0"))
+# the hue where it means something: next to no chroma it is noise, and half a turn may have either sign
+_color(
+    "c15_oklch",
+    lambda *c: (lambda o: (F.round(o[0], 4), F.round(o[1], 4), F.when(o[1] > 0.001, F.round(F.abs(o[2]), 4)).otherwise(0.0)))(color.to_oklch(*_oklab(*c))),
+    (f"round({_OKLAB[0]}, 4)", f"round({_chroma}, 4)", f"case when {_chroma} > 0.001e0 then round(abs(atan2({_OKLAB[2]}, {_OKLAB[1]})), 4) else 0.0 end"),
+)
 # the hue by its cosine and sine, as the angle wraps
 _color(
     "c15_oklch_hue", lambda *c: tuple(F.round(f(color.to_oklch(*_oklab(*c))[2]), 4) for f in (F.cos, F.sin)),
@@ -104,8 +88,8 @@ _color("c18_clip", lambda *c: tuple(color.clip(F.col(x) * 2 - 100.5) for x in c)
 
 add(
     "src4_pack_argb",
-    lambda s, d: fx.rgb_lines(s, d).select("k1", "k2", color.pack_argb(F.lit(255), "r", "g", "b").alias("argb")).select("k1", "k2", "argb", color.unpack_argb("argb")[2].alias("green")),
-    f"with {fx.RGB_LINES} select k1, k2, 255::bigint * 16777216 + r * 65536 + g * 256 + b argb, g green from c",
+    lambda s, d: fx.rgb_lines(s, d).select("k1", "k2", color.pack_argb(F.lit(255), "r", "g", "b").alias("argb")).select("k1", "k2", "argb", *(c.alias(n) for c, n in zip(color.unpack_argb("argb"), ("alpha", "red", "green", "blue"), strict=True))),
+    f"with {fx.RGB_LINES} select k1, k2, 255::bigint * 16777216 + r * 65536 + g * 256 + b argb, 255 alpha, r red, g green, b blue from c",
 )
 
 # scalars and keys
@@ -192,17 +176,20 @@ add(
     f"""{_EMB}, a as (select image_id, y, x, min(v) over ({_WY} {_F2}) v from px), b as (select image_id, y, x, min(v) over ({_WX} {_F2}) v from a),
         c as (select image_id, y, x, max(v) over ({_WY} {_F2}) v from b) select image_id, y, x, max(v) over ({_WX} {_F2}) v from c""",
 )
+_LOCO = """a as (select px.*, w.v w, n.v n, c.v c from px left join px w on w.image_id = px.image_id and w.y = px.y and w.x = px.x - 1
+        left join px n on n.image_id = px.image_id and n.x = px.x and n.y = px.y - 1 left join px c on c.image_id = px.image_id and c.x = px.x - 1 and c.y = px.y - 1),
+        r as (select *, v - least(greatest(case when c >= greatest(w, n) then least(w, n) when c <= least(w, n) then greatest(w, n) else w + n - c end, 0), 255) d from a)"""
+add("w3_loco", _px(window.loco_residual), f"{_EMB}, {_LOCO} select image_id, y, x, (case when c is null then v when d >= 0 then d else -d - 0.5 end)::double residual from r")
 add(
-    "w3_loco",
-    _px(window.loco_residual),
-    f"""{_EMB}, a as (select px.*, w.v w, n.v n, c.v c from px left join px w on w.image_id = px.image_id and w.y = px.y and w.x = px.x - 1
-        left join px n on n.image_id = px.image_id and n.x = px.x and n.y = px.y - 1 left join px c on c.image_id = px.image_id and c.x = px.x - 1 and c.y = px.y - 1)
-        select image_id, y, x, case when c is null then v else v - least(greatest(case when c >= greatest(w, n) then least(w, n) when c <= least(w, n) then greatest(w, n) else w + n - c end, 0), 255) end residual from a""",
+    "a11_zero_residuals",
+    _px(lambda p: window.zero_residuals(p).withColumn("average", F.round("average", 6))),
+    f"{_EMB}, {_LOCO} select image_id, count(*) filter (d = 0) zeros, round(avg(d), 6) average from r where c is not null group by image_id",
 )
 add(
     "w7_haar",
     _px(window.haar_gradients),
-    f"{_EMB} select a.image_id, a.y, (a.x // 2)::int x, a.v + b.v low, a.v - b.v + 255 high from px a join px b on a.image_id = b.image_id and a.y = b.y and b.x = a.x + 1 where a.x % 2 = 0",
+    f"""{_EMB}, p as (select a.*, b.v w from px a join px b on a.image_id = b.image_id and a.y = b.y and b.x = a.x + 1 where a.x % 2 = 0)
+        select image_id, y, (x // 2)::int x, (v + w) * 8 v from p union all select image_id, y, 32 + (x // 2)::int, (255 + v - w) * 8 from p""",
 )
 add(
     "w8_axis_distance",
@@ -227,12 +214,29 @@ add(
     f"""{_EMB} select a.image_id, a.y, a.x, a.v > 127 and coalesce(bool_or(b.v <= 127), false) edge from px a
         left join px b on a.image_id = b.image_id and abs(a.x - b.x) + abs(a.y - b.y) = 1 and b.y between a.y - 1 and a.y + 1 group by a.image_id, a.y, a.x, a.v""",
 )
-add("f3_unsharp_threshold", _px(window.unsharp_threshold))
+
+
+def _mean_sql(source: str, axis: str, r: int, value: str) -> str:
+    """Floored mean of the 2r samples from p - r on, positions clamped, by a self-join on the line; v is carried."""
+    other = "y" if axis == "x" else "x"
+    return f"""(select a.image_id, a.y, a.x, any_value(a.v) v, (sum(b.{value}) // {2 * r})::bigint m from (select *, max({axis}) over (partition by image_id, {other}) z, unnest(range(-{r}, {r})) d from {source}) a
+        join {source} b on a.image_id = b.image_id and a.{other} = b.{other} and b.{axis} = least(greatest(a.{axis} + a.d, 0), a.z) group by a.image_id, a.y, a.x)"""
+
+
+for _scale, _exposure, _invert in ((3, 0, False), (5, 8, True)):
+    add(
+        "f3_unsharp_threshold" if _scale == 3 else "f3_unsharp_inverted",
+        _px(lambda p, a=(_scale, _exposure, _invert): window.unsharp_threshold(p, *a)),
+        f"""{_EMB}, q as {_mean_sql('px', 'y', 1 << _scale, 'v')}, z as {_mean_sql('q', 'x', 1 << _scale, 'm')}
+            select image_id, y, x, case when (v - {_exposure} < least(greatest(m, 16), 240)) <> {_invert} then 0 else 255 end v from z""",
+    )
 add(
     "a7_block_stats",
     _px(window.block_stats),
-    f"""{_EMB} select a.image_id, a.y, a.x, min(b.v) low, max(b.v) high, round(avg(b.v), 6) mean from px a join px b on a.image_id = b.image_id
-        and b.x between a.x - 2 and a.x + 2 and b.y between a.y - 2 and a.y + 2 where a.x % 4 = 0 and a.y % 4 = 0 group by a.image_id, a.y, a.x""",
+    f"""{_EMB}, m as (select image_id, max(x) w, max(y) h from px group by image_id), o as (select image_id, y, x, w, h, unnest(range(-2, 3)) dy from px join m using (image_id)
+            where x % 4 = 0 and y % 4 = 0 and x // 4 < (w + 1) // 4 and y // 4 < (h + 1) // 4), t as (select *, unnest(range(-2, 3)) dx from o)
+        select t.image_id, (t.y // 4)::int y, (t.x // 4)::int x, min(b.v) low, max(b.v) high, round(avg(b.v), 6) mean from t join px b on b.image_id = t.image_id
+            and b.x = least(greatest(t.x + dx, 0), w) and b.y = least(greatest(t.y + dy, 0), h) group by t.image_id, t.y, t.x""",
 )
 add(
     "a10_normalise",
@@ -260,15 +264,23 @@ add(
 
 # gathers
 
-_KERNEL = [[0.0625, 0.125, 0.0625], [0.125, 0.25, 0.125], [0.0625, 0.125, 0.0625]]
-add(
-    "j1_convolve",
-    _px(lambda p: gather.convolve(p, _KERNEL).withColumn("v", F.round("v", 6))),
-    f"""{_EMB}, k as (select unnest([-1, 0, 1]) dy), t as (select dy, unnest([-1, 0, 1]) dx from k), m as (select image_id, max(x) w, max(y) h from px group by image_id),
-        o as (select px.image_id, y, x, abs(y + dy) ty, abs(x + dx) tx, w, h, (2 - abs(dy)) * (2 - abs(dx)) / 16.0e0 c from px join m using (image_id), t),
-        g as (select image_id, y, x, c, case when ty > h then 2*h - ty else ty end ty, case when tx > w then 2*w - tx else tx end tx from o)
-        select g.image_id, g.y, g.x, round(sum(c * b.v), 6) v from g join px b on b.image_id = g.image_id and b.y = ty and b.x = tx group by g.image_id, g.y, g.x""",
-)
+#: By [x][y]: symmetric, asymmetric, and of two columns and four rows.
+_KERNELS = {
+    "j1_convolve": [[0.0625, 0.125, 0.0625], [0.125, 0.25, 0.125], [0.0625, 0.125, 0.0625]],
+    "j1_convolve_asymmetric": [[0.5, -1.0, 0.25], [2.0, 3.0, -0.5], [0.125, -4.0, 1.0]],
+    "j1_convolve_even": [[0.5, 1.0, -1.0, 0.25], [2.0, -0.5, 0.125, 3.0]],
+}
+for _name, _kernel in _KERNELS.items():
+    _offsets = lambda n: [i - n // 2 if i < n // 2 else i - n // 2 + 1 - n % 2 for i in range(n)]
+    _taps = ", ".join(f"({a}, {b}, {w}::double)" for a, row in zip(_offsets(len(_kernel)), _kernel, strict=True) for b, w in zip(_offsets(len(row)), row, strict=True))
+    add(
+        _name,
+        _px(lambda p, k=_kernel: gather.convolve(p, k).withColumn("v", F.round("v", 6) + 0.0)),
+        f"""{_EMB}, k(dx, dy, c) as (values {_taps}), m as (select image_id, max(x) w, max(y) h from px group by image_id),
+            o as (select px.image_id, y, x, abs(y - dy) ty, abs(x - dx) tx, w, h, c from px join m using (image_id), k),
+            g as (select image_id, y, x, c, case when ty > h then 2*h - ty else ty end ty, case when tx > w then 2*w - tx else tx end tx from o)
+            select g.image_id, g.y, g.x, round(sum(c * b.v), 6) + 0.0 v from g join px b on b.image_id = g.image_id and b.y = ty and b.x = tx group by g.image_id, g.y, g.x""",
+    )
 add(
     "j6_dct2",
     _px(lambda p: gather.dct2(p).withColumn("c", F.round("c", 4) + 0.0)),
@@ -292,14 +304,16 @@ add(
         join px a on a.image_id = q.image_id and a.y = q.y and a.x = q.x join px b on b.image_id = q.image_id and b.y = q.y and b.x = least(q.x + 1, 63)
         join px c on c.image_id = q.image_id and c.y = least(q.y + 1, h) and c.x = q.x join px d on d.image_id = q.image_id and d.y = least(q.y + 1, h) and d.x = least(q.x + 1, 63)""",
 )
-add(
-    "j8_polygon_distance",
-    lambda s, d: gather.polygon_distance(fx.points(s, d), fx.segments(s)).withColumn("distance", F.round("distance", 6)),
-    f"""with {fx.POINTS}, {fx.SEGMENTS_SQL}, m as (select id, shape_id, x, y, ax, ay, bx, "by" bz, least(greatest(((x-ax)*(bx-ax) + (y-ay)*(bz-ay)) / ((bx-ax)*(bx-ax) + (bz-ay)*(bz-ay)), 0), 1) t,
-            (bx-ax)*(y-ay) - (bz-ay)*(x-ax) side from p, s),
-        c as (select *, case when ay <= y and bz > y and side > 0 then 1 when ay > y and bz <= y and side < 0 then -1 else 0 end turn from m)
-        select id, shape_id, round(sqrt(min(pow(x-ax-t*(bx-ax), 2) + pow(y-ay-t*(bz-ay), 2))), 6) distance, sum(abs(turn)) % 2 = 1 odd, sum(turn)::bigint winding from c group by id, shape_id""",
-)
+for _rule, _inside in (("odd", "odd"), ("winding", "winding <> 0")):
+    add(
+        f"j8_polygon_distance_{_rule}" if _rule == "winding" else "j8_polygon_distance",
+        lambda s, d, r=_rule: gather.polygon_distance(fx.points(s, d), fx.segments(s), r).withColumn("distance", F.round("distance", 6)),
+        f"""with {fx.POINTS}, {fx.SEGMENTS_SQL}, m as (select id, shape_id, x, y, ax, ay, bx, "by" bz, least(greatest(((x-ax)*(bx-ax) + (y-ay)*(bz-ay)) / ((bx-ax)*(bx-ax) + (bz-ay)*(bz-ay)), 0), 1) t,
+                (bx-ax)*(y-ay) - (bz-ay)*(x-ax) side from p, s),
+            c as (select *, case when ay <= y and bz > y and side > 0 then 1 when ay > y and bz <= y and side < 0 then -1 else 0 end turn from m),
+            o as (select id, shape_id, sqrt(min(pow(x-ax-t*(bx-ax), 2) + pow(y-ay-t*(bz-ay), 2))) d, sum(abs(turn)) % 2 = 1 odd, sum(turn)::bigint winding from c group by id, shape_id)
+            select id, shape_id, round(case when {_inside} then -d else d end, 6) distance, odd, winding from o""",
+    )
 
 # symbols of whole documents
 
@@ -321,11 +335,17 @@ add(
     _sy(lambda y: symbols.histogram(y, "nybble").withColumn("share", F.round("share", 9))),
     f"{_SYM}, n as (select doc_id, unnest([s >> 4, s & 15]) s from sy), c as (select doc_id, s, count(*) cnt from n group by all) select doc_id, s, cnt, round(cnt / sum(cnt) over (partition by doc_id), 9) share from c",
 )
-for _k in (2, 3):
-    _g = " || ".join(f"lpad(lower(hex(lead(s, {k}) over ({_WP}))), 2, '0')" for k in range(_k))
+for _k in (2, 3, 8):
+    _g = " || ".join("lpad(lower(hex(s)), 2, '0')" if k == 0 else f"coalesce(lpad(lower(hex(lag(s, {k}) over ({_WP}))), 2, '0'), '00')" for k in reversed(range(_k)))
     _rot = ", ".join(f"substr(g, {2 * k + 1}) || substr(g, 1, {2 * k})" for k in range(_k))
-    add(f"a2_ngrams_{_k}", _sy(lambda y, k=_k: symbols.ngrams(y, k)), f"{_SYM}, g as (select {_g} g from sy) select least({_rot}) g, count(*) cnt from g where g is not null group by 1")
-add("a3_huffman_size", _sy(symbols.huffman_size))
+    add(f"a2_ngrams_{_k}", _sy(lambda y, k=_k: symbols.ngrams(y, k)), f"{_SYM}, g as (select {_g} g from sy) select least({_rot}) g, count(*) cnt from g group by 1")
+# merges two of the sorted weights a round
+add(
+    "a3_huffman_size",
+    _sy(symbols.huffman_size),
+    f"""with recursive {fx.DOC_BYTES}, c as (select doc_id, s, count(*) n from sy group by all), w as (select doc_id, list_sort(list(n)) w, 0::bigint bits from c group by doc_id
+        union all select doc_id, list_sort(list_append(w[3:], w[1] + w[2])), (bits + w[1] + w[2])::bigint from w where len(w) > 1) select doc_id, bits from w where len(w) = 1""",
+)
 add(
     "a4_entropy",
     _sy(lambda y: _rounded(symbols.entropy(y), "bits")),
@@ -339,7 +359,7 @@ _LEN = {
 _SIZES = " union all ".join(f"select doc_id, '{n}' code, sum({e})::bigint bits from sy group by doc_id" for n, e in _LEN.items())
 add("a5_code_size_report", _sy(symbols.code_size_report), f"{_SYM} {_SIZES}")
 add("a5_best_code", _sy(symbols.best_code), f"{_SYM}, t as ({_SIZES}) select doc_id, code, bits from t qualify row_number() over (partition by doc_id order by bits, code) = 1")
-add("a13_block_checksum", _sy(symbols.block_checksum), f"{_SYM} select doc_id, (pos // 257)::bigint block, sum(s)::bigint checksum from sy group by all")
+add("a13_block_checksum", _sy(symbols.block_checksum), f"{_SYM} select doc_id, (pos // 257)::bigint block, sum(2 * s)::bigint checksum from sy group by all")
 add(
     "e7_remap",
     _sy(symbols.remap),
@@ -348,7 +368,7 @@ add(
 add(
     "e9_fold_pairs",
     _sy(symbols.fold_pairs),
-    f"{_SYM}, p as (select doc_id, pos, s, lead(s) over ({_WP}) t from sy) select doc_id, (pos // 2)::int pos, ((s + t) // 2)::int mean, (s - t + 256) % 256 diff from p where pos % 2 = 0 and t is not null",
+    f"{_SYM}, p as (select doc_id, pos, s, lead(s) over ({_WP}) t from sy) select doc_id, (pos // 2)::int pos, ((s + t) // 2)::int mean, (t - (s + t) // 2 + 256) % 256 diff from p where pos % 2 = 0 and t is not null",
 )
 add(
     "o5_context_sort",
@@ -437,3 +457,6 @@ add(
     flagship,
     f"{_EMB}, q as {_box_sql('px', 'x', 3)}, z as {_box_sql('q', 'y', 3)} select image_id, count(*) samples, min(v) low, max(v) high, round(avg(v), 6) mean from z group by image_id",
 )
+
+
+from samplegrid.plans import colours, codes, grids, shapes  # noqa: E402, F401, I001 - they add their queries
