@@ -52,6 +52,17 @@ def dct2(px: DataFrame, block: int = 8) -> DataFrame:
     return p.select("image_id", "by", "bx", "u", "v", F.col("s").alias("c"))
 
 
+def idct2(coeffs: DataFrame, block: int = 8) -> DataFrame:
+    """(image_id, y, x, v): inverse of dct2(), one separable sum per axis, plus 128."""
+    p = coeffs.withColumnRenamed("c", "s")
+    for k, to in (("v", "x"), ("u", "y")):
+        basis = ", ".join(f"struct({t} as t, {j} as k, cast({math.sqrt((1 if j == 0 else 2) / block) * math.cos((2 * t + 1) * j * math.pi / (2 * block))!r} as double) as b)" for t in range(block) for j in range(block))
+        keep = [c for c in p.columns if c not in (k, "s")]
+        p = p.withColumn("row", F.explode(F.expr(f"filter(array({basis}), r -> r.k = {k})")))
+        p = p.groupBy(*keep, F.col("row.t").alias(to)).agg(F.sum(F.col("s") * F.col("row.b")).alias("s"))
+    return p.selectExpr("image_id", f"by * {block} + y y", f"bx * {block} + x x", "s + 128 v")
+
+
 def crop(px: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFrame:
     """The samples of a rectangle, from (0, 0) on."""
     return px.where(f"x >= {x0} and x < {x0 + w} and y >= {y0} and y < {y0 + h}").select("image_id", (F.col("y") - y0).alias("y"), (F.col("x") - x0).alias("x"), "v")

@@ -193,7 +193,7 @@ def lifting(px: DataFrame, axis: str, steps: list[tuple[int, float]], scale: flo
 
 #: Lifting steps (parity, factor) and scales of the biorthogonal wavelets.
 CDF97 = ([(1, -1.586134342), (0, -0.05298011854), (1, 0.8829110762), (0, 0.4435068522)], 1.149604398)
-CDF53 = ([(1, -0.5), (0, 0.25)], 1.4142135623730951)
+CDF53 = ([(1, -0.5), (0, 0.25)], 1.0)
 
 
 def inverse_lifting(px: DataFrame, axis: str, steps: list[tuple[int, float]], scale: float) -> DataFrame:

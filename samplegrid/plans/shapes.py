@@ -1,0 +1,199 @@
+"""Shapes, fields, cells, Fourier transforms, filters, recency and repeats, with SQL from their own terms where SQL can."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from samplegrid.operators import shapes, signals, window
+from samplegrid.plans import fixtures as fx
+from samplegrid.plans.registry import add
+
+_EMB = f"with {fx.EMB_RASTER}"
+_SYM = f"with {fx.DOC_BYTES}"
+
+
+def _px(name: str, query, sql: str | None = None) -> None:
+    add(name, lambda s, d: query(fx.emb_raster(s, d)), sql and f"{_EMB}{sql}")
+
+
+def _sy(name: str, query, sql: str | None = None) -> None:
+    add(name, lambda s, d: query(fx.doc_bytes(s, d)), sql and f"{_SYM}{sql}")
+
+
+# predicates and thresholds
+
+add(
+    "f1_inside",
+    lambda s, d: fx.rgb_lines(s, d).select("k1", "k2", shapes.inside("r", "g", "b").alias("inside")),
+    f"with {fx.RGB_LINES} select k1, k2, (greatest(r, g, b) + least(r, g, b))/510.0e0 <= 0.5 inside from c",
+)
+_dist = lambda p, axis: window.axis_distance(p, axis, F.col("v") > 127).withColumnRenamed("distance", axis[0] + "d")
+_both = lambda p: _dist(p, "x").join(_dist(p, "y"), ["image_id", "y", "x"])
+
+
+def _run(axis: str) -> str:
+    """Distances along an axis as the least one to a change."""
+    other, w = ("y", "partition by image_id, y order by x") if axis == "x" else ("x", "partition by image_id, x order by y")
+    return f"""c{axis} as (select *, i <> lag(i) over ({w}) s, count(*) over (partition by image_id, {other}) n from i), k{axis} as (select image_id, y, x from c{axis} where s),
+        d{axis} as (select c.image_id, c.y, c.x, (case when any_value(c.i) then -1 else 1 end) * coalesce(min(case when k.{axis} <= c.{axis} then c.{axis} - k.{axis} + 1 else k.{axis} - c.{axis} end), any_value(c.n) + c.{axis} + 1) d
+            from c{axis} c left join k{axis} k on k.image_id = c.image_id and k.{other} = c.{other} group by c.image_id, c.y, c.x)"""
+
+
+_FIELD = f", i as (select *, v > 127 i from px), {_run('x')}, {_run('y')}, t as (select image_id, y, x, a.d h, b.d v from dx a join dy b using (image_id, y, x))"
+_px("w8_axis_distance_y", lambda p: window.axis_distance(p, "y", F.col("v") > 127), f", i as (select *, v > 127 i from px), {_run('y')} select image_id, y, x, d::bigint distance from dy")
+_px(
+    "f5_field_threshold",
+    lambda p: _both(p).select(
+        "image_id", "y", "x", shapes.field_threshold("xd", "yd", 2).alias("plain"), shapes.field_threshold("xd", "yd", 1, 3.0).alias("shaded"), shapes.field_threshold("xd", "yd", 2, steps=True).alias("steps")
+    ),
+    f"""{_FIELD} select image_id, y, x, case when least(h, v) < 2 then 0 else 255 end plain, 255 - least(greatest(trunc((3 - (least(h, v) - 1))*85.0e0), 0), 255)::int shaded,
+        255 - case when least(h, v) < 2 then 127 else 0 end - case when greatest(h, v) < 2 then 127 else 0 end steps from t""",
+)
+_px(
+    "j11_distance_transform",
+    lambda p: shapes.distance_transform(p, F.col("v") > 165).select("image_id", "y", "x", *(F.round(c, 6).alias(c) for c in ("dist",))),
+    """, i as (select image_id, y, x, v > 165 i from px), eg as (select a.image_id, a.y, a.x from i a join i b on a.image_id = b.image_id and abs(a.x - b.x) + abs(a.y - b.y) = 1 and b.y between a.y - 1 and a.y + 1
+            where a.i and not b.i group by all)
+        select i.image_id, i.y, i.x, round((case when any_value(i.i) then -1 else 1 end)*greatest(1, sqrt(min((i.x - e.x)*(i.x - e.x) + (i.y - e.y)*(i.y - e.y)))), 6) dist
+        from i left join eg e on e.image_id = i.image_id group by i.image_id, i.y, i.x""",
+)
+
+# shapes: distances of points, and circles of customers on a canvas
+
+_SDF = {
+    "circle": (lambda: shapes.sdf_circle("x", "y", 20), "sqrt(x*x + y*y) - 20"),
+    "box": (lambda: shapes.sdf_box(F.col("x") - 30, F.col("y") - 20, 12, 6), "sqrt(pow(greatest(abs(x - 30) - 12, 0), 2) + pow(greatest(abs(y - 20) - 6, 0), 2)) + least(greatest(abs(x - 30) - 12, abs(y - 20) - 6), 0)"),
+    "line": (
+        lambda: shapes.sdf_line("x", "y", 5, 5, 45, 35, 4),
+        "sqrt(pow(greatest(abs((x - 25)*0.8e0 + (y - 20)*0.6e0) - 25, 0), 2) + pow(greatest(abs((y - 20)*0.8e0 - (x - 25)*0.6e0) - 2, 0), 2))"
+        " + least(greatest(abs((x - 25)*0.8e0 + (y - 20)*0.6e0) - 25, abs((y - 20)*0.8e0 - (x - 25)*0.6e0) - 2), 0)",
+    ),
+    "ellipse": (lambda: shapes.sdf_ellipse(F.col("x") - 30, F.col("y") - 30, 24, 10), "(sqrt(pow((x - 30)/24, 2) + pow((y - 30)/10, 2)) - 1)*10"),
+    "ellipse_blend": (
+        lambda: shapes.sdf_ellipse(F.col("x") - 30.5, F.col("y") - 30.5, 24, 10, "blend"),
+        """case when sqrt(pow((x - 30.5)/24, 2) + pow((y - 30.5)/10, 2)) < 1 then (sqrt(pow((x - 30.5)/24, 2) + pow((y - 30.5)/10, 2)) - 1)*10 else ((sqrt(pow((x - 30.5)/24, 2) + pow((y - 30.5)/10, 2)) - 1)*10
+            + sqrt(pow(x - 30.5, 2) + pow(y - 30.5, 2))*(1 - 1/sqrt(pow((x - 30.5)/24, 2) + pow((y - 30.5)/10, 2))))/2 end""",
+    ),
+    # a rule of the plane: the distance to the outline, and three sides of the same turn
+    "triangle": (
+        lambda: shapes.sdf_triangle("x", "y", 5, 5, 60, 8, 30, 55),
+        "(case when 55*(y - 5) - 3*(x - 5) >= 0 and -30*(y - 8) - 47*(x - 60) >= 0 and -25*(y - 55) + 50*(x - 30) >= 0 then -1 else 1 end)*sqrt(least("
+        + ", ".join(
+            f"pow(x - {ax} - {t}*({bx - ax}), 2) + pow(y - {ay} - {t}*({by - ay}), 2)"
+            for ax, ay, bx, by in ((5, 5, 60, 8), (60, 8, 30, 55), (30, 55, 5, 5))
+            for t in [f"least(greatest(((x - {ax})*({bx - ax}) + (y - {ay})*({by - ay}))/{(bx - ax) ** 2 + (by - ay) ** 2}.0e0, 0), 1)"]
+        )
+        + "))",
+    ),
+    "subtract": (lambda: shapes.sdf_subtract(shapes.sdf_circle("x", "y", 20), shapes.sdf_circle("x", "y", 40)), "greatest(20 - sqrt(x*x + y*y), sqrt(x*x + y*y) - 40)"),
+    "union": (lambda: shapes.sdf_union(shapes.sdf_circle("x", "y", 20), shapes.sdf_circle(F.col("x") - 40, "y", 10)), "least(sqrt(x*x + y*y) - 20, sqrt(pow(x - 40, 2) + y*y) - 10)"),
+    "intersect": (lambda: shapes.sdf_intersect(shapes.sdf_circle("x", "y", 30), shapes.sdf_circle(F.col("x") - 40, "y", 20)), "greatest(sqrt(x*x + y*y) - 30, sqrt(pow(x - 40, 2) + y*y) - 20)"),
+}
+add(
+    "j9_signed_distances",
+    lambda s, d: fx.points(s, d).select("id", *(F.round(f(), 6).alias(n) for n, (f, _) in _SDF.items())),
+    f"with {fx.POINTS} select id, " + ", ".join(f'round({e}, 6) "{n}"' for n, (_, e) in _SDF.items()) + " from p",
+)
+_circles = lambda s, d: fx.points(s, d).selectExpr("id", "x cx", "y cy", "cast(id % 5 + 1 as double) r", "cast(id % 256 as int) v")
+_COVER = f"""with {fx.POINTS}, k as (select id, x cx, y cy, (id % 5 + 1)::double r, (id % 256)::int v from p), gy as (select range::int y from range(64)), gx as (select range::int x from range(64)),
+    d as (select k.*, gy.y, gx.x, sqrt((gx.x - cx)*(gx.x - cx) + (gy.y - cy)*(gy.y - cy)) - r d from k join gy on gy.y between cy - r - 2 and cy + r + 2 join gx on gx.x between cx - r - 2 and cx + r + 2),
+    cv as (select *, floor((case when d > 0 then greatest(1 - d, 0) else 1 end)*255)::int a from d)"""
+_drawn = lambda s, d: shapes.rasterise(_circles(s, d), shapes.sdf_circle("dx", "dy", F.col("r")), F.col("r") + 1, 64, 64)
+add("j9_rasterise", lambda s, d: _drawn(s, d).select("id", "y", "x", "a"), f"{_COVER} select id, y, x, a from cv where a > 0")
+add(
+    "a12_composite",
+    lambda s, d: shapes.composite(_drawn(s, d), "id"),
+    f"""{_COVER}, s as (select y, x, list(struct_pack(a := a, v := v) order by id) s from cv where a > 0 group by y, x)
+        select y, x, list_reduce(list_prepend(0, list_transform(range(1, len(s) + 1), lambda i: i::int)), lambda u, i: ((u*(255 - s[i].a)) >> 8) + ((s[i].v*s[i].a) >> 8)) v from s""",
+)
+_TRIANGLES = [("c_custkey * 7 % 64", "c_custkey * 13 % 60"), ("c_custkey * 29 % 64 + 0.25", "c_custkey * 5 % 60 + 0.75"), ("c_custkey * 17 % 64 + 0.5", "c_custkey * 31 % 60 + 0.25"), ("c_custkey * 3 % 64", "c_custkey * 23 % 60 + 0.5")]
+_RING = [(*a, *b) for a, b in zip(_TRIANGLES, [*_TRIANGLES[1:], _TRIANGLES[0]], strict=True)]
+
+
+def _segments(s, d):
+    sides = ", ".join(f"struct(cast({a} as double) as ax, cast({b} as double) as ay, cast({c} as double) as bx, cast({e} as double) as by)" for a, b, c, e in _RING)
+    return fx.table(s, d, "customer").selectExpr("c_custkey shape_id", f"inline(array({sides}))")
+
+
+_SIDES = " union all ".join(f"select c_custkey shape_id, ({a})::double ax, ({b})::double ay, ({c})::double bx, ({e})::double bz from customer" for a, b, c, e in _RING)
+for _rule, _keep in (("odd", "i % 2 = 1"), ("winding", "n <> 0")):
+    add(
+        f"j10_fill_spans_{_rule}",
+        lambda s, d, r=_rule: shapes.fill_spans(_segments(s, d), r).withColumns({c: F.round(c, 6) for c in ("left", "right")}),
+        f"""with g as ({_SIDES}), y as (select *, unnest(range(floor(least(ay, bz) + 0.5)::int, floor(greatest(ay, bz) + 0.5)::int)) y from g),
+            c as (select shape_id, y::int y, case when ay < bz then 1 else -1 end dir, ax + (y - ay)*(bx - ax)/(bz - ay) cx from y),
+            w as (select *, row_number() over k i, sum(dir) over k n, lead(cx) over k nx from c window k as (partition by shape_id, y order by cx, dir rows between unbounded preceding and current row))
+            select shape_id, y, round(cx, 6) "left", round(nx, 6) "right" from w where nx is not null and {_keep}""",
+    )
+
+# colour cells
+
+_RGB = ", x as (select image_id, y, x, v r, 255 - v g, (v*7) % 256 b from px)"
+_rgb = lambda p: p.selectExpr("image_id", "y", "x", "v r", "255 - v g", "v * 7 % 256 b")
+_WHOLE = ", yuv as (select image_id, y, x, 16 + ((66*r + 129*g + 25*b + 128)>>8) l, 128 + ((-38*r - 74*g + 112*b + 128)>>8) u, 128 + ((112*r - 94*g - 18*b + 128)>>8) v from x)"
+_I = "(r*0.30e0 + g*0.59e0 + b*0.11e0)"
+_REAL = f""", yuv as (select image_id, y, x, {_I} l, ((b - {_I})*-0.27e0 + (r - {_I})*0.74e0)*0.8393e0 + 127 u, ((b - {_I})*0.41e0 + (r - {_I})*0.48e0)*0.9567e0 + 127 v from x)"""
+_cells = lambda p, w: shapes.color_cells(_rgb(p), w)
+
+
+def _cells_sql(whole: bool) -> str:
+    div = (lambda a, b: f"(({a})::bigint // {b})") if whole else (lambda a, b: f"({a}/{b})")
+    cut = (lambda x: f"({x})::int") if whole else (lambda x: f"trunc(least(greatest({x}, 0), 255))::int")
+    return f"""{_RGB}{_WHOLE if whole else _REAL}, m as (select image_id, y // 4 by_, x // 4 bx, {div('sum(l)', 16)} m, {div('sum(u)', 16)} u, {div('sum(v)', 16)} v from yuv group by all having count(*) = 16)
+        select m.image_id, by_::int "by", m.bx::int bx, {cut(f"coalesce({div('sum(l) filter (l >= m)', 'count(*) filter (l >= m)')}, 0)")} upper,
+            {cut(f"coalesce({div('sum(l) filter (l < m)', 'nullif(count(*) filter (l < m), 0)')}, 0)")} lower, {cut('any_value(m.u)')} u, {cut('any_value(m.v)')} v,
+            sum(case when l >= m then 1 << (y % 4 * 4 + x % 4) else 0 end)::int bits
+        from m join yuv on yuv.image_id = m.image_id and yuv.y // 4 = by_ and yuv.x // 4 = m.bx group by m.image_id, by_, m.bx"""
+
+
+for _whole in (True, False):
+    _px("a6_color_cells" if _whole else "a6_color_cells_real", lambda p, w=_whole: _cells(p, w), _cells_sql(_whole))
+_clip = lambda s: f"trunc(least(greatest({s}, 0), 255))::int"
+_px(
+    "a6_expand_cells",
+    lambda p: shapes.expand_cells(_cells(p, True)),
+    _cells_sql(True).replace("\n        select m.image_id", ", c as (select m.image_id", 1)
+    + f""") , o as (select image_id, (c."by"*4 + i // 4)::int y, (c.bx*4 + i % 4)::int x, (case when (bits >> i) & 1 = 1 then upper else lower end - 16)*298 + 128 l, u - 128 u, v - 128 v
+        from (select *, unnest(range(16))::int i from c) c)
+        select image_id, y, x, {_clip('(l + 409*v) >> 8')} r, {_clip('(l - 100*u - 208*v) >> 8')} g, {_clip('(l + 516*u) >> 8')} b from o""",
+)
+
+# signals
+
+_DFT = ", z as (select image_id, y, x, v::double v from px), k as (select range::int k from range(64))"
+_px(
+    "j7_dft",
+    lambda p: signals.dft(p).withColumns({c: F.round(c, 4) + 0.0 for c in ("re", "im")}),
+    f"{_DFT} select image_id, y, k, round(sum(v*cos(-2*pi()*((k*x) % 64)/64)), 4) + 0.0 re, round(sum(v*sin(-2*pi()*((k*x) % 64)/64)), 4) + 0.0 im from z, k group by image_id, y, k",
+)
+_px(
+    "j7_dft_inverse",
+    lambda p: signals.dft(signals.dft(p), True).select("image_id", "y", "x", F.round("re").cast("int").alias("v")),
+    " select image_id, y, x, v from px",
+)
+_px("j7_fft_filter", lambda p: signals.fft_filter(p, 8, "low").withColumn("v", F.round("v", 4)))
+_T = signals.butterworth_terms(4, 44)
+_events = lambda s, d: fx.table(s, d, "events").selectExpr("user_id", "ts", "event_id", "value v")
+add(
+    "st1_butterworth",
+    lambda s, d: signals.butterworth(_events(s, d), "user_id", ["ts", "event_id"], _T).select("user_id", "event_id", F.round("filtered", 6).alias("filtered")),
+    f"""with recursive e as (select user_id, event_id, value v, row_number() over (partition by user_id order by ts, event_id) i from events),
+        f as (select user_id, 0::bigint i, 0::bigint event_id, 0::double x1, 0::double x2, 0::double y1, 0::double y2 from e where i = 1
+            union all select e.user_id, e.i, e.event_id, e.v, f.x1, {_T[0]}e0*e.v + {_T[1]}e0*f.x1 + {_T[2]}e0*f.x2 - ({_T[3]}e0)*f.y1 - ({_T[4]}e0)*f.y2, f.y1 from f join e on e.user_id = f.user_id and e.i = f.i + 1)
+        select user_id, event_id, round(y1, 6) filtered from f where i > 0""",
+)
+_digest = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("rank").alias("total"), F.sum(F.expr("rank * (pos % 97 + 1)")).alias("weighted"))
+_sy("o9_recency_rank", lambda y: _digest(signals.recency_rank(y)))
+_sy("o9_recency_rank_wide", lambda y: _digest(signals.recency_rank(y, 2)))
+_sy("o9_bump_rank", lambda y: _digest(signals.bump_rank(y)))
+_sy("w12_geometric_recency", lambda y: signals.recency_bits(y).withColumn("bits", F.round("bits", 4)))
+_sy(
+    "j12_repeats",
+    lambda y: signals.repeats(y, (16, 64)),
+    """, t as (select doc_id, hex(encode(text)) h from documents where text <> ''), p as (select doc_id, h, unnest(range(length(h) // 2)) pos from t), l as (select *, unnest([16, 64]) len from p),
+        k as (select doc_id, pos, len, substr(h, 2*pos + 1, 2*len) g from l where 2*(pos + len) <= length(h)),
+        m as (select doc_id, pos, len, min(pos) over (partition by doc_id, len, g order by pos range between 8172 preceding and 1 preceding) "match" from k)
+        select doc_id, pos, len, "match" from m where "match" is not null""",
+)
