@@ -70,11 +70,12 @@ _lines(
         "length": F.round(scalar.vector_length("r", "g"), 6), "dot": scalar.dot("r", "g", "g", "b"), "cross": scalar.cross("r", "g", "g", "b"),
         "nx": F.round(scalar.normalized("r", "g")[0], 6), "ny": F.round(scalar.normalized("r", "g")[1], 6),
         "rx": F.round(scalar.rotate2("r", "g", F.col("b") / 40)[0], 6) + 0.0, "ry": F.round(scalar.rotate2("r", "g", F.col("b") / 40)[1], 6) + 0.0,
-        **{f"i{k}": F.round(c, 6) + 0.0 for k, c in enumerate(scalar.invert2("r", "g", "b", F.col("r") + 1))},
+        # a little more, so that exact halves are rounded alike
+        **{f"i{k}": F.round(c + 1e-9, 6) + 0.0 for k, c in enumerate(scalar.invert2("r", "g", "b", F.col("r") + 1))},
     },
     """, t as (select *, b/40.0e0 a, nullif((r*(r + 1) - g*b)::double, 0) det, sqrt((r*r + g*g)::double) l from c)
         select k1, k2, round(l, 6) length, r*g + g*b dot, r*b - g*g "cross", round(case when l = 0 then 0 else r/l end, 6) nx, round(case when l = 0 then 0 else g/l end, 6) ny,
-            round(r*cos(a) + g*sin(a), 6) + 0.0 rx, round(g*cos(a) - r*sin(a), 6) + 0.0 ry, round((r + 1)/det, 6) + 0.0 i0, round(-g/det, 6) + 0.0 i1, round(-b/det, 6) + 0.0 i2, round(r/det, 6) + 0.0 i3 from t""",
+            round(r*cos(a) + g*sin(a), 6) + 0.0 rx, round(g*cos(a) - r*sin(a), 6) + 0.0 ry, round((r + 1)/det + 1e-9, 6) + 0.0 i0, round(-g/det + 1e-9, 6) + 0.0 i1, round(-b/det + 1e-9, 6) + 0.0 i2, round(r/det + 1e-9, 6) + 0.0 i3 from t""",
 )
 _lines(
     "o1_morton3_decode",

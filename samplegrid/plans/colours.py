@@ -149,7 +149,7 @@ color_query("c14_oklab_srgb", _lab(color.oklab_to_srgb), tuple(map(_steps, _from
 _POLAR = ("(r/255.0e0)", "((g/640.0e0)*cos((b - 20)/255.0e0*2*pi()))", "((g/640.0e0)*sin((b - 20)/255.0e0*2*pi()))")
 _POLAR = (_POLAR[0], *(f"(case when b < 20 then 0 else {x} end)" for x in _POLAR[1:]))
 _polar = lambda r, g, b: color.from_oklch(_col(r) / 255, _col(g) / 640, (_col(b) - 20) / 255)
-color_query("c15_oklch_inverse", _polar, _POLAR)
+color_query("c15_oklch_inverse", _polar, _POLAR, 7)
 color_query("c15_oklch_rgb", lambda *c: color.oklab_to_rgb(*_polar(*c)), _clips(*(f"{_gamma(x)}*255" for x in _from_oklab(*_POLAR))), None)
 color_query("c16_gamma", _unit(lambda *c: map(color.gamma, c)), tuple(map(_gamma, _UNIT)))
 color_query("c16_linear_table", lambda *c: (color.linear_of_byte(_col(x) + 0.75) for x in c), tuple(map(_srgb_linear, "rgb")))

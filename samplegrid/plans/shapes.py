@@ -193,7 +193,7 @@ _sy(
     "j12_repeats",
     lambda y: signals.repeats(y, (16, 64)),
     """, t as (select doc_id, hex(encode(text)) h from documents where text <> ''), p as (select doc_id, h, unnest(range(length(h) // 2)) pos from t), l as (select *, unnest([16, 64]) len from p),
-        k as (select doc_id, pos, len, substr(h, 2*pos + 1, 2*len) g from l where 2*(pos + len) <= length(h)),
+        k as (select doc_id, pos, len, hash(substr(h, 2*pos + 1, 2*len)) g from l where 2*(pos + len) <= length(h)),
         m as (select doc_id, pos, len, min(pos) over (partition by doc_id, len, g order by pos range between 8172 preceding and 1 preceding) "match" from k)
         select doc_id, pos, len, "match" from m where "match" is not null""",
 )
