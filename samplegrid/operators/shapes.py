@@ -137,6 +137,35 @@ def distance_transform(px: DataFrame, inside: Column) -> DataFrame:
     return rows.selectExpr("image_id", "y", "x", "if(inside, -n, n) dist", "(b.x - x) / n gx", "(b.y - y) / n gy")
 
 
+def reachable(field: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(image_id, y, x, hit) of field(image_id, y, x, dist) and start(image_id, y, x): what is seen from the starts by jumps of the whole distance, of 3 at
+    least, to the left, right, top and bottom. Each round takes the places that no disc of an earlier round covers, marks them (hit) and
+    the disc of one less than their distance around them, and goes on to their four ends inside the image. Rounds run until there
+    is no place left; each is a checkpoint."""
+    from samplegrid.operators.gather import sizes
+    from samplegrid.operators.wavelet import cut
+
+    known = cut(field.selectExpr("image_id", "y", "x", "cast(dist as int) rad").join(sizes(field), "image_id").where("rad >= 3"))
+    bounds = sizes(field)
+    front, seen = start.select("image_id", "y", "x").distinct(), None
+    for _ in range(max_rounds):
+        front = cut(front.join(known, ["image_id", "y", "x"]))
+        if not front.limit(1).count():
+            break
+        disc = front.selectExpr("*", "explode(sequence(1 - rad, rad - 1)) dy").selectExpr("*", "explode(sequence(1 - rad, rad - 1)) dx")
+        disc = disc.where("dx * dx + dy * dy <= (rad - 1) * (rad - 1)").selectExpr("image_id", "y + dy y", "x + dx x", "dx = 0 and dy = 0 hit")
+        disc = disc.join(bounds, "image_id").where("y >= 0 and x >= 0 and y < h and x < w").select("image_id", "y", "x", "hit")
+        seen = disc if seen is None else seen.unionByName(disc)
+        seen = cut(seen.groupBy("image_id", "y", "x").agg(F.bool_or("hit").alias("hit")))
+        ends = "array(struct(y as y, x - rad as x), struct(y as y, x + rad as x), struct(y - rad as y, x as x), struct(y + rad as y, x as x))"
+        ends = front.selectExpr("image_id", "w", "h", "y y0", "x x0", f"inline({ends})")
+        ends = ends.where("(x = x0 or (x > 0 and x < w)) and (y = y0 or (y > 0 and y < h))").select("image_id", "y", "x").distinct()
+        front = ends.join(seen, ["image_id", "y", "x"], "left_anti")
+    if seen is None:
+        return field.selectExpr("image_id", "y", "x", "true hit").limit(0)
+    return seen
+
+
 def field_threshold(h, v, t: float, shade: float | None = None, steps: bool = False) -> Column:
     """0 where the smaller of two distances is below t, else 255; with shade, a ramp of that width; with steps, 127 less for each of both
     distances that is below t."""

@@ -174,3 +174,20 @@ def repeats(sy: DataFrame, lengths: tuple[int, ...], window: int = 8172) -> Data
     rows = p.select("doc_id", "pos", F.inline(F.array(*(F.struct(F.lit(k).alias("len"), F.col(f"h{k}").alias("h")) for k in lengths)))).where("h is not null")
     same = Window.partitionBy("doc_id", "len", "h").orderBy("pos")
     return rows.withColumn("match", F.min("pos").over(same.rangeBetween(-window, -1))).where("match is not null").select("doc_id", "pos", "len", "match")
+
+
+def longest_match(sy: DataFrame, window: int = 256, min_len: int = 3) -> DataFrame:
+    """(doc_id, pos, len, distance): the longest run of symbols from pos on, of min_len (3 or more) at least, that also begins up to `window`
+    symbols before; of equally long ones the nearest. Runs may overlap. Places with the same three symbols meet by document, symbols and a cell of
+    `window` places, so a frequent triple makes at most 2 * window pairs a place; on each distance, runs of such pairs are the matches."""
+    w = line()
+    p = sy.select("doc_id", F.col("pos").cast("long").alias("pos"), (F.col("s") * 65536 + F.lead("s", 1).over(w) * 256 + F.lead("s", 2).over(w)).alias("g")).where("g is not null")
+    p = p.withColumn("cell", F.expr(f"pos div {window}"))
+    earlier = p.selectExpr("doc_id", "g", "pos before", "explode(array(cell, cell + 1)) cell")
+    pairs = p.join(earlier, ["doc_id", "g", "cell"]).where(f"before < pos and pos - before <= {window}").selectExpr("doc_id", "pos", "pos - before distance")
+    diagonal = Window.partitionBy("doc_id", "distance").orderBy("pos")
+    runs = pairs.withColumn("island", F.col("pos") - F.row_number().over(diagonal))
+    end = F.max("pos").over(Window.partitionBy("doc_id", "distance", "island"))
+    found = runs.select("doc_id", "pos", "distance", (end - F.col("pos") + 3).alias("len")).where(f"len >= {min_len}")
+    best = found.groupBy("doc_id", "pos").agg(F.max(F.struct("len", (-F.col("distance")).alias("d"))).alias("b"))
+    return best.select("doc_id", "pos", "b.len", (-F.col("b.d")).alias("distance"))

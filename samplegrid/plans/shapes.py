@@ -197,3 +197,17 @@ _sy(
         m as (select doc_id, pos, len, min(pos) over (partition by doc_id, len, g order by pos range between 8172 preceding and 1 preceding) "match" from k)
         select doc_id, pos, len, "match" from m where "match" is not null""",
 )
+_sy(
+    "j15_longest_match",
+    lambda y: signals.longest_match(y, 64),
+    f""", g as (select doc_id, pos, s*65536 + lead(s, 1) over ({"partition by doc_id order by pos"}) * 256 + lead(s, 2) over ({"partition by doc_id order by pos"}) g, pos // 64 cell from sy),
+        b as (select doc_id, g, pos before, unnest([cell, cell + 1]) cell from g where g is not null), q as (select g.doc_id, g.pos, g.pos - before d from g join b using (doc_id, g, cell) where before < pos and pos - before <= 64),
+        r as (select *, pos - row_number() over (partition by doc_id, d order by pos) k from q), m as (select *, max(pos) over (partition by doc_id, d, k) - pos + 3 len from r)
+        select doc_id, pos::bigint pos, len::bigint len, d::bigint distance from m qualify row_number() over (partition by doc_id, pos order by len desc, d) = 1""",
+)
+# jumps over the blurred pictures as if they were distances, from the middle of each
+_jumps = lambda p: window.box_blur(p, 3).selectExpr("image_id", "y", "x", "v / 24 dist")
+_px(
+    "j13_reachable",
+    lambda p: shapes.reachable(_jumps(p), _jumps(p).groupBy("image_id").agg(F.expr("cast(max(y) div 2 as int) y"), F.expr("cast(max(x) div 2 as int) x"))),
+)

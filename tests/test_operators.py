@@ -251,6 +251,39 @@ def test_reachable_spans_and_shapes(spark):
     assert one(spark, shapes.coverage(F.lit(-3.0)), shapes.coverage(F.lit(0.5)), shapes.coverage(F.lit(2.0))) == (255, 127, 0)
 
 
+def test_reachable_by_rounds(spark):
+    side, dist = 24, lambda y, x: 2.5 if 10 <= x <= 11 and y < 16 else 4.7
+    field = spark.createDataFrame([(1, y, x, dist(y, x)) for y in range(side) for x in range(side)], "image_id long, y int, x int, dist double")
+    hits, seen, front = set(), set(), {(5, 4)}
+    while front := {(y, x) for y, x in front if dist(y, x) >= 3}:
+        hits |= front
+        for y, x in front:
+            seen |= {(y + b, x + a) for b in range(-3, 4) for a in range(-3, 4) if a * a + b * b <= 9 and 0 <= y + b < side and 0 <= x + a < side}
+        ends = {(y, x + a) for y, x in front for a in (-4, 4) if 0 < x + a < side} | {(y + b, x) for y, x in front for b in (-4, 4) if 0 < y + b < side}
+        front = ends - seen
+    got = shapes.reachable(field, spark.createDataFrame([(1, 5, 4), (1, 5, 4)], "image_id long, y int, x int")).collect()
+    assert {(r.y, r.x) for r in got} == seen and {(r.y, r.x) for r in got if r.hit} == hits and len(hits) > 10
+    assert shapes.reachable(field, spark.createDataFrame([(1, 0, 10)], "image_id long, y int, x int")).count() == 0
+
+
+def test_longest_match_by_loop(spark):
+    rng = random.Random(2)
+    docs = [[rng.choice(b"ab") for _ in range(80)], list(b"abcabcabcx"), [1, 2]]
+    want = {}
+    for d, doc in enumerate(docs):
+        for i in range(len(doc)):
+            best = (0, 0)
+            for j in range(max(0, i - 16), i):
+                n = 0
+                while i + n < len(doc) and doc[i + n] == doc[j + n]:
+                    n += 1
+                best = max(best, (n, j - i))
+            if best[0] >= 3:
+                want[d, i] = (best[0], -best[1])
+    got = {(r.doc_id, r.pos): (r.len, r.distance) for r in signals.longest_match(symbols_of(spark, *docs), 16).collect()}
+    assert got == want
+
+
 NEW = """c1_ycbcr24 c9_hsp_inverse c10_hcl_inverse c19_colour_pickers c20_invert_hsp src4_pack_argb e3_more_code_lengths e4_texts e10_vectors a2_ngrams_8 a3_huffman_size a5_golomb
     w5_decompose w5_3d w5b_morton w6_soft o3_storage_order r1_resize_fast r2_resize_bicubic a8_range_restore j2_rotate j3_rotate_shear j4_best_rotation j10_fill_spans_winding j11_distance_transform
     a12_composite a6_expand_cells j7_dft st1_butterworth snk1_deinterleave w11_run_blocks w12_adaptive_preset""".split()
