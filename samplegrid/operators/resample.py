@@ -60,27 +60,28 @@ def resize_bicubic(px: DataFrame, w: int, h: int) -> DataFrame:
     return px
 
 
-def resize_spline(px: DataFrame, w: int, h: int) -> DataFrame:
-    """w by h samples by a cubic spline through each whole scanline, not-a-knot ends; the last output is the last input. Each axis by its own
-    ratio. The system of a scanline is solved in its group."""
+def _spline_axis(df: DataFrame, axis: str, count) -> DataFrame:
+    """df with count(n) samples on each line of n along an axis, by a spline through the whole line, solved in its group."""
+    other = "y" if axis == "x" else "x"
 
-    def along_axis(df: DataFrame, axis: str, n: int) -> DataFrame:
-        other = "y" if axis == "x" else "x"
+    def solve(pdf):
+        import numpy as np
 
-        def solve(pdf):
-            import numpy as np
+        a = pdf.sort_values(axis)["v"].to_numpy(float)
+        n = count(len(a))
+        out = spline(a, np.minimum(np.arange(n) * (len(a) / n), len(a) - 1))
+        out[-1:] = a[-1]
+        return type(pdf)({"image_id": pdf["image_id"].iloc[0], other: pdf[other].iloc[0], axis: np.arange(n, dtype=np.int32), "v": out})
 
-            a = pdf.sort_values(axis)["v"].to_numpy(float)
-            at = np.minimum(np.arange(n) * (len(a) / n), len(a) - 1)
-            out = spline(a, at)
-            out[-1] = a[-1]
-            return type(pdf)({"image_id": pdf["image_id"].iloc[0], other: pdf[other].iloc[0], axis: np.arange(n, dtype=np.int32), "v": out})
+    kind = df.schema["image_id"].dataType.simpleString()
+    return df.groupBy("image_id", other).applyInPandas(solve, f"image_id {kind}, {other} int, {axis} int, v double")
 
-        kind = df.schema["image_id"].dataType.simpleString()
-        return df.groupBy("image_id", other).applyInPandas(solve, f"image_id {kind}, {other} int, {axis} int, v double")
 
-    out = along_axis(along_axis(px.selectExpr("image_id", "cast(y as int) y", "cast(x as int) x", "v"), "x", w), "y", h)
-    return out.select("image_id", "y", "x", "v")
+def resize_spline(px: DataFrame, w: int, h: int) -> DataFrame:
+    """w by h samples by a cubic spline through each whole scanline, not-a-knot ends; the last output is the last input. Each axis by its own
+    ratio."""
+    p = px.selectExpr("image_id", "cast(y as int) y", "cast(x as int) x", "v")
+    return _spline_axis(_spline_axis(p, "x", lambda n: w), "y", lambda n: h).select("image_id", "y", "x", "v")
 
 
 def spline(a, at):
@@ -112,8 +113,12 @@ def spline(a, at):
 
 def reduce_field(px: DataFrame, rounds: int, how: str = "zero") -> DataFrame:
     """Fields at half the sides, `rounds` times: the value nearest to zero of each 2 by 2 cell (zero; of equal distances the smaller one),
-    their mean (mean), or the first (nearest). A last odd row or column is left out."""
+    their mean (mean), the first (nearest), or a spline along each line (cubic). A last odd row or column is left out."""
     for _ in range(rounds):
+        if how == "cubic":
+            p = px.selectExpr("image_id", "cast(y as int) y", "cast(x as int) x", "v")
+            px = _spline_axis(_spline_axis(p, "x", lambda n: n // 2), "y", lambda n: n // 2).select("image_id", "y", "x", "v")
+            continue
         cell = px.join(sizes(px), "image_id").where("x div 2 < w div 2 and y div 2 < h div 2")
         if how == "nearest":
             px = cell.where("x % 2 = 0 and y % 2 = 0").selectExpr("image_id", "cast(y div 2 as int) y", "cast(x div 2 as int) x", "v")

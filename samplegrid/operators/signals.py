@@ -191,3 +191,65 @@ def longest_match(sy: DataFrame, window: int = 256, min_len: int = 3) -> DataFra
     found = runs.select("doc_id", "pos", "distance", (end - F.col("pos") + 3).alias("len")).where(f"len >= {min_len}")
     best = found.groupBy("doc_id", "pos").agg(F.max(F.struct("len", (-F.col("distance")).alias("d"))).alias("b"))
     return best.select("doc_id", "pos", "b.len", (-F.col("b.d")).alias("distance"))
+
+
+def lyndon_starts(s: list[int]) -> list[int]:
+    """Where the words of the factorization of s into falling words begin, each of which is less than its own rotations."""
+    out, i, n = [], 0, len(s)
+    while i < n:
+        j, k = i + 1, i
+        while j < n and s[k] <= s[j]:
+            k = i if s[k] < s[j] else k + 1
+            j += 1
+        while i <= k:
+            out.append(i)
+            i += j - k
+    return out
+
+
+def rotation_sort(sy: DataFrame) -> DataFrame:
+    """(doc_id, out, s): for all rotations of all words of a document's factorization, in order, the symbol before each in its word. Ranks of
+    2n symbols are made of ranks of n, so the rounds are the logarithm of the longest word. A document is one group."""
+
+    def run(pdf):
+        import numpy as np
+
+        s = pdf.sort_values("pos")["s"].to_numpy()
+        n = len(s)
+        starts = np.array([*lyndon_starts(s.tolist()), n])
+        ahead, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ahead[starts[1:] - 1], before[starts[:-1]] = starts[:-1], starts[1:] - 1
+        rank, step, reach = s.astype(np.int64), ahead, 1
+        while True:
+            both = rank * (int(rank.max(initial=0)) + 1) + rank[step]
+            values, new = np.unique(both, return_inverse=True)
+            done = reach >= n or (len(values) == len(np.unique(rank)) and reach > 1)
+            rank, step, reach = new, step[step], 2 * reach
+            if done:
+                break
+        order = np.argsort(rank, kind="stable")
+        return type(pdf)({"doc_id": pdf["doc_id"].iloc[0], "out": np.arange(n, dtype=np.int32), "s": s[before[order]].astype(np.int32)})
+
+    return sy.select("doc_id", "pos", "s").groupBy("doc_id").applyInPandas(run, "doc_id long, out int, s int")
+
+
+def rotation_unsort(df: DataFrame) -> DataFrame:
+    """(doc_id, pos, s): inverse of rotation_sort(). Each cycle of the stable sort's permutation is one word, from its end; the words come from the
+    last one."""
+
+    def run(pdf):
+        import numpy as np
+
+        s = pdf.sort_values("out")["s"].to_numpy()
+        n = len(s)
+        to = np.empty(n, np.int64)
+        to[np.argsort(s, kind="stable")] = np.arange(n)
+        to, symbols, seen, out = to.tolist(), s.tolist(), bytearray(n), []
+        for i in range(n):
+            while not seen[i]:
+                seen[i] = 1
+                out.append(symbols[i])
+                i = to[i]
+        return type(pdf)({"doc_id": pdf["doc_id"].iloc[0], "pos": np.arange(n, dtype=np.int32), "s": np.array(out[::-1], np.int32)})
+
+    return df.select("doc_id", "out", "s").groupBy("doc_id").applyInPandas(run, "doc_id long, pos int, s int")

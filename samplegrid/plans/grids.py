@@ -255,6 +255,7 @@ _px(
     f", q as {_taps_sql('px', 'y', '40', _cubic(40), 'sum(v*t.t.c)')}, r as {_taps_sql('q', 'x', '48', _cubic(48), 'sum(v*t.t.c)')} select image_id, y, x, round(v + 1e-7, 4) + 0.0 v from r",
 )
 _px("r3_resize_spline", lambda p: _round(resample.resize_spline(p, 96, 80)))
+_px("r5_reduce_cubic", lambda p: _round(resample.reduce_field(p, 2, "cubic")))
 _bilinear = lambda n: f"[{_tap(f'floor(o*(s/{n}.0e0))', f'1 - (o*(s/{n}.0e0) - floor(o*(s/{n}.0e0)))')}, {_tap(f'least(floor(o*(s/{n}.0e0)) + 1, s - 1)', f'o*(s/{n}.0e0) - floor(o*(s/{n}.0e0))')}]"
 _nearest = lambda n: f"[{_tap(f'floor(o*(s/{n}.0e0))', 1)}]"
 for _how, _taps in (("bilinear", _bilinear), ("nearest", _nearest)):

@@ -189,6 +189,8 @@ _sy("o9_recency_rank", lambda y: _digest(signals.recency_rank(y)))
 _sy("o9_recency_rank_wide", lambda y: _digest(signals.recency_rank(y, 2)))
 _sy("o9_bump_rank", lambda y: _digest(signals.bump_rank(y)))
 _sy("w12_geometric_recency", lambda y: signals.recency_bits(y).withColumn("bits", F.round("bits", 4)))
+_sy("o6_rotation_sort", lambda y: signals.rotation_sort(y).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.expr("cast(s as bigint) * (out % 97 + 1)")).alias("weighted")))
+_sy("o6_rotation_unsort", lambda y: signals.rotation_unsort(signals.rotation_sort(y)), " select doc_id, pos, s from sy")
 _sy(
     "j12_repeats",
     lambda y: signals.repeats(y, (16, 64)),

@@ -251,6 +251,34 @@ def test_reachable_spans_and_shapes(spark):
     assert one(spark, shapes.coverage(F.lit(-3.0)), shapes.coverage(F.lit(0.5)), shapes.coverage(F.lit(2.0))) == (255, 127, 0)
 
 
+def test_rotation_sort_by_loop(spark):
+    rng = random.Random(5)
+    docs = [list(b"banana"), list(b"mississippi"), [3], [1, 1, 1, 1], *([rng.choice(b"abc") for _ in range(rng.randint(2, 40))] for _ in range(12))]
+
+    def words(s):
+        # the longest beginning that is less than all its ends, again and again
+        out = []
+        while s:
+            n = max(k for k in range(1, len(s) + 1) if all(s[:k] < s[i:k] for i in range(1, k)))
+            out.append(s[:n])
+            s = s[n:]
+        return out
+
+    sy = symbols_of(spark, *docs)
+    got = {}
+    for r in signals.rotation_sort(sy).orderBy("doc_id", "out").collect():
+        got.setdefault(r.doc_id, []).append(r.s)
+    for d, doc in enumerate(docs):
+        turns = [((w[i:] + w[:i]) * (2 * len(doc)), w[i - 1]) for w in words(doc) for i in range(len(w))]
+        assert got[d] == [last for _, last in sorted(turns, key=lambda t: t[0][: 2 * len(doc)])]
+    assert sorted(map(tuple, signals.rotation_unsort(signals.rotation_sort(sy)).collect())) == sorted(map(tuple, sy.collect()))
+
+
+def test_cubic_reduction(spark):
+    got = grid(resample.reduce_field(image(spark, [[3 * x + y for x in range(8)] for y in range(8)]), 1, "cubic"))
+    assert got[0, 0] == pytest.approx(0) and got[1, 2] == pytest.approx(14) and len(got) == 16
+
+
 def test_reachable_by_rounds(spark):
     side, dist = 24, lambda y, x: 2.5 if 10 <= x <= 11 and y < 16 else 4.7
     field = spark.createDataFrame([(1, y, x, dist(y, x)) for y in range(side) for x in range(side)], "image_id long, y int, x int, dist double")
