@@ -166,6 +166,28 @@ def reachable(field: DataFrame, start: DataFrame, max_rounds: int = 100) -> Data
     return seen
 
 
+def map_texture(triangles: DataFrame, texture: DataFrame, w: int, h: int) -> DataFrame:
+    """(shape_id, y, x, v) of triangles(shape_id, image_id, x1, y1, z1, u1, v1, ... v3) on a w by h canvas: the sample of the image texture(image_id, y, x, v)
+    at each place of a triangle, right in perspective: 1 / z, u / z and v / z are linear across it and divided at every sample. Places
+    on an edge belong to the triangle; u and v are cut to whole numbers and pinned to the image; flat triangles give nothing. Each triangle makes the samples of its
+    own box, which meet the texture in one equi-join."""
+    from samplegrid.operators.gather import sizes
+
+    t = triangles.withColumn("area", F.expr("(x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)")).where("area <> 0")
+    for axis, side in (("y", h), ("x", w)):
+        ends = [f"{axis}{k}" for k in (1, 2, 3)]
+        first, last = F.greatest(F.ceil(F.least(*ends)), F.lit(0)), F.least(F.floor(F.greatest(*ends)), F.lit(side - 1))
+        t = t.where(first <= last).withColumn(axis, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    t = t.withColumn("a", F.expr("((x2 - x) * (y3 - y) - (x3 - x) * (y2 - y)) / area")).withColumn("b", F.expr("((x3 - x) * (y1 - y) - (x1 - x) * (y3 - y)) / area")).withColumn("c", F.expr("1 - a - b"))
+    t = t.where("a >= -1e-9D and b >= -1e-9D and c >= -1e-9D").withColumn("iz", F.expr("a / z1 + b / z2 + c / z3"))
+    for name in "uv":
+        t = t.withColumn(name, F.expr(f"(a * {name}1 / z1 + b * {name}2 / z2 + c * {name}3 / z3) / iz"))
+    t = t.join(sizes(texture).withColumnsRenamed({"w": "tw", "h": "th"}), "image_id")
+    # a little more, so that whole numbers stay what they are
+    t = t.selectExpr("shape_id", "image_id", "y", "x", "cast(least(greatest(floor(v + 1e-6D), 0), th - 1) as int) ty", "cast(least(greatest(floor(u + 1e-6D), 0), tw - 1) as int) tx")
+    return t.join(texture.selectExpr("image_id", "y ty", "x tx", "v"), ["image_id", "ty", "tx"]).select("shape_id", "y", "x", "v")
+
+
 def field_threshold(h, v, t: float, shade: float | None = None, steps: bool = False) -> Column:
     """0 where the smaller of two distances is below t, else 255; with shade, a ramp of that width; with steps, 127 less for each of both
     distances that is below t."""

@@ -213,3 +213,19 @@ _px(
     "j13_reachable",
     lambda p: shapes.reachable(_jumps(p), _jumps(p).groupBy("image_id").agg(F.expr("cast(max(y) div 2 as int) y"), F.expr("cast(max(x) div 2 as int) x"))),
 )
+_CORNERS = [("c_custkey * 7 % 64", "c_custkey * 13 % 60", "1 + c_custkey % 5"), ("c_custkey * 29 % 64 + 0.25", "c_custkey * 5 % 60 + 0.75", "2 + c_custkey % 3"), ("c_custkey * 17 % 64 + 0.5", "c_custkey * 31 % 60 + 0.25", "1.5")]
+_UV = [("0", "0"), ("63", "c_custkey % 40"), ("c_custkey % 64", "39")]
+_FIELDS = [(f"{n}{k}", e) for k, (corner, uv) in enumerate(zip(_CORNERS, _UV, strict=True), 1) for n, e in zip("xyzuv", (*corner, *uv), strict=True)]
+add(
+    "j14_map_texture",
+    lambda s, d: shapes.map_texture(
+        fx.table(s, d, "customer").selectExpr("c_custkey shape_id", "cast(c_custkey % 10 as bigint) image_id", *(f"cast({e} as double) {n}" for n, e in _FIELDS)), fx.emb_raster(s, d), 64, 64
+    ),
+    f"""{_EMB}, t as (select c_custkey shape_id, (c_custkey % 10)::bigint image_id, {", ".join(f"({e})::double {n}" for n, e in _FIELDS)} from customer),
+        ar as (select *, (x2 - x1)*(y3 - y1) - (x3 - x1)*(y2 - y1) area from t), gy as (select range::int y from range(64)), gx as (select range::int x from range(64)),
+        g as (select *, ((x2 - x)*(y3 - y) - (x3 - x)*(y2 - y))/area a, ((x3 - x)*(y1 - y) - (x1 - x)*(y3 - y))/area b from ar join gy on y between least(y1, y2, y3) and greatest(y1, y2, y3)
+            join gx on x between least(x1, x2, x3) and greatest(x1, x2, x3) where area <> 0),
+        n as (select *, 1 - a - b c from g), z as (select *, a/z1 + b/z2 + c/z3 iz from n where a >= -1e-9 and b >= -1e-9 and c >= -1e-9), m as (select image_id, max(x) tw, max(y) th from px group by image_id),
+        f as (select shape_id, z.image_id, y, x, least(greatest(floor((a*v1/z1 + b*v2/z2 + c*v3/z3)/iz + 1e-6), 0), th)::int ty, least(greatest(floor((a*u1/z1 + b*u2/z2 + c*u3/z3)/iz + 1e-6), 0), tw)::int tx from z join m on m.image_id = z.image_id)
+        select shape_id, f.y, f.x, px.v from f join px on px.image_id = f.image_id and px.y = ty and px.x = tx""",
+)

@@ -251,6 +251,14 @@ def test_reachable_spans_and_shapes(spark):
     assert one(spark, shapes.coverage(F.lit(-3.0)), shapes.coverage(F.lit(0.5)), shapes.coverage(F.lit(2.0))) == (255, 127, 0)
 
 
+def test_texture_of_a_flat_triangle_is_the_picture(spark):
+    corners = {"x1": 0.0, "y1": 0.0, "x2": 11.0, "y2": 0.0, "x3": 0.0, "y3": 8.0}
+    fields = corners | {f"z{k}": 2.0 for k in (1, 2, 3)} | {f"{n}{k}": corners[f"{c}{k}"] for k in (1, 2, 3) for n, c in (("u", "x"), ("v", "y"))}
+    triangle = spark.createDataFrame([(7, 0, *fields.values())], "shape_id int, image_id long, " + ", ".join(f"{n} double" for n in fields))
+    got = grid(shapes.map_texture(triangle, image(spark, NOISE), 20, 20))
+    assert got == {(y, x): NOISE[y][x] for y in range(9) for x in range(12) if x / 11 + y / 8 <= 1 + 1e-9}
+
+
 def test_rotation_sort_by_loop(spark):
     rng = random.Random(5)
     docs = [list(b"banana"), list(b"mississippi"), [3], [1, 1, 1, 1], *([rng.choice(b"abc") for _ in range(rng.randint(2, 40))] for _ in range(12))]
