@@ -222,3 +222,30 @@ def expand_cells(cells: DataFrame, whole: bool = True) -> DataFrame:
     luma = F.when(F.expr("shiftright(bits, i) & 1") == 1, F.col("upper")).otherwise(F.col("lower"))
     rgb = color.from_yuv888(luma, "u", "v") if whole else tuple(color.clip(c) for c in color.from_yiq(luma.cast("double"), "u", "v"))
     return p.select("image_id", F.expr("by * 4 + i div 4 y"), F.expr("bx * 4 + i % 4 x"), *(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))
+
+
+def tight_cells(px: DataFrame, dither: bool = False) -> DataFrame:
+    """(image_id, by, bx, low, diff, bits) of each whole 8 by 8 block of px(image_id, y, x, r, g, b) in YIQ: the lower mean luma and the mean colour in 16
+    bits (6, 6 and 4; 12 added to the last), the difference to the upper mean, and 64 bits by rows, as a long. dither: what a bit loses moves the
+    bound for the next samples of its row."""
+    y, u, v = color.to_yiq("r", "g", "b")
+    p = px.select("image_id", F.expr("cast(y div 8 as int) by"), F.expr("cast(x div 8 as int) bx"), F.expr("cast(y % 8 * 8 + x % 8 as int) i"), y.alias("l"), u.alias("u"), v.alias("v"))
+    b = p.groupBy("image_id", "by", "bx").agg(F.array_sort(F.collect_list(F.struct("i", "l", "u", "v"))).alias("s")).where("size(s) = 64")
+    total = lambda c, of="s": f"aggregate({of}, 0D, (a, t) -> a + t.{c})"
+    b = b.selectExpr("*", *(f"{total(c)} / 64 m{c}" for c in "luv"))
+    part = lambda test: f"coalesce({total('l', f'filter(s, t -> t.l {test} ml)')} / nullif(size(filter(s, t -> t.l {test} ml)), 0), 0D)"
+    b = b.selectExpr("*", f"{part('>=')} upper", f"{part('<')} lower")
+    error = "if(t.i % 8 = 0, 0D, a.error)"
+    step = f"""if(t.l >= ml - {error}, named_struct('bits', a.bits | shiftleft(1L, t.i), 'error', {error} + {'t.l - upper' if dither else '0D'}),
+        named_struct('bits', a.bits, 'error', {error} + {'t.l - lower' if dither else '0D'}))"""
+    clip = lambda x: f"cast(least(greatest({x}, 0), 255) as int)"
+    low = f"shiftleft({clip('lower')} & 252, 8) | shiftleft({clip('mu')} & 252, 2) | shiftright({clip(clip('mv + 12'))} & 240, 4)"
+    return b.selectExpr("image_id", "by", "bx", f"{low} low", f"{clip('upper - lower')} diff", f"aggregate(s, named_struct('bits', 0L, 'error', 0D), (a, t) -> {step}, a -> a.bits) bits")
+
+
+def expand_tight_cells(cells: DataFrame) -> DataFrame:
+    """(image_id, y, x, r, g, b): inverse of tight_cells()."""
+    p = cells.selectExpr("image_id", "by", "bx", "shiftright(low, 8) & 252 l", "shiftright(low, 2) & 248 u", "shiftleft(low, 4) & 240 v", "diff", "bits", "explode(sequence(0, 63)) i")
+    luma = F.col("l") + F.when(F.expr("shiftrightunsigned(bits, i) & 1") == 1, F.col("diff")).otherwise(0)
+    rgb = tuple(color.clip(c) for c in color.from_yiq(luma.cast("double"), "u", "v"))
+    return p.select("image_id", F.expr("by * 8 + i div 8 y"), F.expr("bx * 8 + i % 8 x"), *(c.alias(n) for c, n in zip(rgb, "rgb", strict=True)))

@@ -160,6 +160,18 @@ _px(
         select image_id, y, x, {_clip('(l + 409*v) >> 8')} r, {_clip('(l - 100*u - 208*v) >> 8')} g, {_clip('(l + 516*u) >> 8')} b from o""",
 )
 
+_TIGHT = f"""{_RGB}{_REAL}, m as (select image_id, y // 8 by_, x // 8 bx, sum(l)/64 m, sum(u)/64 u, sum(v)/64 v from yuv group by all having count(*) = 64),
+    c as (select m.image_id, by_::int "by", m.bx::int bx, coalesce(avg(l) filter (l >= m), 0) upper, coalesce(avg(l) filter (l < m), 0) lower, any_value(m.u) u, any_value(m.v) v,
+        sum(case when l >= m and y % 8 * 8 + x % 8 < 63 then 1::bigint << (y % 8 * 8 + x % 8) else 0 end)::bigint bits, bool_or(l >= m and y % 8 = 7 and x % 8 = 7) top
+        from m join yuv on yuv.image_id = m.image_id and yuv.y // 8 = by_ and yuv.x // 8 = m.bx group by m.image_id, by_, m.bx)"""
+_px(
+    "a6_tight_cells",
+    lambda p: shapes.tight_cells(_rgb(p)),
+    f"""{_TIGHT} select image_id, "by", bx, (({_clip('lower')} & 252) << 8) + (({_clip('u')} & 252) << 2) + (({_clip('v + 12')} & 240) >> 4) low, {_clip('upper - lower')} diff,
+        case when top then bits - 9223372036854775807 - 1 else bits end bits from c""",
+)
+_px("a6_tight_cells_dithered", lambda p: shapes.tight_cells(_rgb(p), True))
+
 # signals
 
 _DFT = ", z as (select image_id, y, x, v::double v from px), k as (select range::int k from range(64))"

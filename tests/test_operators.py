@@ -251,6 +251,28 @@ def test_reachable_spans_and_shapes(spark):
     assert one(spark, shapes.coverage(F.lit(-3.0)), shapes.coverage(F.lit(0.5)), shapes.coverage(F.lit(2.0))) == (255, 127, 0)
 
 
+def test_tight_cells_by_loop(spark):
+    rows = [[(x * 29 + y * 53 + x * y) % 256 for x in range(8)] for y in range(8)]
+    px = image(spark, rows).selectExpr("image_id", "y", "x", "v r", "v g", "v b")
+    luma = [0.30 * v + 0.59 * v + 0.11 * v for row in rows for v in row]
+    mean = sum(luma) / 64
+    up, low = ([v for v in luma if (v >= mean) == k] for k in (True, False))
+    upper, lower = sum(up) / len(up), sum(low) / len(low)
+    for dither in (False, True):
+        bits, error = 0, 0.0
+        for i, v in enumerate(luma):
+            error = 0.0 if i % 8 == 0 else error
+            if v >= mean - error:
+                bits |= 1 << i
+                error += v - upper if dither else 0
+            else:
+                error += v - lower if dither else 0
+        r = shapes.tight_cells(px, dither).first()
+        assert r.bits % 2**64 == bits and r["diff"] == int(upper - lower) and r.low == (int(lower) & 252) << 8 | (127 & 252) << 2 | (139 & 240) >> 4
+        back = grid(shapes.expand_tight_cells(shapes.tight_cells(px, dither)), "g")
+        assert len(back) == 64 and len(set(back.values())) == 2
+
+
 def test_texture_of_a_flat_triangle_is_the_picture(spark):
     corners = {"x1": 0.0, "y1": 0.0, "x2": 11.0, "y2": 0.0, "x3": 0.0, "y3": 8.0}
     fields = corners | {f"z{k}": 2.0 for k in (1, 2, 3)} | {f"{n}{k}": corners[f"{c}{k}"] for k in (1, 2, 3) for n, c in (("u", "x"), ("v", "y"))}
