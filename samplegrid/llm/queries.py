@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplegrid.llm import bpe, chat, decontam, flac, minhash, secrets, tokenfile, toxicity, urls, warc
+from samplegrid.llm import bpe, chat, decontam, divergence, flac, minhash, repair, secrets, simhash, tokenfile, toxicity, urls, warc
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -81,8 +81,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = [op1_warc, op2_bpe, op3_minhash, op4_decontamination, op5_url_filter, op6_token_file, op7_toxicity, op8_flac, op9_chat, op10_secrets]
+    own = [
+        op1_warc, op2_bpe, op3_minhash, op4_decontamination, op5_url_filter, op6_token_file, op7_toxicity, op8_flac, op9_chat, op10_secrets,
+        op11_repair, op12_simhash, op13_divergence,
+    ]
     return {f.__name__: f for f in own}
 
 
@@ -149,5 +164,69 @@ def _secrets_sql() -> str:
 ORACLE["op10_secrets"] = _secrets_sql()
 
 
+def _repair_sql() -> str:
+    """The rows of a conversation from the last to the first, by recursion; carried is, for each state of the roles (0 none, 1 s, 2 u,
+    3 a), the least (cost, audit, lines behind): struct comparison also settles ties, as equal audits are equal edits."""
+    named = lambda c, a, r: f"{{'c': {c}, 'a': {a}, 'r': {r}}}"
+    role = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    to = {0: 2, 1: 2, 2: 3, 3: 2}
+    follows = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    grown = lambda v, c, letter, line: named(f"{v}.c + {c}", f"'{letter}' || {v}.a", f"list_prepend({line}, {v}.r)")
+    inserted = lambda v, q: grown(v, 3, "I", f"'{role[q]}:'")
+    worst = named("1000000000000", "''", "[]::varchar[]")
+
+    def option(q: int) -> str:
+        kept = " ".join(f"when substr(role, 1, 1) = '{i}' then {grown(f's{n}', 'extra', 'K', f"role || ':' || body")}" for i, n in follows[q].items())
+        deleted = named(f"s{q}.c + 4", f"'D' || s{q}.a", f"s{q}.r")
+        other = f"[case {kept} else {worst} end, {grown(f's{to[q]}', '3 + extra', 'R', f"'{role[q]}:' || body")}]"
+        return f"list_min(list_append(case when fault in ('blank', 'duplicate') then [{worst}] else {other} end, {deleted})) t{q}"
+
+    def closed(a: str, b: str) -> str:
+        return ", ".join(f"least({a}{q}, {inserted(f'{a}{to[q]}', q)}) {b}{q}" for q in range(4))
+
+    end = [named("0", "''", "[]::varchar[]"), named("6", "'II'", "['user:', 'assistant:']"), named("3", "'I'", "['assistant:']"), named("0", "''", "[]::varchar[]")]
+    return f"""
+    with recursive b as (select list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) crcs),
+         c as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') body, string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') place from conversations),
+         k as (select *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(place, lambda ch: ascii(ch)::bigint)), lambda c, ch: xor(c // 256, crcs[xor(c, ch) % 256 + 1]))) % 20 kind from c, b),
+         d as (select conv_id, turn, case when kind = 4 then 'user' else role end role,
+                      case kind when 1 then '' when 2 then regexp_replace(body, '[.!?]', '', 'g') else body end body, unnest(range(case kind when 3 then 2 else 1 end)) copy from k where kind <> 0),
+         o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, body, copy) i, count(*) over (partition by conv_id) n,
+                      row_number() over (partition by conv_id, role, body order by turn nulls first, copy) seen, rtrim(body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) t from d),
+         f as (select *, case when t = '' then 'blank' when seen > 1 then 'duplicate' when right(t, 1) not in ('.', '!', '?') then 'truncated' end fault,
+                      case when right(t, 1) not in ('.', '!', '?') then 3 else 0 end extra,
+                      case when i > 1 and lag(substr(role, 1, 1)) over (partition by conv_id order by i) || substr(role, 1, 1) not in ('su', 'ua', 'au') then 1 else 0 end illegal from o),
+         w as (select conv_id, n + 1 i, {", ".join(f"{v} s{q}" for q, v in enumerate(end))} from (select distinct conv_id, n from f)
+               union all
+               select conv_id, i, {closed("v", "s")} from (select conv_id, i, {closed("u", "v")} from (select conv_id, i, {closed("t", "u")} from (
+                   select f.conv_id, f.i, {", ".join(option(q) for q in range(4))} from w join f on f.conv_id is not distinct from w.conv_id and f.i = w.i - 1) _) _) _),
+         g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate,
+                      count(*) filter (fault = 'truncated') truncated, sum(illegal)::bigint illegal from f group by conv_id),
+         a as (select distinct conv_id from conversations)
+    select a.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+           coalesce(s0.c, 0)::bigint as cost, coalesce(s0.a, '') audit, sha256(coalesce(array_to_string(s0.r, chr(10)), '')) repaired_sha256
+    from a left join g on a.conv_id is not distinct from g.conv_id left join w on a.conv_id is not distinct from w.conv_id and w.i = 1"""
+
+
+ORACLE["op11_repair"] = _repair_sql()
+ORACLE["op13_divergence"] = """
+    with d as (select row_number() over () id, coalesce(text, '') body, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+         t as (select id, lang, source, translate(unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') term from d),
+         k as (select lang, term, count(*) n from t group by all having count(distinct id) >= 30),
+         g as (select distinct lang, source from d), v as (select lang, count(*) v, sum(n) total from k group by lang),
+         c as (select g.lang, g.source, k.term, k.n as every from g join k using (lang)),
+         x as (select lang, source, term, count(*) n from t semi join k using (lang, term) group by all),
+         m as (select c.lang, c.source, c.term, c.every, coalesce(x.n, 0) n from c left join x using (lang, source, term)),
+         s as (select lang, source, sum(n) total from m group by all),
+         p as (select m.*, (1 + (1000000000::hugeint * (n + 5)) // (s.total + 5 * v.v))::bigint p, (1 + (1000000000::hugeint * (every + 5)) // (v.total + 5 * v.v))::bigint q
+               from m join s using (lang, source) join v using (lang)),
+         pairs as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p))::bigint f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+         r as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs
+                   on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+               union all select lang, source, 'term', term, p - q from p where n > 0 and p > q),
+         ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank from r)
+    select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return ORACLE
