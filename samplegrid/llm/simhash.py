@@ -306,8 +306,8 @@ def near_duplicates(docs: DataFrame, most: int = 3, k: int = 3) -> DataFrame:
         probing = materialize(probes(members, groups, near, most), "probes")
         big = materialize(probing.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "big")
         if big.limit(1).count():
-            big = big.withColumn("parts", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
-            dealt = by_key(probing, big, "key", probing.count(), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+            parts = big.withColumn("parts", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+            dealt = by_key(probing, parts, "key", probing.count(), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         else:
             dealt = probing.withColumn("parts", F.lit(1))
         dealt = dealt.withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)")).withColumn("other", F.expr("explode(sequence(0, parts - 1))"))

@@ -428,8 +428,54 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)] + [(None, 1, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(documents(spark, texts), labels)
     assert any("blorgon".startswith(t) for t in model.terms)
-    got = {r.doc_id: r.predicted for r in toxicity.score(documents(spark, ["you blorgon", "lovely paper", None, 'she said "blorgon"']), model).collect()}
+    scored = toxicity.score(documents(spark, ["you blorgon", "lovely paper", None, 'she said "blorgon"']), model).collect()
+    got = {r.doc_id: r.predicted for r in scored}
     assert (got[0], got[1], got[2]) == (1, 0, 0)
+    value = {r.doc_id: r.score for r in scored}
+    assert value[1] < value[3] < value[0]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_of_misspelt_and_quoted_terms(spark, sf):
+    """Each further misspelt insult raises the score, a quoted one scores under the same one used, and no hit counts against toxicity."""
+    folder = f"/root/testdata/{sf}"
+    model = toxicity.fit(queries.table(spark, folder, "documents"), queries.table(spark, folder, "labels").where(~queries.held_out()))
+    assert min(model.coefficients[1:]) >= 0 < max(model.coefficients[1:]) and all(0 <= n <= w for n, w in zip(model.near, model.weights, strict=True))
+    s = toxicity.Scorer(model).score
+    steps = ["you", "you idxot", "you idxot, you morxn", "you idxot, you morxn, you stxpid man", "you idxot, you morxn, you stxpid man, you worthlss clwn"]
+    assert all(s(a) < s(b) for a, b in zip(steps, steps[1:], strict=False))
+    assert s("a garden") < s("you idxot") <= s("you idiot") < s("you idiot and clown")
+    for used, quoted in [("you idiot", 'you "idiot"'), ("you are an idiot", 'she said "idiot"'), ("you idxot", "you «idxot»")]:
+        assert s("you") < s(quoted) < s(used)
+    assert s("") == s(None) == s("a garden")
+
+
+def test_toxicity_features_equal_brute_force():
+    """Hits by an edit distance of all words and terms, sums by hand."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(2)
+    model = toxicity.Model(["abcab", "xyzzy", "pqrs"], [3.0, 2.0, 5.0], [1.5, 0.5, 0.0], [-1.0, 0.5, 0.25])
+    scorer = toxicity.Scorer(model)
+    for _ in range(300):
+        words = ["".join(rng.choices("abcxyzpqrs", k=rng.randint(1, 3))) + rng.choice(["", "abcab", "abcb", "xyzzy", "xyz", "pqrst"]) for _ in range(rng.randint(0, 150))]
+        places = []
+        for i, w in enumerate(words):
+            exact = [k for k, t in enumerate(model.terms) if w.startswith(t)]
+            near = [k for k, t in enumerate(model.terms) if len(t) >= 5 and distance(w, t) <= 1]
+            if exact or near:
+                places.append((i, model.weights[exact[0]] if exact else max(model.near[k] for k in near)))
+        total = sum(w for _, w in places)
+        best = max((sum(w for j, w in places if i - toxicity.WINDOW < j <= i) for i, _ in places), default=0)
+        assert scorer.features(" ".join(words)) == pytest.approx([1, np.log1p(total), np.log1p(best)])
+    assert all(distance(toxicity.misspelt(w), w) == 1 for w in ("idiot", "scum", "worthless", "aa", "longerwordhere"))
 
 
 # secrets
