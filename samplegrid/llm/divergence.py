@@ -25,6 +25,8 @@ from samplegrid.llm.common import by_key, map_arrow, materialize
 CHUNK = 8 << 20
 #: Sources of one side of a tile; terms of a dense block in it.
 TILE, DENSE = 64, 2048
+#: Pairs of sources whose sums a task holds, and one tile's more.
+PAIRS = 100_000
 #: Parts per billion of the shares, and what is added to each count.
 BILLION, SMOOTH = 1_000_000_000, 5
 
@@ -180,9 +182,11 @@ def share(count: str, total: str, kept: str):
 
 
 def tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each run of (lang, a, b, block): the sums over its terms of |p - p'| - |p0 - p0'| for the sources of tile a and
-    of tile b, where p0 is the share of an absent term. Rows come by term; those without a term name the sources."""
+    """(lang, source, item, value), source < item: for the sources of tile a and of tile b, the sums over all terms of this task of
+    |p - p'| - |p0 - p0'|, where p0 is the share of an absent term. Rows come by (lang, a, b, block) and term; those
+    without a term name the sources. Sums of the task's blocks are added up, PAIRS at most at a time."""
     key, names, base, sums, dense, filled, term = None, {}, None, None, None, 0, None
+    total: dict[tuple[str, str, str], int] = {}
 
     def flush() -> None:
         nonlocal filled
@@ -193,20 +197,26 @@ def tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dense[:filled] = base
             filled = 0
 
-    def done() -> Iterator[pa.RecordBatch]:
-        flush()
-        sources = list(names)
-        side = np.array([names[s] for s in sources])
-        i, j = np.nonzero(sums if key[1] == key[2] else sums * (side[:, None] != side))
-        if len(i):
-            name = pa.array(sources, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(i), pa.string()), name.take(pa.array(i)), name.take(pa.array(j)), pa.array(sums[i, j])], ["lang", "source", "item", "value"])
+    def done() -> None:
+        if sums is not None:
+            flush()
+            sources, tile = list(names), list(names.values())
+            for i, j in zip(*np.nonzero(sums), strict=True):
+                if sources[i] < sources[j] and (key[1] == key[2] or tile[i] != tile[j]):
+                    pair = (key[0], sources[i], sources[j])
+                    total[pair] = total.get(pair, 0) + int(sums[i, j])
+
+    def rows() -> pa.RecordBatch:
+        lang, source, item = zip(*total, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(item, pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "source", "item", "value"])
 
     for batch in batches:
         for lang, a, b, block, t, source, tile, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (lang, a, b, block) != key:
-                if key is not None and sums is not None:
-                    yield from done()
+                done()
+                if len(total) >= PAIRS:
+                    yield rows()
+                    total.clear()
                 key, names, first, sums, term = (lang, a, b, block), {}, [], None, None
             if t is None:
                 names[source] = tile
@@ -221,8 +231,9 @@ def tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 term = t
                 filled += 1
             dense[filled - 1, place[source]] = p
-    if key is not None and sums is not None:
-        yield from done()
+    done()
+    if total:
+        yield rows()
 
 
 def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
@@ -263,6 +274,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
     sums = map_arrow(tiled, tile_sums, "lang string, source string, item string, value long").groupBy(*key, "item").agg(F.sum("value").alias("value"))
     absent = groups.withColumn("p", F.expr(f"if(kept = 0, 0L, {share('0L', 'total', 'greatest(kept, 1L)')})"))
     pairs = absent.join(absent.selectExpr("lang", "source item", "p q"), "lang").where("source <> item")
+    sums = sums.unionByName(sums.selectExpr("lang", "item source", "source item", "value"))
     pairs = pairs.join(sums, [*key, "item"], "left").selectExpr(*key, "'pair' part", "item", "coalesce(value, 0L) + kept * abs(p - q) value")
     pairs = pairs.withColumn("rank", F.row_number().over(best))
     return pairs.unionByName(terms)
