@@ -1,7 +1,10 @@
 """Toxicity by a learned lexicon: a trie of terms intersected with Levenshtein automata, and scores of context windows.
 
-fit() learns from labelled rows which word beginnings mark toxic texts (a grouped count over a bounded sample), and
-then a logistic model of document features. score() walks every word of every whole text through the automaton.
+fit() learns from labelled rows which word beginnings mark toxic texts (a grouped count over a bounded sample), how much a misspelt
+one still tells (from copies of the toxic texts with each term damaged by one edit, against the near hits of clean texts), and a logistic model of
+the sum of all hits and of the densest window. Hits never count against toxicity: a misspelt term has at most the weight of the term, one that is quoted
+or reported MENTIONED of it, and both features have weights of 0 or more, so each further hit raises a text's score, and a quoted term scores under
+the same term used. score() walks every word of every whole text through the automaton.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,12 @@ from samplegrid.llm.common import map_arrow
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
 #: Letters of the word beginnings that may become terms.
 SHORTEST, LONGEST = 4, 12
-#: Characters on either side of a term in which signs of quotation count.
-CONTEXT = 48
+#: Characters on either side of a term in which signs of quotation count; words of a window whose hits are added up.
+CONTEXT, WINDOW = 48, 50
+#: What a quoted or reported term counts of its weight.
+MENTIONED = 0.5
+#: Clean texts that are taken to have a near hit of each term beside those that do: words that no sample holds.
+UNSEEN = 2.0
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Signs that a term is mentioned, not used.
@@ -117,47 +125,65 @@ class Automaton:
 class Model:
     terms: list[str]
     weights: list[float]
+    near: list[float]
     coefficients: list[float]
 
 
+def misspelt(word: str) -> str:
+    """The word with one edit, chosen by its checksum: a letter left out, another one in its place, or one more."""
+    h = crc32(word.encode())
+    at, kind, letter = h // 3 % len(word), h % 3, "abcdefghijklmnopqrstuvwxyz"[h // 1000 % 26]
+    if kind == 1 and letter == word[at]:
+        letter = "e" if letter != "e" else "a"
+    return word[:at] + ("" if kind == 0 else letter) + word[at + (kind < 2) :]
+
+
 class Scorer:
-    FEATURES = 6
+    FEATURES = 3
 
     def __init__(self, model: Model):
         self.model = model
         self.automaton = Automaton(model.terms)
         self.memo = Memo(lambda w: self.automaton.match(w) or (), 150_000)
 
-    def features(self, text: str | None) -> list[float]:
-        """1, used terms' weight, its maximum, mentioned terms' weight, near terms' weight, log of terms per 100 words."""
+    def hits(self, text: str | None) -> list[tuple[int, str, int, bool, bool]]:
+        """(word number, word, term, exact, mentioned) of every hit."""
         low = (text or "").lower()
-        words = WORD.findall(low)
         memo = self.memo
-        if not any(map(memo.__getitem__, words)):
-            return [1.0, 0, 0, 0, 0, 0]
-        used = best = mentioned = near = 0.0
-        hits = 0
-        for m in WORD.finditer(low):
-            if not (hit := memo[m[0]]):
-                continue
-            w = self.model.weights[hit[0]]
-            hits += 1
-            if not hit[1]:
-                near += w
-                continue
-            before, after = low[max(0, m.start() - CONTEXT) : m.start()], low[m.end() : m.end() + CONTEXT]
-            wrapped = before[-1:] in QUOTES and after[:1] in QUOTES and before[-1:] and after[:1]
-            if wrapped or REPORTING.search(before):
-                mentioned += w
-            else:
-                used += w
-                best = max(best, w)
-        return [1.0, min(used, 40.0), best, min(mentioned, 40.0), min(near, 40.0), np.log1p(100 * hits / len(words))]
+        if not any(map(memo.__getitem__, WORD.findall(low))):
+            return []
+        out = []
+        for i, m in enumerate(WORD.finditer(low)):
+            if hit := memo[m[0]]:
+                before, after = low[max(0, m.start() - CONTEXT) : m.start()], low[m.end() : m.end() + CONTEXT]
+                wrapped = before[-1:] in QUOTES and after[:1] in QUOTES and before[-1:] and after[:1]
+                out.append((i, m[0], *hit, bool(wrapped or REPORTING.search(before))))
+        return out
+
+    def features(self, text: str | None) -> list[float]:
+        """1, and the logarithms of one more than all hits' weight and than that of the heaviest WINDOW words."""
+        places, total, best, inside, first = [], 0.0, 0.0, 0.0, 0
+        for i, _, term, exact, mentioned in self.hits(text):
+            w = (self.model.weights if exact else self.model.near)[term] * (MENTIONED if mentioned else 1)
+            places.append((i, w))
+            total += w
+            inside += w
+            while places[first][0] <= i - WINDOW:
+                inside -= places[first][1]
+                first += 1
+            best = max(best, inside)
+        return [1.0, float(np.log1p(total)), float(np.log1p(best))]
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.coefficients))
         return 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
 
+    def damaged(self, text: str | None) -> str:
+        """The text, lower-cased, with every exact hit misspelt."""
+        low = (text or "").lower()
+        exact = lambda w: (self.memo[w] or (0, False))[1]
+        return WORD.sub(lambda m: misspelt(m[0]) if exact(m[0]) else m[0], low)
+
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a batch, by class, that have a word with a beginning of SHORTEST to LONGEST letters."""
@@ -193,17 +219,22 @@ def lexicon(rows: list, toxic: int, clean: int) -> tuple[list[str], list[float]]
     return terms, [float(odds[t]) for t in terms]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Newton's method with a ridge penalty, none on the first column (ones)."""
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+def logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Newton's method with a ridge penalty, none on the first column (ones); other weights under 0 are 0. count: what each row counts."""
+    w, free = np.zeros(x.shape[1]), np.arange(x.shape[1])
+    while True:
+        own, v = x[:, free], np.zeros(len(free))
+        penalty = np.diag([1e-6] + [ridge] * (len(free) - 1))
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(own @ v, -30, 30)))
+            step = np.linalg.solve((own * (count * p * (1 - p))[:, None]).T @ own + penalty, own.T @ (count * (y - p)) - penalty @ v)
+            v += step
+            if np.abs(step).max() < 1e-6:
+                break
+        if len(free) == 1 or v[1:].min() >= 0:
+            w[free] = v
+            return w
+        free = np.delete(free, 1 + v[1:].argmin())
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
@@ -214,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     t, c = size.get(1, 0), size.get(0, 0)
     if not t or not c:
         chosen.unpersist()
-        return Model([], [], [30.0 if t else -30.0, 0, 0, 0, 0, 0])
+        return Model([], [], [], [30.0 if t else -30.0, 0, 0])
     counts = map_arrow(chosen, _beginnings, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = t / (t + c)
     # log likelihood ratio of the observed split against the sample's share of toxic documents
@@ -224,17 +255,33 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
     found = counts.where(F.col("toxic") > 2).withColumn("ratio", ratio).where((F.col("ratio") >= 9) & (odds >= 2.5))
     rows = found.collect()  # beginnings of the bounded sample's words
     terms, weights = lexicon(rows, t, c)
-    model = Model(terms, weights, [0.0] * Scorer.FEATURES)
+    model = Model(terms, weights, [0.0] * len(terms), [0.0] * Scorer.FEATURES)
+
+    def near_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with a near hit of each term, by class; toxic ones with their terms misspelt."""
+        scorer = Scorer(model)
+        for batch in batches:
+            counts = np.zeros((2, len(terms)), np.int64)
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                counts[y, list({h[2] for h in scorer.hits(scorer.damaged(text) if y else text) if not h[3]})] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), *map(pa.array, counts)], ["term", "clean", "toxic"])
+
+    for r in map_arrow(chosen, near_hits, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():
+        odds_near = np.log((r["toxic"] + 0.5) / (t + 1)) - np.log((r["clean"] + UNSEEN) / (c + 1))
+        model.near[r["term"]] = float(np.clip(odds_near, 0, weights[r["term"]]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of all texts, and of the toxic ones once more with their terms misspelt: each of the two counts half."""
         scorer = Scorer(model)
         for batch in batches:
-            x = [scorer.features(s) for s in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "y"])
+            texts = list(zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True))
+            texts += [(scorer.damaged(s), y) for s, y in texts if y]
+            x, y = [scorer.features(s) for s, _ in texts], [y for _, y in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array([1 - y / 2 for y in y])], ["x", "y", "count"])
 
-    table = map_arrow(chosen, features, "x array<double>, y int").collect()
+    table = map_arrow(chosen, features, "x array<double>, y int, count double").collect()
     chosen.unpersist()
-    model.coefficients = logistic(np.array([r["x"] for r in table]), np.array([r["y"] for r in table], float)).tolist()
+    model.coefficients = logistic(*(np.array([r[k] for r in table], float) for k in ("x", "y", "count"))).tolist()
     return model
 
 
