@@ -24,7 +24,8 @@ def convolve(px: DataFrame, kernel: list[list[float]]) -> DataFrame:
     """v(y, x) = sum of kernel[i][j] * v(y - oy[j], x - ox[i]) with kernel_offsets() along each side; edges reflect. The first index runs
     along x. Each sample is sent to every output that reads it, also through a reflection, and outputs sum up: one exchange
     with map-side sums, of kernel-size rows per sample, so for large separable kernels convolve() by a column, then by a row.
-    An image must be wider than the kernel's reach: samples that would be reflected twice are left out."""
+    Reads beyond an image that is narrower than the kernel's reach are reflected as often as it takes; of a single row or column, all
+    reads are that one."""
     if not kernel or not kernel[0] or any(len(row) != len(kernel[0]) for row in kernel):
         raise ValueError("a kernel is a rectangle")
     ox, oy = kernel_offsets(len(kernel)), kernel_offsets(len(kernel[0]))
@@ -33,8 +34,12 @@ def convolve(px: DataFrame, kernel: list[list[float]]) -> DataFrame:
 
     def places(c: str, d: str, n: str) -> str:
         # outputs o whose read place o - d is c, or reflects onto c
-        return f"""filter(array({c} + {d}, {d} - {c}, 2 * ({n} - 1) - {c} + {d}), (o, i) -> o >= 0 and o < {n}
+        once = f"""filter(array({c} + {d}, {d} - {c}, 2 * ({n} - 1) - {c} + {d}), (o, i) -> o >= 0 and o < {n}
             and (i = 0 or (i = 1 and o < {d}) or (i = 2 and o - {d} >= {n})))"""
+        # as often as it takes: places repeat every 2 (n - 1), forwards and backwards
+        turn = f"greatest(2 * ({n} - 1), 1)"
+        every = f"transform(sequence(-(abs({d}) div {turn}) - 2, abs({d}) div {turn} + 2), k -> k * {turn} + {d}"
+        return f"if(abs({d}) < {n}, {once}, filter(array_distinct(concat({every} + {c}), {every} - {c}))), o -> o >= 0 and o < {n}))"
 
     p = p.selectExpr("image_id", f"explode({places('y', 'dy', 'h')}) y", "x", "dx", "width", "v * w as vw").selectExpr("image_id", "y", f"explode({places('x', 'dx', 'width')}) x", "vw")
     return p.groupBy("image_id", "y", "x").agg(F.sum("vw").alias("v"))
@@ -106,3 +111,31 @@ def polygon_distance(points: DataFrame, segments: DataFrame, rule: str = "odd")
     p = p.selectExpr("id", "shape_id", "sqrt(least) distance", "aggregate(turns, 0, (a, k) -> a + abs(k)) % 2 = 1 odd", "cast(aggregate(turns, 0, (a, k) -> a + k) as bigint) winding")
     inside = F.col("odd") if rule == "odd" else F.col("winding") != 0
     return p.select("id", "shape_id", F.when(inside, -F.col("distance")).otherwise(F.col("distance")).alias("distance"), "odd", "winding")
+
+
+def polygon_distance_near(points: DataFrame, segments: DataFrame, reach: float, rule: str = "odd") -> DataFrame:
+    """polygon_distance() for the points that lie within `reach` of a shape's outline; others are left out.
+
+    A grid of cells of `reach` a side: each segment lies in the cells of its bounds and their neighbours that it comes within reach of, a point in one cell, so
+    points meet only segments nearby, by an equi-join. What crosses the ray from a point to the left is found by the bands of one cell's height that a segment passes
+    through: candidates meet the shape's segments of their own band."""
+    cell = lambda c: f"cast(floor(({c}) / {reach!r}D) as long)"
+    s = segments.selectExpr("shape_id", "ax", "ay", "bx", "`by` bz")
+    spread = s.selectExpr("*", f"explode(sequence({cell('least(ay, bz)')} - 1, {cell('greatest(ay, bz)')} + 1)) cy")
+    # the part of the segment within one cell of the row of cells bounds the columns that it reaches
+    low, high = f"(cy - 1) * {reach!r}D", f"(cy + 2) * {reach!r}D"
+    at = lambda y: f"if(ay = bz, {{}}, ax + (least(greatest({y}, least(ay, bz)), greatest(ay, bz)) - ay) * (bx - ax) / (bz - ay))"
+    ends = [at(low).format("ax"), at(high).format("bx")]
+    spread = spread.selectExpr("*", f"explode(sequence({cell(f'least({ends[0]}, {ends[1]})')} - 1, {cell(f'greatest({ends[0]}, {ends[1]})')} + 1)) cx")
+    length = "((bx - ax) * (bx - ax) + (bz - ay) * (bz - ay))"
+    t = f"if({length} > 0, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (bz - ay)) / {length}, 0D), 1D), 0D)"
+    p = points.selectExpr("id", "x", "y", f"{cell('x')} cx", f"{cell('y')} cy")
+    met = p.join(spread, ["cx", "cy"]).selectExpr("id", "shape_id", "x", "y", "cy", f"pow(x - ax - {t} * (bx - ax), 2) + pow(y - ay - {t} * (bz - ay), 2) d2")
+    near = met.groupBy("id", "shape_id", "x", "y", "cy").agg(F.sqrt(F.min("d2")).alias("distance")).where(f"distance <= {reach!r}D")
+    bands = s.where("ay <> bz").selectExpr("*", f"explode(sequence({cell('least(ay, bz)')}, {cell('greatest(ay, bz)')})) cy")
+    side = "((bx - ax) * (y - ay) - (bz - ay) * (x - ax))"
+    turn = f"case when ay <= y and bz > y and {side} > 0 then 1 when ay > y and bz <= y and {side} < 0 then -1 else 0 end"
+    turned = near.join(bands, ["shape_id", "cy"], "left").withColumn("turn", F.coalesce(F.expr(turn), F.lit(0)))
+    out = turned.groupBy("id", "shape_id", "distance").agg((F.sum(F.abs("turn")) % 2 == 1).alias("odd"), F.sum("turn").alias("winding"))
+    inside = F.col("odd") if rule == "odd" else F.col("winding") != 0
+    return out.select("id", "shape_id", F.when(inside, -F.col("distance")).otherwise(F.col("distance")).alias("distance"), "odd", "winding")

@@ -6,6 +6,7 @@ A scanline is gathered as one array, which is bounded by the image's side; no im
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,36 +16,77 @@ from samplegrid.operators.gather import sizes
 from samplegrid.operators.window import along, neighbours
 
 
-def on_lines(px: DataFrame, axis: str, result: str) -> DataFrame:
-    """px with each line along an axis replaced by the SQL expression `result` over a, the array of its values, and s, its length."""
+def on_lines(px: DataFrame, axis: str, result: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """px with each line along an axis replaced by the SQL expression `result` over a, the array of its values, s, its length, and the
+    columns in `keep`, which are the same on all of a line."""
     other = "y" if axis == "x" else "x"
-    lines = px.groupBy("image_id", other).agg(F.expr(f"transform(array_sort(collect_list(struct({axis}, v))), t -> t.v)").alias("a"))
+    lines = px.groupBy("image_id", other, *keep).agg(F.expr(f"transform(array_sort(collect_list(struct({axis}, v))), t -> t.v)").alias("a"))
     lines = lines.withColumn("s", F.size("a"))
-    return lines.select("image_id", other, F.posexplode(F.expr(result)).alias(axis, "v")).select("image_id", "y", "x", "v")
+    return lines.select("image_id", other, *keep, F.posexplode(F.expr(result)).alias(axis, "v")).select("image_id", "y", "x", "v", *keep)
 
 
-def halve(px: DataFrame) -> DataFrame:
+def halve(px: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Half the sides: whole (1, 3, 3, 1) / 8 around each pair along x, then along y; the ends repeat."""
     for axis in ("x", "y"):
         last = "2 * (s div 2) - 1"
-        px = on_lines(px, axis, f"transform(sequence(0, s div 2 - 1), o -> (a[greatest(2 * o - 1, 0)] + 3 * a[2 * o] + 3 * a[2 * o + 1] + a[least(2 * o + 2, {last})]) div 8)")
-    return px.select("image_id", "y", "x", F.col("v").cast("int").alias("v"))
+        px = on_lines(px, axis, f"transform(sequence(0, s div 2 - 1), o -> (a[greatest(2 * o - 1, 0)] + 3 * a[2 * o] + 3 * a[2 * o + 1] + a[least(2 * o + 2, {last})]) div 8)", keep)
+    return px.select("image_id", "y", "x", F.col("v").cast("int").alias("v"), *keep)
+
+
+def _stepped(d: str) -> str:
+    """A line of s samples as one of d, at most s: nearest samples, and the mean with the next one where a step lies in the first half of
+    a target step."""
+    first = lambda o: f"cast(ceil(({o}) * s / {d}) as int)"
+    fold = f"aggregate(sequence({first('o')}, least({first('o + 1')} - 1, s - 1)), a[{first('o')}], (v, k) -> if((k * {d}) % s < s div 2 and k < s - 1, shiftright(v + a[k + 1], 1), v))"
+    return f"transform(sequence(0, cast({d} as int) - 1), o -> {fold})"
 
 
 def resize_fast(px: DataFrame, num: int, den: int) -> DataFrame:
     """Sides times num / den (down, floored): nearest samples; a step that lies in the first half of a target step takes the mean with the
     next sample. Halve first for less than a half."""
     for axis in ("x", "y"):
-        d = f"(s * {num} div {den})"
-        first = lambda o: f"cast(ceil(({o}) * s / {d}) as int)"
-        fold = f"aggregate(sequence({first('o')}, least({first('o + 1')} - 1, s - 1)), a[{first('o')}], (v, k) -> if((k * {d}) % s < s div 2 and k < s - 1, shiftright(v + a[k + 1], 1), v))"
-        px = on_lines(px, axis, f"transform(sequence(0, cast({d} as int) - 1), o -> {fold})")
+        px = on_lines(px, axis, _stepped(f"(s * {num} div {den})"))
     return px
 
 
-def fit(w: Column, h: Column, max_w: int, max_h: int) -> Column:
-    """The scale that fits w by h into a box, never over 1."""
-    return F.least(F.lit(1.0), F.lit(float(max_w)) / w, F.lit(float(max_h)) / h)
+def fit_size(w: str, h: str, max_w: int, max_h: int) -> tuple[Column, Column]:
+    """The sides of w by h in a box: both times the smaller ratio, in single precision, cut, at least 1; none is enlarged."""
+    side = lambda c, most: F.lit(most).cast("float") / F.col(c).cast("float")
+    scale = F.least(F.lit(1).cast("float"), side(w, max_w).cast("float"), side(h, max_h).cast("float"))
+    # a product of floats rounded to a float, as the cut is of single precision
+    return tuple(F.greatest((F.col(c).cast("float") * scale).cast("float").cast("int"), F.lit(1)) for c in (w, h))
+
+
+def fit_into(px: DataFrame, max_w: int, max_h: int) -> DataFrame:
+    """Every image of px(image_id, y, x, v), whole numbers, at the size that fits it into max_w by max_h; small ones stay as they are.
+
+    Each image is halved while both sides are at least three times their target, then brought to the exact size by resize_fast()'s steps. Images of all sizes
+    go together: a round halves those that need it still, so there are as many rounds as the largest has halvings."""
+    tw, th = fit_size("w", "h", max_w, max_h)
+    plan = sizes(px).select("image_id", "w", "h", tw.alias("tw"), th.alias("th"))
+    for c, t in (("w", "tw"), ("h", "th")):
+        # halvings by which a side stays at three times its target or more, counted until it does not
+        plan = plan.withColumn(f"n{c}", F.expr(f"size(filter(sequence(0, 31), k -> shiftright({c}, k) div {t} > 2))"))
+    plan = plan.withColumn("rounds", F.least("nw", "nh"))
+    keep = ("tw", "th", "rounds")
+    most = plan.agg(F.max("rounds")).first()[0] or 0
+    cur, done = px.join(plan.select("image_id", *keep, "w", "h"), "image_id"), []
+    done.append(cur.where("w = tw and h = th").select("image_id", "y", "x", F.col("v").cast("int").alias("v")))
+    cur = cur.where("w <> tw or h <> th").select("image_id", "y", "x", "v", *keep)
+    for k in range(most + 1):
+        exact = cur.where(f"rounds = {k}")
+        if k:
+            size = sizes(exact).join(plan.select("image_id", "tw", "th"), "image_id").where("w = tw and h = th").select("image_id")
+            done.append(exact.join(size, "image_id", "left_semi").select("image_id", "y", "x", F.col("v").cast("int").alias("v")))
+            exact = exact.join(size, "image_id", "left_anti")
+        exact = on_lines(on_lines(exact, "x", _stepped("tw"), keep), "y", _stepped("th"), keep)
+        done.append(exact.select("image_id", "y", "x", F.col("v").cast("int").alias("v")))
+        if k < most:
+            cur = halve(cur.where(f"rounds > {k}"), keep)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def resize_bicubic(px: DataFrame, w: int, h: int) -> DataFrame:
@@ -112,20 +154,27 @@ def spline(a, at):
 
 
 def reduce_field(px: DataFrame, rounds: int, how: str = "zero") -> DataFrame:
-    """Fields at half the sides, `rounds` times: the value nearest to zero of each 2 by 2 cell (zero; of equal distances the smaller one),
-    their mean (mean), the first (nearest), or a spline along each line (cubic). A last odd row or column is left out."""
-    for _ in range(rounds):
-        if how == "cubic":
-            p = px.selectExpr("image_id", "cast(y as int) y", "cast(x as int) x", "v")
-            px = _spline_axis(_spline_axis(p, "x", lambda n: n // 2), "y", lambda n: n // 2).select("image_id", "y", "x", "v")
-            continue
-        cell = px.join(sizes(px), "image_id").where("x div 2 < w div 2 and y div 2 < h div 2")
-        if how == "nearest":
-            px = cell.where("x % 2 = 0 and y % 2 = 0").selectExpr("image_id", "cast(y div 2 as int) y", "cast(x div 2 as int) x", "v")
-            continue
-        value = F.min(F.struct(F.abs("v").alias("d"), "v"))["v"] if how == "zero" else F.avg("v")
-        px = cell.groupBy("image_id", F.expr("cast(y div 2 as int)").alias("y"), F.expr("cast(x div 2 as int)").alias("x")).agg(value.alias("v"))
-    return px
+    """Fields at 1 / 2^rounds of the sides, floored, in one step: output o stands at o * side / small side, and is the value nearest to zero of the cell
+    there (zero; of equal distances the smaller one), its mean (mean), its first sample (nearest), or that of a spline along each line
+    (cubic). A cell begins at the cut place and has as many samples a side as the ratio, rounded up; cells overlap where sides don't divide, and
+    the last samples repeat beyond the end. Sides under 2^rounds give nothing."""
+    if how == "cubic":
+        p = px.selectExpr("image_id", "cast(y as int) y", "cast(x as int) x", "v")
+        return _spline_axis(_spline_axis(p, "x", lambda n: n >> rounds), "y", lambda n: n >> rounds).select("image_id", "y", "x", "v")
+    p = px.join(sizes(px), "image_id")
+    for axis, side in (("y", "h"), ("x", "w")):
+        small = f"shiftright({side}, {rounds})"
+        first = f"cast(o * ({side} / cast({small} as double)) as int)"
+        width = 1 if how == "nearest" else f"cast(ceil({side} / cast({small} as double)) as int)"
+        # outputs whose cell holds the sample; the last sample stands for all places beyond it, so it may count more than once
+        near = f"sequence(greatest(cast({axis} * {small} / {side} as int) - 2 * {width}, 0), least(cast({axis} * {small} / {side} as int) + 1, {small} - 1))"
+        times = f"if({axis} = {side} - 1, greatest({first} + {width} - {axis}, 0), if({axis} >= {first} and {axis} < {first} + {width}, 1, 0))"
+        reads = f"inline(filter(transform({near}, o -> named_struct('to_{axis}', o, 'n{axis}', {times})), t -> t.n{axis} > 0))"
+        p = p.where(f"{small} > 0").select("*", F.expr(reads))
+    cell = p.groupBy("image_id", F.col("to_y").alias("y"), F.col("to_x").alias("x"))
+    if how == "mean":
+        return cell.agg((F.sum(F.col("v") * F.col("ny") * F.col("nx")) / F.sum(F.col("ny") * F.col("nx"))).alias("v"))
+    return cell.agg(F.min(F.struct(F.abs("v").alias("d"), "v"))["v"].alias("v"))
 
 
 def rescale_field(px: DataFrame, w: int, h: int, how: str = "bilinear") -> DataFrame:
@@ -177,19 +226,20 @@ def rotate_shear(px: DataFrame, degrees: float) -> DataFrame:
 
 
 def radon(px: DataFrame, angles: int | None = None) -> DataFrame:
-    """(image_id, k, x, v): sums of bilinear samples along y of the image turned by k quarter turns / q, k = 1 .. q, divided by q; q is the
-    smaller side, or `angles`. Each angle samples the whole image, so start with few angles."""
+    """(image_id, q, k, n, x, v): sums of bilinear samples along y of the image turned by k quarter turns / q, k = 1 .. q, divided by q; q is the
+    smaller side, or `angles`, and n the larger side, over which a projection lies. Each angle samples the whole image, so start with few angles."""
     size = sizes(px).withColumn("q", F.least("w", "h") if angles is None else F.lit(angles))
     grid = size.selectExpr("*", "explode(sequence(1, q)) k").selectExpr("*", f"{math.pi / 2}D * k / q a")
     grid = grid.selectExpr("image_id", "w", "h", "q", "k", "cos(a) c", "sin(a) s", "explode(sequence(0, h - 1)) oy").selectExpr("*", "explode(sequence(0, w - 1)) ox")
     at = grid.selectExpr("image_id", "w", "h", "q", "k", "ox", "(ox - w / 2) * c - (oy - h / 2) * s + w / 2 sx", "(ox - w / 2) * s + (oy - h / 2) * c + h / 2 sy")
-    return sample_at(px, at, ["q", "k", "ox"]).selectExpr("image_id", "q", "k", "ox x", "v / q v")
+    return sample_at(px, at.withColumn("n", F.greatest("w", "h")), ["q", "k", "n", "ox"]).selectExpr("image_id", "q", "k", "n", "ox x", "v / q v")
 
 
 def best_rotation(rows: DataFrame) -> DataFrame:
-    """(image_id, k, energy, radians): of radon()'s rows the angle whose sums vary most; of equal ones the first; radians of the angle before, as
-    rows count from 0."""
-    e = rows.groupBy("image_id", "q", "k").agg(F.var_pop("v").alias("energy"))
+    """(image_id, k, energy, radians): of radon()'s rows the angle whose sums vary most over n places, empty ones being 0; of equal ones the
+    first; radians of the angle before, as rows count from 0."""
+    e = rows.groupBy("image_id", "q", "k", "n").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("s2"))
+    e = e.selectExpr("image_id", "q", "k", "s2 / n - (s / n) * (s / n) energy")
     best = e.groupBy("image_id", "q").agg(F.max(F.struct("energy", (-F.col("k")).alias("k"))).alias("b"))
     return best.select("image_id", (-F.col("b.k")).alias("k"), "b.energy", (F.lit(math.pi / 2) * (-F.col("b.k") - 1) / F.col("q")).alias("radians"))
 
@@ -234,29 +284,34 @@ def epx2_near(px: DataFrame, max_diff: int) -> DataFrame:
 
 
 def diffuse_upscale(px: DataFrame, scale: float) -> DataFrame:
-    """Enlargement by picked samples: the fractions of the places add up to an error that pushes a pick on. The picks depend on the sides only,
-    so they are worked out once for each pair of sides, in single precision, and joined."""
+    """Enlargement by picked samples: the parts of a sample that the places fall behind add up, along each output row and on into the next one, and push a pick
+    on where they make a whole. The picks depend on the sides only, so they are worked out once for each pair of sides, in single precision, and joined."""
+
+    def carried(fractions, rows, give: float):
+        """For each place of each row, whether the sum of the fractions so far is a whole, which then gives `give` back, and the sum after it. A row adds a fraction
+        of its own before its first place, where nothing is given back."""
+        import numpy as np
+
+        give = np.float32(give)
+        parts = np.column_stack([rows, np.broadcast_to(fractions, (len(rows), fractions.shape[-1]))]).astype(np.float32).ravel()
+        own = np.arange(len(parts)) % (fractions.shape[-1] + 1) == 0
+        step = lambda s, p: s + p[0] - give if s + p[0] >= 1 and not p[1] else s + p[0]
+        sums = np.fromiter(accumulate(zip(parts, own.tolist(), strict=True), step, initial=np.float32(0)), np.float32, len(parts) + 1)
+        each = lambda v: v.reshape(len(rows), -1)[:, 1:]
+        return each(sums[:-1] + parts >= 1), each(sums[1:])
 
     def picks(pdf):
         import numpy as np
 
         w, h = int(pdf["w"].iloc[0]), int(pdf["h"].iloc[0])
-        one = np.float32
-        inverse, error, down, out = one(1) / one(scale), one(0), one(0), []
-        for y in range(int(one(h) * one(scale))):
-            sy = one(y) * inverse
-            part = sy - one(int(sy))
-            error, down = error + part, down + part
-            for x in range(int(one(w) * one(scale))):
-                sx = one(x) * inverse
-                error = error + (sx - one(int(sx)))
-                if error >= 1:
-                    sx, error = sx + one(1), error - one(1.414)
-                down = down + part
-                if down >= 1:
-                    down = down - one(1)
-                out.append((w, h, y, x, min(int(sy + down), h - 1), min(int(sx), w - 1)))
-        return type(pdf)(out, columns=["w", "h", "oy", "ox", "y", "x"])
+        step, sides = np.float32(1) / np.float32(scale), [int(np.float32(n) * np.float32(scale)) for n in (w, h)]
+        # places of the outputs, and what they are beyond a sample
+        (x, fx), (y, fy) = ((p, p - np.floor(p)) for p in (np.arange(n, dtype=np.float32) * step for n in sides))
+        on, _ = carried(fx, fy, 1.414)
+        _, down = carried(np.repeat(fy[:, None], sides[0], 1), fy, 1.0)
+        gy, gx = np.meshgrid(np.arange(sides[1]), np.arange(sides[0]), indexing="ij")
+        py, px = np.minimum((y[gy] + down).astype(int), h - 1), np.minimum((x[gx] + on).astype(int), w - 1)
+        return type(pdf)({"w": w, "h": h, "oy": gy.ravel(), "ox": gx.ravel(), "y": py.ravel(), "x": px.ravel()})
 
     size = sizes(px)
     table = size.select("w", "h").distinct().groupBy("w", "h").applyInPandas(picks, "w int, h int, oy int, ox int, y int, x int")

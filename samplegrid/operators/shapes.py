@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,8 +66,88 @@ def sdf_ellipse(x, y, rx, ry, how: str = "squashed") -> Column:
     return radial if how == "radial" else F.when(F.coalesce(radial, F.lit(-1.0)) < 0, squashed).otherwise((squashed + radial) / 2)
 
 
+def sdf_ellipse_exact(x, y, rx, ry, steps: int = 60) -> Column:
+    """The distance to the nearest point of the ellipse, below zero inside.
+
+    With p in the first quadrant and a >= b the radii along it, the nearest point is (a^2 px / (u + a^2 - b^2), b^2 py / u) for the one u > 0 at which that
+    lies on the ellipse. It is between b py and the length of (a px, b py), and is found by halving the interval of its logarithm, which keeps all
+    digits of a small u. Points on the long axis are taken as a hair's breadth beside it."""
+    x, y, rx, ry = map(_c, (x, y, rx, ry))
+    flat = rx >= ry
+    a, b = F.greatest(rx, ry), F.least(rx, ry)
+    px, py = F.abs(F.when(flat, x).otherwise(y)), F.greatest(F.abs(F.when(flat, y).otherwise(x)), b * 1e-12)
+    ax, by, k = a * px, b * py, a * a - b * b
+
+    def closer(t: Column) -> Column:
+        """Half of the interval, which holds the point where the sum of squares is 1."""
+        m = F.sqrt(t["lo"] * t["hi"])
+        low = (ax / (m + k)) * (ax / (m + k)) + (by / m) * (by / m) > 1
+        return F.struct(F.when(low, m).otherwise(t["lo"]).alias("lo"), F.when(low, t["hi"]).otherwise(m).alias("hi"))
+
+    start = F.struct(by.alias("lo"), _length(ax, by).alias("hi"))
+    u = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda t, _: closer(t), lambda t: F.sqrt(t["lo"] * t["hi"]))
+    d = F.get(F.transform(F.array(u), lambda u: _length(px - a * ax / (u + k), py - b * by / u)), F.lit(0))
+    return F.when(_length(x / rx, y / ry) < 1, -d).otherwise(d)
+
+
+def sdf_curve(x, y, curve) -> Column:
+    """The distance to a line through the points of curve, an array of (x, y, r), whose half width goes evenly from one point's r to the next one's, with round
+    ends: the least distance to its parts, each the hull of two circles. Of a part whose one circle holds the other, it is the larger one's."""
+    x, y = _c(x), _c(y)
+
+    def part(p: Column, q: Column) -> Column:
+        dx, dy, dr = q["x"] - p["x"], q["y"] - p["y"], p["r"] - q["r"]
+        length = _length(dx, dy)
+        # across and along the part, in its own length; the sides of the hull lean by dr over the length
+        across, along = F.abs((x - p["x"]) * dy - (y - p["y"]) * dx) / length, ((x - p["x"]) * dx + (y - p["y"]) * dy) / length
+        lean = F.sqrt(F.greatest(length * length - dr * dr, F.lit(0.0)))
+        place = (lean * along - dr * across) / length
+        first, second = _length(x - p["x"], y - p["y"]) - p["r"], _length(x - q["x"], y - q["y"]) - q["r"]
+        side = (lean * across + dr * along) / length - p["r"]
+        return F.when(length <= F.abs(dr), F.least(first, second)).when(place < 0, first).when(place > lean, second).otherwise(side)
+
+    curve = _c(curve)
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.size(curve) - 2), lambda i: part(F.get(curve, i), F.get(curve, i + 1))))
+
+
+def sdf_polygon(x, y, corners: list[tuple]) -> Column:
+    """A few corners in order, below zero inside by parity."""
+    x, y = _c(x), _c(y)
+    points = [(_c(a), _c(b)) for a, b in corners]
+    nearest, crossed = [], F.lit(0)
+    for (px, py), (qx, qy) in zip(points, [*points[1:], points[0]], strict=True):
+        ex, ey, wx, wy = qx - px, qy - py, x - px, y - py
+        size = ex * ex + ey * ey
+        t = F.when(size > 0, F.least(F.greatest((wx * ex + wy * ey) / size, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        nearest.append((wx - ex * t) * (wx - ex * t) + (wy - ey * t) * (wy - ey * t))
+        turn = ex * wy - ey * wx
+        crossed = crossed + F.when((py <= y) & (qy > y) & (turn > 0) | (py > y) & (qy <= y) & (turn < 0), 1).otherwise(0)
+    d = F.sqrt(F.least(*nearest))
+    return F.when(crossed % 2 == 1, -d).otherwise(d)
+
+
+def sdf_ring(x, y, rx, ry, start: float, sweep: float, thickness) -> Column:
+    """A band of an elliptic outline, `thickness` to the inside, from the angle `start` (0 to the right, degrees) on over `sweep` degrees clockwise (below zero: the other
+    way): the band cut with a wedge for less than a half turn, else the band without the wedge that closes it. The wedge goes from the middle through both ends, on a
+    circle of the larger radius, and as far beyond them as covers the outline."""
+    if not sweep:
+        raise ValueError("a sweep of no degrees has no section")
+    x, y, rx, ry = map(_c, (x, y, rx, ry))
+    if sweep < 0:
+        start, sweep = start + sweep, -sweep
+    reach = F.greatest(rx, ry)
+    ends = [(F.cos(F.lit(math.radians(a % 360))) * reach, F.sin(F.lit(math.radians(a % 360))) * reach) for a in (start, start + sweep)]
+    mx, my = (ends[0][0] + ends[1][0]) / 2, (ends[0][1] + ends[1][1]) / 2
+    beyond = (reach - _length(mx, my) + 1) * 2
+    corners = [(0, 0), ends[0], *((ex + mx * beyond, ey + my * beyond) for ex, ey in ends), ends[1]]
+    wedge = sdf_polygon(x, y, corners)
+    outline = sdf_ellipse(x, y, rx, ry, "blend")
+    band = sdf_subtract(outline + _c(thickness), outline)
+    return sdf_intersect(band, wedge) if sweep < 180 else sdf_subtract(wedge, band)
+
+
 #: Distance functions by kind; more can be added.
-KINDS = {"circle": sdf_circle, "box": sdf_box, "line": sdf_line, "triangle": sdf_triangle, "ellipse": sdf_ellipse}
+KINDS = {"circle": sdf_circle, "box": sdf_box, "line": sdf_line, "triangle": sdf_triangle, "ellipse": sdf_ellipse, "ellipse_exact": sdf_ellipse_exact, "curve": sdf_curve, "ring": sdf_ring}
 
 
 def sdf_union(*c: Column) -> Column:
@@ -87,31 +169,76 @@ def coverage(distance: Column) -> Column:
 
 
 def rasterise(shapes: DataFrame, distance: Column, reach: Column, w: int, h: int) -> DataFrame:
-    """(shape_id, y, x, a) with a over 0: coverage of each sample of a w by h canvas by shapes(shape_id, cx, cy, ...). distance is a Column over dx, dy
+    """(shape_id, y, x, a, deep) with a over 0: coverage, and whether it lies deeper than 1 inside, of each sample of a w by h canvas by shapes(shape_id, cx, cy, ...). distance is a Column over dx, dy
     and the shape's columns; reach bounds how far from (cx, cy) a shape goes. Each shape makes the samples of its own box: no join."""
     box = shapes.withColumn("reach", F.ceil(reach) + 1)
     for axis, side in (("y", h), ("x", w)):
         first, last = F.greatest(F.ceil(F.col(f"c{axis}") - F.col("reach")), F.lit(0)), F.least(F.floor(F.col(f"c{axis}") + F.col("reach")), F.lit(side - 1))
         box = box.where(first <= last).withColumn(axis, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     box = box.withColumns({"dx": F.col("x") - F.col("cx"), "dy": F.col("y") - F.col("cy")})
-    return box.withColumn("a", coverage(distance)).where("a > 0").drop("dx", "dy", "reach")
+    return box.withColumn("a", coverage(distance)).withColumn("deep", distance < -1).where("a > 0").drop("dx", "dy", "reach")
 
 
 def composite(layers: DataFrame, order: str, background: int = 0) -> DataFrame:
-    """(y, x, v) of layers(y, x, a, v, order): later layers over earlier ones, (under * (255 - a) >> 8) + (over * a >> 8). The layers of one
-    sample are gathered in order, as each is cut to a whole number."""
-    stack = layers.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "a", "v"))).alias("s"))
-    return stack.select("y", "x", F.expr(f"aggregate(s, {background}, (u, t) -> cast(shiftright(u * (255 - t.a), 8) + shiftright(t.v * t.a, 8) as int))").alias("v"))
+    """(y, x, v) of layers(y, x, a, v, deep, order): later layers over earlier ones. Deep samples are set; the others, within 1 of the rim, are mixed as
+    (under * (255 - a) >> 8) + (over * a >> 8). The layers of one sample are gathered in order, as each is cut to a whole number."""
+    stack = layers.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "a", "v", "deep"))).alias("s"))
+    return stack.select("y", "x", F.expr(f"aggregate(s, {background}, (u, t) -> if(t.deep, t.v, cast(shiftright(u * (255 - t.a), 8) + shiftright(t.v * t.a, 8) as int)))").alias("v"))
 
 
 def fill_spans(segments: DataFrame, rule: str = "odd") -> DataFrame:
     """(shape_id, y, left, right): filled parts of each row of segments(shape_id, ax, ay, bx, by). A segment crosses the rows from round(top) to
-    below round(bottom), halves up; crossings are paired by parity (odd) or while the running winding number is not 0 (winding)."""
+    below round(bottom), halves up; crossings are paired by parity (odd), or from where the running winding number leaves 0 to where it is 0 again (winding)."""
     s = segments.where("floor(ay + 0.5D) <> floor(by + 0.5D)").selectExpr("*", "if(ay < by, 1, -1) dir", "cast(floor(least(ay, by) + 0.5D) as int) top", "cast(floor(greatest(ay, by) + 0.5D) as int) bottom")
     s = s.selectExpr("shape_id", "ax", "ay", "bx", "by", "dir", "explode(sequence(top, bottom - 1)) y").selectExpr("shape_id", "y", "dir", "ax + (y - ay) * (bx - ax) / (by - ay) cx")
     w = Window.partitionBy("shape_id", "y").orderBy("cx", "dir")
-    s = s.select("shape_id", "y", "cx", F.row_number().over(w).alias("i"), F.sum("dir").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"), F.lead("cx").over(w).alias("next"))
-    return s.where("next is not null and " + ("i % 2 = 1" if rule == "odd" else "n <> 0")).select("shape_id", "y", F.col("cx").alias("left"), F.col("next").alias("right"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.row_number().over(w) % 2 if rule == "odd" else F.sum("dir").over(so_far)
+    s = s.select("shape_id", "y", "cx", "dir", inside.alias("n")).withColumn("was", F.lag("n", 1, 0).over(w))
+    s = s.withColumn("left", F.last(F.when(F.col("was") == 0, F.col("cx")), True).over(so_far))
+    return s.where("n = 0").select("shape_id", "y", "left", F.col("cx").alias("right"))
+
+
+def gamma_table(gamma: float = 2.2) -> list[int]:
+    """The brightness of each coverage 0..255, so that a half covered sample looks half as bright."""
+    return [min(255, int(i ** (1 / gamma) * (255 / 255 ** (1 / gamma)))) for i in range(256)]
+
+
+def _bright(c: Column, gamma: float) -> Column:
+    return F.element_at(F.array(*map(F.lit, gamma_table(gamma))), (c + 1).cast("int"))
+
+
+def span_ends(spans: DataFrame, gamma: float = 2.2) -> DataFrame:
+    """fill_spans() with whole ends: (shape_id, y, left, left_cover, right, right_cover), where a cover is the brightness of the part of the end's sample that the span
+    covers: to the right of its left end, to the left of its right end."""
+    part = lambda c: F.col(c) - F.floor(c)
+    return spans.select(
+        "shape_id", "y", F.floor("left").cast("int").alias("left"), _bright(((1 - part("left")) * 255).cast("int"), gamma).alias("left_cover"),
+        F.floor("right").cast("int").alias("right"), _bright((part("right") * 255).cast("int"), gamma).alias("right_cover"),
+    )
+
+
+def coverage_lines(lines: DataFrame, w: int, h: int, gamma: float = 2.2) -> DataFrame:
+    """(shape_id, i, pair, y, x, a, under) of lines(shape_id, x1, y1, x2, y2) of whole numbers, one sample wide, on a w by h canvas: at step i of the longer axis the
+    sample that the line is at (pair 0) and the one after it across (pair 1), the weights of the line's value and of what is under it.
+
+    The other axis is at the least place not under the line, and how far it is beyond it, in units of both sides, tells how the two samples share the line, so each step is
+    a closed form of its number. Both samples keep what the second one's cover leaves. Lines to the left or up are moved by one, for the pair."""
+    p = lines.selectExpr("shape_id", "x1", "y1", "abs(x2 - x1) dx", "abs(y2 - y1) dy", "if(x2 < x1, -1, 1) sx", "if(y2 < y1, -1, 1) sy")
+    p = p.selectExpr("*", "explode(sequence(0, greatest(dx, dy))) i")
+    p = p.selectExpr("*", "if(dx >= dy, i, cast(ceil(i * dx / dy) as int)) mx", "if(dx >= dy, if(dx = 0, 0, cast(ceil(i * dy / dx) as int)), i) my")
+    error = "(my * dx - mx * dy + (dx + dy) div 2 - if(dx > dy, dx + dy, 0)) * if(dx >= dy, -sy, sx)"
+    p = p.selectExpr("*", f"cast(least(greatest({error}, -127), 127) as int) v")
+    p = p.withColumns({"second": _bright(128 + F.col("v"), gamma), "first": _bright(128 - F.col("v"), gamma)})
+    p = p.selectExpr("shape_id", "i", "explode(array(0, 1)) pair", "y1 + sy * my + if(sy < 0, 1, 0) y", "x1 + sx * mx + if(sx < 0, 1, 0) x", "dx > dy steep", "first", "second")
+    p = p.selectExpr("shape_id", "i", "pair", "y + if(steep, pair, 0) y", "x + if(steep, 0, pair) x", "if(pair = 0, first, second) a", "255 - second under")
+    return p.where(f"y >= 0 and x >= 0 and y < {h} and x < {w}")
+
+
+def composite_lines(layers: DataFrame, order: list[str], background: int = 0) -> DataFrame:
+    """(y, x, v) of coverage_lines() with the lines' values v: later samples over earlier ones, (under * what is there >> 8) + (a * v >> 8)."""
+    stack = layers.groupBy("y", "x").agg(F.array_sort(F.collect_list(F.struct(*order, "a", "under", "v"))).alias("s"))
+    return stack.select("y", "x", F.expr(f"aggregate(s, {background}, (u, t) -> cast(shiftright(u * t.under, 8) + shiftright(t.v * t.a, 8) as int))").alias("v"))
 
 
 def inside(r, g, b) -> Column:
@@ -137,18 +264,18 @@ def distance_transform(px: DataFrame, inside: Column) -> DataFrame:
     return rows.selectExpr("image_id", "y", "x", "if(inside, -n, n) dist", "(b.x - x) / n gx", "(b.y - y) / n gy")
 
 
-def reachable(field: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
+def reachable(field: DataFrame, start: DataFrame) -> DataFrame:
     """(image_id, y, x, hit) of field(image_id, y, x, dist) and start(image_id, y, x): what is seen from the starts by jumps of the whole distance, of 3 at
     least, to the left, right, top and bottom. Each round takes the places that no disc of an earlier round covers, marks them (hit) and
     the disc of one less than their distance around them, and goes on to their four ends inside the image. Rounds run until there
-    is no place left; each is a checkpoint."""
+    is no place left, as each covers its own places for good; each is a scratch table."""
     from samplegrid.operators.gather import sizes
-    from samplegrid.operators.wavelet import cut
+    from samplegrid.operators.scan import cut, discard
 
     known = cut(field.selectExpr("image_id", "y", "x", "cast(dist as int) rad").join(sizes(field), "image_id").where("rad >= 3"))
     bounds = sizes(field)
-    front, seen = start.select("image_id", "y", "x").distinct(), None
-    for _ in range(max_rounds):
+    front, seen, seen_before = start.select("image_id", "y", "x").distinct(), None, []
+    while True:
         front = cut(front.join(known, ["image_id", "y", "x"]))
         if not front.limit(1).count():
             break
@@ -156,7 +283,9 @@ def reachable(field: DataFrame, start: DataFrame, max_rounds: int = 100) -> Data
         disc = disc.where("dx * dx + dy * dy <= (rad - 1) * (rad - 1)").selectExpr("image_id", "y + dy y", "x + dx x", "dx = 0 and dy = 0 hit")
         disc = disc.join(bounds, "image_id").where("y >= 0 and x >= 0 and y < h and x < w").select("image_id", "y", "x", "hit")
         seen = disc if seen is None else seen.unionByName(disc)
-        seen = cut(seen.groupBy("image_id", "y", "x").agg(F.bool_or("hit").alias("hit")))
+        done, seen = seen_before, cut(seen.groupBy("image_id", "y", "x").agg(F.bool_or("hit").alias("hit")))
+        discard(*done)
+        seen_before = [seen]
         ends = "array(struct(y as y, x - rad as x), struct(y as y, x + rad as x), struct(y - rad as y, x as x), struct(y + rad as y, x as x))"
         ends = front.selectExpr("image_id", "w", "h", "y y0", "x x0", f"inline({ends})")
         ends = ends.where("(x = x0 or (x > 0 and x < w)) and (y = y0 or (y > 0 and y < h))").select("image_id", "y", "x").distinct()

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.window import Window
 
+from samplegrid.operators.scan import BLOCK, affine, cut, discard, earlier_smaller, ranked, split_by_size, states_before
 from samplegrid.operators.symbols import line
 from samplegrid.operators.window import normalise
 
@@ -72,26 +74,38 @@ def _filtered(values, terms, state):
     return out, (x1, x2, y1, y2)
 
 
-def butterworth(sm: DataFrame, key: str, order: list[str], terms: tuple[float, ...], prime: float = 0.0) -> DataFrame:
-    """(key, *order, v, filtered) of sm(key, *order, v), filtered along each series; `prime` is the value before it began. A series is a
-    recurrence, so it is one group; series run side by side."""
-    kinds = {f.name: f.dataType.simpleString() for f in sm.schema.fields}
+def butterworth(sm: DataFrame, key: str, order: list[str], terms: tuple[float, ...], prime: float = 0.0, size: int = BLOCK) -> DataFrame:
+    """(key, *order, v, filtered) of sm(key, *order, v), filtered along each series; `prime` is the value before it began.
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        return pdf.assign(filtered=_filtered(pdf["v"].tolist(), terms, (prime,) * 4)[0])
+    What the inputs add is a window; what the last two outputs add is an affine function of these, and such functions are scanned over
+    blocks, so that one long series is not one task's work beyond its sort. A null v makes the rest of its series null."""
+    a1, a2, a3, b1, b2 = terms
+    w = Window.partitionBy(key).orderBy(*order)
+    v = F.col("v").cast("double")
+    p = sm.select(key, *order, v.alias("v")).withColumns({"i": F.row_number().over(w) - 1, "x1": F.lag("v", 1, prime).over(w), "x2": F.lag("v", 2, prime).over(w)})
+    p = p.withColumn("fed", a1 * F.col("v") + a2 * F.col("x1") + a3 * F.col("x2"))
+    kept = ", ".join(f"'{c}', {c}" for c in (*order, "v"))
+    p = p.selectExpr(key, "cast(i as long) i", f"named_struct('a', {-b1!r}D, 'b', {-b2!r}D, 'c', 1D, 'd', 0D, 'p', fed, 'q', 0D, {kept}) f")
+    out = states_before(p, [key], affine(prime), size)
+    return out.select(key, *(F.col(f"f.{c}").alias(c) for c in (*order, "v")), F.expr(f"f.p - {b1!r}D * before.y1 - {b2!r}D * before.y2").alias("filtered"))
 
-    p = sm.select(key, *order, F.col("v").cast("double").alias("v"))
-    return p.groupBy(key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (key, *order)) + ", v double, filtered double")
 
+def butterworth_stream(sdf: DataFrame, key: str, order: list[str], terms: tuple[float, ...], prime: float = 0.0, delay: str | None = None) -> DataFrame:
+    """butterworth() on a stream.
 
-def butterworth_stream(sdf: DataFrame, key: str, order: list[str], terms: tuple[float, ...], prime: float = 0.0) -> DataFrame:
-    """butterworth() on a stream: the last two inputs and outputs of each series are state; rows of a batch are put in order, batches follow
-    each other, and rows that are late by a batch are filtered where they come."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    With a delay (as "10 minutes"), order[0] is the event time: rows wait in the series' state until the watermark, the latest event time of all
+    series less the delay, has passed them, and are then filtered in order, so a stream that is out of order by less than the delay gives the
+    batch's results. Rows behind the watermark come too late and are dropped. The state of a series is its last two inputs and outputs and
+    the rows of one delay; it needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
 
+    Without one, rows are filtered as they come: those of a batch in order, and late ones where they come."""
     kinds = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
     out = ", ".join(f"{c} {kinds[c]}" for c in (key, *order)) + ", v double, filtered double"
+    p = sdf.select(key, *order, F.col("v").cast("double").alias("v"))
+    if delay:
+        waiting = ", ".join(f"{c} {'timestamp' if c == order[0] else kinds[c]}" for c in order) + ", v double"
+        return p.withWatermark(order[0], delay).groupBy(key).transformWithStateInPandas(_OrderedFilter(key, order, terms, prime, waiting), out, "Append", "EventTime")
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(keys: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
@@ -101,34 +115,78 @@ def butterworth_stream(sdf: DataFrame, key: str, order: list[str], terms: tuple[
         state.update(after)
         yield pdf.assign(filtered=values)
 
-    p = sdf.select(key, *order, F.col("v").cast("double").alias("v"))
     return p.groupBy(key).applyInPandasWithState(run, out, "x1 double, x2 double, y1 double, y2 double", "append", GroupStateTimeout.NoTimeout)
 
 
+class _OrderedFilter(StatefulProcessor):
+    """Holds rows back until the watermark has passed them. One timer a series, at its earliest row that waits."""
+
+    def __init__(self, key: str, order: list[str], terms: tuple[float, ...], prime: float, waiting: str):
+        self.key, self.order, self.terms, self.prime, self.schema = key, order, terms, prime, waiting
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "x1 double, x2 double, y1 double, y2 double")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    @staticmethod
+    def _ms(t) -> int:
+        import pandas as pd
+
+        return int(pd.Timestamp(t).timestamp() * 1000)
+
+    def _renew_timer(self, first) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if first is not None:
+            self.handle.registerTimer(self._ms(first))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
+
+        new = pd.concat(list(rows))[[*self.order, "v"]]
+        held = [*self.waiting.get(), *new.itertuples(index=False, name=None)] if self.waiting.exists() else [*new.itertuples(index=False, name=None)]
+        self.waiting.put([tuple(r) for r in held])
+        self._renew_timer(min(r[0] for r in held))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in held if self._ms(r[0]) <= mark]
+        rest = held[len(ready) :]
+        values, after = _filtered([r[-1] for r in ready], self.terms, tuple(self.last.get()) if self.last.exists() else (self.prime,) * 4)
+        self.last.update(after)
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self._renew_timer(rest[0][0] if rest else None)
+        if ready:
+            yield pd.DataFrame([(key[0], *r, y) for r, y in zip(ready, values, strict=True)], columns=[self.key, *self.order, "v", "filtered"])
+
+    def close(self) -> None:
+        pass
+
+
 def recency_rank(sy: DataFrame, width: int = 1, listed: bool = False) -> DataFrame:
     """(doc_id, pos, rank) of symbols of `width` bytes: how many different symbols came since this one did last; a new symbol has its value plus the
     number of known ones (listed: of known greater ones, as if all symbols stood in a list from the start). A last part of a symbol is
-    left out. A document is a recurrence, so it is one group."""
-
-    def run(pdf):
-        import numpy as np
-
-        s = pdf.sort_values("pos")["s"].to_numpy()
-        s = s[: len(s) // width * width].reshape(-1, width)
-        values = (s << (8 * np.arange(width)[::-1])).sum(1).tolist()
-        known, seen, out = [], set(), []
-        for v in values:
-            if v in seen:
-                i = known.index(v)
-                del known[i]
-            else:
-                i = v + (sum(k > v for k in known) if listed else len(known))
-                seen.add(v)
-            known.insert(0, v)
-            out.append(i)
-        return type(pdf)({"doc_id": pdf["doc_id"].iloc[0], "pos": np.arange(len(out), dtype=np.int32), "rank": np.array(out, np.int64)})
+    left out.
 
-    return sy.select("doc_id", "pos", "s").groupBy("doc_id").applyInPandas(run, "doc_id long, pos int, rank long")
+    Without a list a document: of all places before, those whose own last use lies before this one's stand for the different symbols up to there,
+    so the rank is a count of earlier and smaller last uses (scan.earlier_smaller) less the places up to the last use."""
+    w = line()
+    parts = [F.col("s").cast("long") * 256 ** (width - 1)] + [F.lead("s", k).over(w).cast("long") * 256 ** (width - 1 - k) for k in range(1, width)]
+    value = sum(parts[1:], parts[0])
+    p = sy.select("doc_id", "pos", value.alias("v")).where(f"pos % {width} = 0 and v is not null").selectExpr("doc_id", f"cast(pos div {width} as long) i", "v")
+    p = p.withColumn("x", F.coalesce(F.lag("i").over(Window.partitionBy("doc_id", "v").orderBy("i")), F.lit(-1)))
+    if listed:
+        fresh = p.where("x = -1").selectExpr("doc_id", "v", "i", "row_number() over (partition by doc_id order by i) - 1 n")
+        fresh = earlier_smaller(fresh.selectExpr("doc_id", "cast(n as long) i", "v x", "i at"), ["doc_id"]).selectExpr("doc_id", "at i", "x + i - smaller new")
+    else:
+        fresh = p.where("x = -1").selectExpr("doc_id", "i", "v + row_number() over (partition by doc_id order by i) - 1 new")
+    out = earlier_smaller(p.drop("v"), ["doc_id"]).join(fresh, ["doc_id", "i"], "left")
+    return out.select("doc_id", F.col("i").cast("int").alias("pos"), F.when(F.col("x") < 0, F.col("new")).otherwise(F.col("smaller") - F.col("x") - 1).alias("rank"))
 
 
 def recency_bits(sy: DataFrame, fall_off: int = 3) -> DataFrame:
@@ -207,9 +265,54 @@ def lyndon_starts(s: list[int]) -> list[int]:
     return out
 
 
-def rotation_sort(sy: DataFrame) -> DataFrame:
+#: Symbols of a document that one task sorts or walks by itself.
+WHOLE = 1 << 20
+
+
+def rotation_sort(sy: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(doc_id, out, s): for all rotations of all words of a document's factorization, in order, the symbol before each in its word. Ranks of
-    2n symbols are made of ranks of n, so the rounds are the logarithm of the longest word. A document is one group."""
+    2n symbols are made of ranks of n, so the rounds are the logarithm of the longest word. A document of up to `whole` symbols is one group; longer ones are ranked
+    by joins and sorts of the whole table, in the same way and with the same result."""
+    short, long_ = split_by_size(sy.select("doc_id", "pos", "s"), "doc_id", whole)
+    out = _rotation_sort_each(short)
+    return out if long_ is None else out.unionByName(_rotation_sort_joined(long_))
+
+
+def _doubled(ranks: DataFrame, ahead) -> DataFrame:
+    """(doc_id, pos, ..., rank) by ever longer beginnings: ahead(df, step) is the place `step` symbols on, or null beyond the end. Rounds go on until a round tells no more
+    places apart."""
+    step, classes = 1, None
+    while True:
+        there = ranks.select("doc_id", F.col("pos").alias("at"), F.col("rank").alias("then"))
+        both = ahead(ranks, step).join(there, ["doc_id", "at"], "left").drop("at").withColumn("then", F.coalesce("then", F.lit(-1)))
+        both = cut(both)
+        names = ranked(both.select("doc_id", "rank", "then").distinct().withColumnsRenamed({"rank": "first"}), ["doc_id", "first", "then"])
+        new = cut(both.withColumnRenamed("rank", "first").join(names, ["doc_id", "first", "then"]).drop("first", "then"))
+        now = names.count()
+        discard(both, names)
+        if step > 1 and now == classes:
+            return new
+        ranks, classes, step = new, now, 2 * step
+
+
+def _rotation_sort_joined(sy: DataFrame) -> DataFrame:
+    start = cut(sy.selectExpr("doc_id", "cast(pos as long) pos", "s", "cast(s as long) rank"))
+    suffixes = _doubled(start.drop("s"), lambda df, step: df.withColumn("at", F.col("pos") + step))
+    # a word begins where the rest of the document is less than at all places before
+    w = line()
+    least = F.min("rank").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    p = suffixes.withColumn("new", least.isNull() | (F.col("rank") < least)).withColumn("word", F.sum(F.col("new").cast("long")).over(w))
+    word = Window.partitionBy("doc_id", "word")
+    p = p.withColumns({"first": F.min("pos").over(word), "size": F.count("*").over(word)}).select("doc_id", "pos", F.col("first").alias("begin"), "size")
+    turns = cut(p.join(start.select("doc_id", "pos", "s", "rank"), ["doc_id", "pos"]))
+    on = lambda df, step: df.withColumn("at", F.expr(f"begin + (pos - begin + {step}) % size"))
+    order = _doubled(turns.drop("s"), on)
+    before = turns.select("doc_id", F.expr("begin + (pos - begin + 1) % size").alias("pos"), "s")
+    out = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "pos")) - 1
+    return order.join(before, ["doc_id", "pos"]).select("doc_id", out.alias("out"), "s")
+
+
+def _rotation_sort_each(sy: DataFrame) -> DataFrame:
 
     def run(pdf):
         import numpy as np
@@ -233,9 +336,35 @@ def rotation_sort(sy: DataFrame) -> DataFrame:
     return sy.select("doc_id", "pos", "s").groupBy("doc_id").applyInPandas(run, "doc_id long, out int, s int")
 
 
-def rotation_unsort(df: DataFrame) -> DataFrame:
+def rotation_unsort(df: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(doc_id, pos, s): inverse of rotation_sort(). Each cycle of the stable sort's permutation is one word, from its end; the words come from the
-    last one."""
+    last one. Documents of over `whole` symbols are ranked by joins: pointers of doubled reach carry the least place on their way and how far it is, until all
+    know their cycle's least place, which orders the cycles and the places in each."""
+    short, long_ = split_by_size(df.select("doc_id", "out", "s"), "doc_id", whole)
+    out = _rotation_unsort_each(short)
+    return out if long_ is None else out.unionByName(_rotation_unsort_joined(long_))
+
+
+def _rotation_unsort_joined(df: DataFrame) -> DataFrame:
+    to = F.row_number().over(Window.partitionBy("doc_id").orderBy("s", "out")) - 1
+    base = cut(df.select("doc_id", F.col("out").cast("long").alias("i"), "s", to.cast("long").alias("to")))
+    cur, step = cut(base.selectExpr("doc_id", "i", "to", "i least", "0L off")), 1
+    while True:
+        there = cur.select("doc_id", F.col("i").alias("to"), F.col("to").alias("on"), F.col("least").alias("least2"), F.col("off").alias("off2"))
+        new = cut(cur.join(there, ["doc_id", "to"]).selectExpr("doc_id", "i", "on to", "least(least, least2) least", f"if(least2 < least, off2 + {step}, off) off", "least2 < least moved"))
+        discard(cur)
+        if not new.where("moved").limit(1).count():
+            break
+        cur, step = new.drop("moved"), 2 * step
+        cur._scratch = new._scratch
+    cycles = new.groupBy("doc_id", "least").agg(F.count("*").alias("size"))
+    by_doc = Window.partitionBy("doc_id")
+    cycles = cycles.withColumns({"n": F.sum("size").over(by_doc), "before": F.sum("size").over(by_doc.orderBy("least")) - F.col("size")})
+    placed = new.join(cycles, ["doc_id", "least"]).selectExpr("doc_id", "i", "cast(n - 1 - before - (size - off) % size as int) pos")
+    return placed.join(base.select("doc_id", "i", "s"), ["doc_id", "i"]).select("doc_id", "pos", "s")
+
+
+def _rotation_unsort_each(df: DataFrame) -> DataFrame:
 
     def run(pdf):
         import numpy as np

@@ -1,19 +1,18 @@
 """Several-level wavelets on rasters (image_id, y, x, v), storage order, band gains and quantisers.
 
 decompose() adds w and h, the sides of the image, which must be powers of two times 2^levels (pad_pow2() makes them so). Each level works on
-what is left of the last one and is cut by a checkpoint, so a level costs its own samples, and all levels together one third more
+what is left of the last one and is written to a scratch table, so a level costs its own samples, and all levels together one third more
 than the first. All windows of a level lie in one image: repartition("image_id") before many small images.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from samplegrid.operators.gather import sizes
+from samplegrid.operators.scan import cut
 from samplegrid.operators.window import CDF53, CDF97
 
 #: Gains of the presets, by bracket of storage order, the last one repeated.
@@ -23,17 +22,6 @@ QUANT_Y, QUANT_C = (12.0, 9.0, 4.0, 2.3, 1.5, 1.0), (10.0, 5.0, 2.0, 1.0)
 KINDS = {"cdf97": CDF97, "cdf53": CDF53}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the cluster's shared folder (spark.checkpoint.dir); a local one is made where that is unset and the master local."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="samplegrid-"))
-    return df.checkpoint()
-
-
 def _line(axis: str):
     keys = [c for c in ("image_id", "z", "y", "x") if c != axis]
     return lambda df: Window.partitionBy(*(k for k in keys if k in df.columns)).orderBy(axis)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from samplegrid.functions import scalar
-from samplegrid.operators import symbols
+from samplegrid.operators import models, symbols
 from samplegrid.plans import fixtures as fx
 from samplegrid.plans.registry import add
 
@@ -207,6 +207,40 @@ _BITS = ", e as (select doc_id, pos*8 + i pos, (s >> (7 - i)::int) & 1 s from (s
 _CHAIN = " || ".join(f"{_lag(k)}" for k in range(2, 18))
 _sy("w12_adaptive_bit_chain", lambda y: _round(symbols.adaptive_bits(symbols.bits(y), symbols.order(17)[1:], 2, 3)), _BITS + _adaptive(_CHAIN, 2, "e", 3))
 
+# models that learn one symbol late, the first symbol being 0
+_LATE = ", u as (select doc_id, s, pos + 1 j, true as real from sy union all select distinct doc_id, 0, 0, false from sy)"
+_OWN = "partition by doc_id, s order by j"
+_sy(
+    "w12_order0_late",
+    lambda y: _round(models.late_bits(y)),
+    f"""{_LATE}, k as (select *, row_number() over ({_OWN}) - 1 seen, lag(j) over ({_OWN}) as last from u)
+        select doc_id, round(sum(-log2((1 + 2.0e0*(seen - case when last = j - 1 then 1 else 0 end)) / (257 + 2*(j - 1)))), 4) bits from k where real group by doc_id""",
+)
+_sy(
+    "w12_rolling_order0",
+    lambda y: _round(models.rolling_bits(y)),
+    # a symbol's count at step i is what its places before have left; the sum of all counts is counted symbol by symbol where they fall
+    f"""{_LATE}, v as (select *, 17*row_number() over ({_OWN}) - j d from u), z as (select *, 1 + d - min(d) over ({_OWN} rows unbounded preceding) low from v),
+        k as (select *, lag(j) over ({_OWN}) as last, lag(low) over ({_OWN}) was, coalesce(lead(j) over ({_OWN}), 1000000000) as next from z),
+        f as (select doc_id, j + 1 i, 1 n from k union all select doc_id, least(next, j + low + 16), -1 from k),
+        g as (select doc_id, i, sum(n) n from f group by all),
+        r as (select doc_id, j - 1 i, case when last is null then 1 when last = j - 1 then was else greatest(1, was + 16 - (j - 2 - last)) end c from k where real),
+        hh as (select doc_id, i, sum(coalesce(n, 0)) over (partition by doc_id order by i) falling, c from r left join g using (doc_id, i)),
+        t as (select doc_id, c, 257 + 16*i - coalesce(sum(falling) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) total from hh)
+        select doc_id, round(sum(-log2(c::double / total)), 4) bits from t group by doc_id""",
+)
+_sy(
+    "w12_bit_chain32",
+    lambda y: _round(models.bit_chain_bits(y)),
+    # a fold over the places of each history; d is the chance in steps, b the bits so far
+    f""", w as (select doc_id, pos, s + 256::bigint*{_lag(1)} + 65536::bigint*{_lag(2)} + 16777216::bigint*{_lag(3)} w, unnest(range(8)) i from sy),
+        e as (select doc_id, pos*8 + i p, (w >> (9 - i)) & 65535 h, ((w >> (8 - i)) & 1)::double u, ((w >> (7 - i)) & 1)::double s from w),
+        l as (select doc_id, h, list({{'d': u*2 - 1, 'b': s}} order by p) l from e group by doc_id, h),
+        f as (select doc_id, list_reduce(l, lambda a, x: {{'d': least(greatest(a.d + x.d, 0), 10000),
+            'b': a.b + log2((20003 + abs(a.d - 5000)*25) / (10001 + case when (a.d >= 5000) = (x.b = 1) then abs(a.d - 5000)*25 else 0 end))}}, {{'d': 5000.0e0, 'b': 0.0e0}}).b b from l)
+        select doc_id, round(sum(b), 4) bits from f group by doc_id""",
+)
+
 _SUMS = ", c as (select doc_id, s, count(*) n from sy group by all), u as (select doc_id, s, sum(n) over (partition by doc_id order by s) - n low, sum(n) over (partition by doc_id order by s) high from c)"
 _cum = lambda y: symbols.cumulative(symbols.histogram(y).drop("share"))
 _sy("w14_range_sum", lambda y: symbols.range_sum(_cum(y), 97, 123), _SUMS + " select doc_id, coalesce(sum(n) filter (s between 97 and 122), 0)::bigint total from c group by doc_id")

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from samplegrid.functions import scalar
 from samplegrid.operators import gather, resample, wavelet, window
+from samplegrid.operators.scan import shared_dir
 from samplegrid.plans import fixtures as fx
 from samplegrid.plans.registry import add
+from samplegrid.sources import layout
 
 _EMB = f"with {fx.EMB_RASTER}"
 _SIZE = "sz as (select image_id, max(x) + 1 w, max(y) + 1 h from px group by image_id)"
@@ -118,6 +122,24 @@ _px(
     _padded(lambda p: _round(wavelet.reconstruct(wavelet.decompose(p, 4), 4, scale=2))),
     _Sql().forward(2).sql(_VALUES + " where y < (h >> 2) and x < (w >> 2)"),
 )
+def _stored(p):
+    """Pictures written as coefficients, and read back at a quarter of their sides."""
+    path = f"{shared_dir(p.sparkSession)}/stored-{uuid4().hex[:12]}"
+    layout.write_coefficients(p, path, 4)
+    return _round(layout.read_scale(p.sparkSession, path, 2))
+
+
+_px("src9_stored_scale", _padded(_stored), _Sql().forward(2).sql(_VALUES + " where y < (h >> 2) and x < (w >> 2)"))
+
+
+def _window(p):
+    """Samples in Morton order by files and row groups, of which a window is read back."""
+    path = f"{shared_dir(p.sparkSession)}/morton-{uuid4().hex[:12]}"
+    layout.write_by_key(p, scalar.morton2("x", "y"), path)
+    return layout.read_window(p.sparkSession, path, 9, 20, 37, 41).select("image_id", "y", "x", "v")
+
+
+_px("o1_morton_window", _window, " select image_id, y, x, v from px where x between 9 and 37 and y between 20 and 41")
 _FRAMES = _POW2.replace("c0 as (select g.image_id, g.y::int y, g.x::int x, v::double v, 64 w, g.h", "c0 as (select g.image_id, 64 w, 16 h, (g.h // 16)::int d, (g.y // 16)::int z, (g.y % 16)::int y, g.x::int x, v::double v")
 _b = _Sql("image_id, w, h, d")
 for _i in range(2):
@@ -241,6 +263,34 @@ _near = lambda source, axis: _taps_sql(source, axis, _D, _NEAR, "(sum(v*t.t.c)::
 _px("r1_resize_fast", lambda p: resample.resize_fast(p, 3, 4).withColumn("v", F.col("v").cast("int")), f", q as {_near('px', 'x')}, r as {_near('q', 'y')} select image_id, y, x, v from r")
 
 
+# pictures of several heights into one box: those that are three times as large or more are halved first
+_FIT = "(cast(least(1::float, 22::float/w::float, 24::float/h::float) as float))"
+_PLAN = f""", sz as (select image_id, max(x) + 1 w, max(y) + 1 h from px group by image_id), g as (select *, greatest(trunc(cast(w::float*{_FIT} as float)), 1)::int tw, greatest(trunc(cast(h::float*{_FIT} as float)), 1)::int th from sz),
+    big as (select image_id from g where w // tw > 2 and h // th > 2)"""
+
+
+def _to_target(source: str, axis: str, target: str) -> str:
+    """The steps of _NEAR with a target side for each picture."""
+    other, first = ("y" if axis == "x" else "x"), f"ceil(o*s/{target}::double)::int"
+    mixed = f"({first}*{target}) % s < s // 2 and {first} < s - 1"
+    return f"""(with l as (select b.image_id, b.{other}, max(b.{axis}) + 1 s, any_value(g.{target}) {target} from {source} b join g using (image_id) group by b.image_id, b.{other}), o as (select *, unnest(range({target})) o from l),
+        k as (select *, unnest(range({first}, least(ceil((o + 1)*s/{target}::double)::int, s))) k, {first} f from o),
+        t as (select k.image_id, k.{other}, o, s, {target}, list(b.v order by k) vs, list(n.v order by k) ns, list(k order by k) ks from k join {source} b on b.image_id = k.image_id and b.{other} = k.{other} and b.{axis} = k
+            left join {source} n on n.image_id = k.image_id and n.{other} = k.{other} and n.{axis} = k + 1 group by all)
+        select image_id, {other}, o::int {axis}, list_reduce(list_prepend(vs[1], range(1, len(ks) + 1)), lambda v, i: case when (ks[i]*{target}) % s < s // 2 and ks[i] < s - 1 then (v + ns[i]) >> 1 else v end)::int v from t)"""
+
+
+_px(
+    "r1_fit",
+    lambda p: resample.fit_into(p, 22, 24),
+    f"""{_PLAN}, large as (select px.* from px semi join big using (image_id)), hx as {_half('large', 'x')}, hy as {_half('hx', 'y')},
+        q as (select image_id, y, x, v from px anti join big using (image_id) union all select image_id, y, x, v from hy),
+        done as (select image_id from (select image_id, max(x) + 1 mw, max(y) + 1 mh from q group by image_id) m join g using (image_id) where mw = tw and mh = th), n as (select q.* from q anti join done using (image_id)),
+        fx as {_to_target('n', 'x', 'tw')}, fy as {_to_target('fx', 'y', 'th')}
+        select image_id, y, x, v from fy union all select q.* from q semi join done using (image_id)""",
+)
+
+
 def _cubic(n: int) -> str:
     at, t = f"(o*(s/{n}.0e0))", f"(1 - (o*(s/{n}.0e0) - floor(o*(s/{n}.0e0))))"
     left = f"least(greatest(trunc({at} - 1.5e0), 0), s - 4)"
@@ -264,10 +314,19 @@ for _how, _taps in (("bilinear", _bilinear), ("nearest", _nearest)):
         lambda p, h=_how: _round(resample.rescale_field(p, 100, 48, h)),
         f", q as {_taps_sql('px', 'x', '100', _taps(100), 'sum(v*t.t.c)')}, r as {_taps_sql('q', 'y', '48', _taps(48), 'sum(v*t.t.c)')} select image_id, y, x, round(v, 5) + 0.0 v from r",
     )
-_CELLS = f", {_SIZE}, c as (select image_id, (y // 2)::int y, (x // 2)::int x, v - 128 v from px join sz using (image_id) where x // 2 < w // 2 and y // 2 < h // 2)"
+# two rounds at once: cells of the sides over their quarters, from each output's own place
+_CELLS = f""", {_SIZE}, ry as (select *, h >> 2 sh, w >> 2 sw, unnest(range(h >> 2)) oy from sz), rx as (select *, unnest(range(w >> 2)) ox from ry),
+    dy as (select *, unnest(range(ceil(h/sh::double)::int)) b from rx), dx as (select *, unnest(range(ceil(w/sw::double)::int)) a from dy),
+    c as (select dx.image_id, oy::int y, ox::int x, v - 128 v from dx join px on px.image_id = dx.image_id and px.y = least(trunc(oy*(h/sh::double)) + b, h - 1) and px.x = least(trunc(ox*(w/sw::double)) + a, w - 1))"""
 _field = lambda p: p.withColumn("v", F.col("v") - 128)
-_px("j5_reduce_zero", lambda p: resample.reduce_field(_field(p), 1), f"{_CELLS} select image_id, y, x, arg_min(v, abs(v)*1000 + v) v from c group by all")
-_px("j5_reduce_mean", lambda p: _round(resample.reduce_field(_field(p), 1, "mean")), f"{_CELLS} select image_id, y, x, round(avg(v), 5) + 0.0 v from c group by image_id, y, x")
+_px("j5_reduce_zero", lambda p: resample.reduce_field(_field(p), 2), f"{_CELLS} select image_id, y, x, arg_min(v, abs(v)*1000 + v) v from c group by all")
+_px("j5_reduce_mean", lambda p: _round(resample.reduce_field(_field(p), 2, "mean")), f"{_CELLS} select image_id, y, x, round(avg(v), 5) + 0.0 v from c group by image_id, y, x")
+_px(
+    "j5_reduce_nearest",
+    lambda p: resample.reduce_field(p, 2, "nearest"),
+    f""", {_SIZE}, ry as (select *, unnest(range(h >> 2)) oy from sz), rx as (select *, unnest(range(w >> 2)) ox from ry)
+        select rx.image_id, oy::int y, ox::int x, v from rx join px on px.image_id = rx.image_id and px.y = trunc(oy*(h/(h >> 2)::double)) and px.x = trunc(ox*(w/(w >> 2)::double))""",
+)
 _px(
     "r4_expand_by_4",
     lambda p: _round(gather.resize_linear(p, 4)),
@@ -326,15 +385,15 @@ _px(
         b as (select image_id, v, bw, bh, x, y - trunc(x*{_SY}e0)::int y from a), c as (select image_id, v, y, x - trunc((bh - y)*{_TX}e0)::int x from b where x >= 0 and x < bw and y >= 0)
         select image_id, y, x, v from c where x >= 0""",
 )
-_ANGLES = f""", {_SIZE}, k as (select *, unnest(range(1, 5)) k from sz), gy as (select *, {math.pi / 2}e0*k/4 a, unnest(range(h)) oy from k), g as (select *, unnest(range(w)) ox from gy),
-    tg as (select image_id, w, h, k, ox, (ox - w/2.0e0)*cos(a) - (oy - h/2.0e0)*sin(a) + w/2.0e0 sx, (ox - w/2.0e0)*sin(a) + (oy - h/2.0e0)*cos(a) + h/2.0e0 sy from g), {_READS},
-    s as (select image_id, k::int k, ox::int x, sum(sample)/4 v from q group by all)"""
-_px("j4_radon", lambda p: _round(resample.radon(p, 4), 4).drop("q"), f"{_ANGLES} select image_id, k, x, round(v, 4) + 0.0 v from s")
+_ANGLES = f""", {_SIZE}, k as (select *, least(w, h) q, unnest(range(1, least(w, h) + 1)) k from sz), gy as (select *, {math.pi / 2}e0*k/q a, unnest(range(h)) oy from k), g as (select *, unnest(range(w)) ox from gy),
+    tg as (select image_id, w, h, q n, k, ox, (ox - w/2.0e0)*cos(a) - (oy - h/2.0e0)*sin(a) + w/2.0e0 sx, (ox - w/2.0e0)*sin(a) + (oy - h/2.0e0)*cos(a) + h/2.0e0 sy from g), {_READS},
+    s as (select image_id, k::int k, ox::int x, sum(sample)/any_value(n) v from q group by image_id, k, ox)"""
+_px("j4_radon", lambda p: _round(resample.radon(p), 4).drop("q", "n"), f"{_ANGLES} select image_id, k, x, round(v, 4) + 0.0 v from s")
 _px(
     "j4_best_rotation",
-    lambda p: resample.best_rotation(resample.radon(p, 4)).selectExpr("image_id", "k", "round(energy, 2) energy", "round(radians, 6) radians"),
-    f"""{_ANGLES}, en as (select image_id, k, var_pop(v) energy from s group by all)
-        select image_id, k, round(energy, 2) energy, round({math.pi / 2}e0*(k - 1)/4, 6) radians from en qualify row_number() over (partition by image_id order by energy desc, k) = 1""",
+    lambda p: resample.best_rotation(resample.radon(p)).selectExpr("image_id", "k", "round(energy, 2) energy", "round(radians, 6) radians"),
+    f"""{_ANGLES}, en as (select image_id, k, any_value(least(w, h)) q, sum(v*v)/any_value(greatest(w, h)) - pow(sum(v)/any_value(greatest(w, h)), 2) energy from s join sz using (image_id) group by image_id, k)
+        select image_id, k, round(energy, 2) energy, round({math.pi / 2}e0*(k - 1)/q, 6) radians from en qualify row_number() over (partition by image_id order by energy desc, k) = 1""",
 )
 _px(
     "j6_idct2",

@@ -315,6 +315,16 @@ for _rule, _inside in (("odd", "odd"), ("winding", "winding <> 0")):
             select id, shape_id, round(case when {_inside} then -d else d end, 6) distance, odd, winding from o""",
     )
 
+_NEAR = f"""with {fx.POINTS}, {fx.SEGMENTS_SQL}, m as (select id, shape_id, x, y, ax, ay, bx, "by" bz, least(greatest(((x-ax)*(bx-ax) + (y-ay)*(bz-ay)) / ((bx-ax)*(bx-ax) + (bz-ay)*(bz-ay)), 0), 1) t,
+        (bx-ax)*(y-ay) - (bz-ay)*(x-ax) side from p, s),
+    c as (select *, case when ay <= y and bz > y and side > 0 then 1 when ay > y and bz <= y and side < 0 then -1 else 0 end turn from m),
+    o as (select id, shape_id, sqrt(min(pow(x-ax-t*(bx-ax), 2) + pow(y-ay-t*(bz-ay), 2))) d, sum(abs(turn)) % 2 = 1 odd, sum(turn)::bigint winding from c group by id, shape_id)"""
+add(
+    "j8_polygon_distance_near",
+    lambda s, d: gather.polygon_distance_near(fx.points(s, d), fx.segments(s), 4.5, "winding").withColumn("distance", F.round("distance", 6)),
+    f"{_NEAR} select id, shape_id, round(case when winding <> 0 then -d else d end, 6) distance, odd, winding from o where d <= 4.5",
+)
+
 # symbols of whole documents
 
 

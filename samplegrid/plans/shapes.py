@@ -53,11 +53,11 @@ _px(
 )
 _px(
     "j11_distance_transform",
-    lambda p: shapes.distance_transform(p, F.col("v") > 165).select("image_id", "y", "x", *(F.round(c, 6).alias(c) for c in ("dist",))),
+    lambda p: shapes.distance_transform(p, F.col("v") > 165).select("image_id", "y", "x", *((F.round(c, 6) + 0.0).alias(c) for c in ("dist", "gx", "gy"))),
     """, i as (select image_id, y, x, v > 165 i from px), eg as (select a.image_id, a.y, a.x from i a join i b on a.image_id = b.image_id and abs(a.x - b.x) + abs(a.y - b.y) = 1 and b.y between a.y - 1 and a.y + 1
-            where a.i and not b.i group by all)
-        select i.image_id, i.y, i.x, round((case when any_value(i.i) then -1 else 1 end)*greatest(1, sqrt(min((i.x - e.x)*(i.x - e.x) + (i.y - e.y)*(i.y - e.y)))), 6) dist
-        from i left join eg e on e.image_id = i.image_id group by i.image_id, i.y, i.x""",
+            where a.i and not b.i group by all),
+        n as (select i.image_id, i.y, i.x, any_value(i.i) i, min({'d': (i.x - e.x)*(i.x - e.x) + (i.y - e.y)*(i.y - e.y), 'x': e.x, 'y': e.y}) b from i left join eg e on e.image_id = i.image_id group by i.image_id, i.y, i.x)
+        select image_id, y, x, round((case when i then -1 else 1 end)*greatest(1, sqrt(b.d)), 6) + 0.0 dist, round((b.x - x)/greatest(1, sqrt(b.d)), 6) + 0.0 gx, round((b.y - y)/greatest(1, sqrt(b.d)), 6) + 0.0 gy from n""",
 )
 
 # shapes: distances of points, and circles of customers on a canvas
@@ -105,8 +105,9 @@ add("j9_rasterise", lambda s, d: _drawn(s, d).select("id", "y", "x", "a"), f"{_C
 add(
     "a12_composite",
     lambda s, d: shapes.composite(_drawn(s, d), "id"),
-    f"""{_COVER}, s as (select y, x, list(struct_pack(a := a, v := v) order by id) s from cv where a > 0 group by y, x)
-        select y, x, list_reduce(list_prepend(0, list_transform(range(1, len(s) + 1), lambda i: i::int)), lambda u, i: ((u*(255 - s[i].a)) >> 8) + ((s[i].v*s[i].a) >> 8)) v from s""",
+    f"""{_COVER}, s as (select y, x, list(struct_pack(a := a, v := v, deep := d < -1) order by id) s from cv where a > 0 group by y, x)
+        select y, x, list_reduce(list_prepend(0, list_transform(range(1, len(s) + 1), lambda i: i::int)),
+            lambda u, i: case when s[i].deep then s[i].v else ((u*(255 - s[i].a)) >> 8) + ((s[i].v*s[i].a) >> 8) end) v from s""",
 )
 _TRIANGLES = [("c_custkey * 7 % 64", "c_custkey * 13 % 60"), ("c_custkey * 29 % 64 + 0.25", "c_custkey * 5 % 60 + 0.75"), ("c_custkey * 17 % 64 + 0.5", "c_custkey * 31 % 60 + 0.25"), ("c_custkey * 3 % 64", "c_custkey * 23 % 60 + 0.5")]
 _RING = [(*a, *b) for a, b in zip(_TRIANGLES, [*_TRIANGLES[1:], _TRIANGLES[0]], strict=True)]
@@ -118,16 +119,105 @@ def _segments(s, d):
 
 
 _SIDES = " union all ".join(f"select c_custkey shape_id, ({a})::double ax, ({b})::double ay, ({c})::double bx, ({e})::double bz from customer" for a, b, c, e in _RING)
-for _rule, _keep in (("odd", "i % 2 = 1"), ("winding", "n <> 0")):
+for _rule, _n in (("odd", "row_number() over k % 2"), ("winding", "sum(dir) over k")):
     add(
         f"j10_fill_spans_{_rule}",
         lambda s, d, r=_rule: shapes.fill_spans(_segments(s, d), r).withColumns({c: F.round(c, 6) for c in ("left", "right")}),
+        # a span is what lies between two crossings at which nothing is open
         f"""with g as ({_SIDES}), y as (select *, unnest(range(floor(least(ay, bz) + 0.5)::int, floor(greatest(ay, bz) + 0.5)::int)) y from g),
             c as (select shape_id, y::int y, case when ay < bz then 1 else -1 end dir, ax + (y - ay)*(bx - ax)/(bz - ay) cx from y),
-            w as (select *, row_number() over k i, sum(dir) over k n, lead(cx) over k nx from c window k as (partition by shape_id, y order by cx, dir rows between unbounded preceding and current row))
-            select shape_id, y, round(cx, 6) "left", round(nx, 6) "right" from w where nx is not null and {_keep}""",
+            w as (select *, row_number() over k i, {_n} n from c window k as (partition by shape_id, y order by cx, dir rows between unbounded preceding and current row)),
+            o as (select *, count(*) filter (n = 0) over (partition by shape_id, y order by i rows between unbounded preceding and 1 preceding) span from w)
+            select shape_id, y, round(min(cx), 6) "left", round(max(cx), 6) "right" from o group by shape_id, y, span having bool_or(n = 0)""",
     )
 
+_GAMMA = "gm as (select list_transform(range(256), lambda i: least(255, trunc(pow(i, 1/2.2e0)*(255/pow(255, 1/2.2e0))))::int) t)"
+add(
+    "j10_span_ends",
+    lambda s, d: shapes.span_ends(shapes.fill_spans(_segments(s, d))),
+    f"""with {_GAMMA}, g as ({_SIDES}), y as (select *, unnest(range(floor(least(ay, bz) + 0.5)::int, floor(greatest(ay, bz) + 0.5)::int)) y from g),
+        c as (select shape_id, y::int y, ax + (y - ay)*(bx - ax)/(bz - ay) cx, case when ay < bz then 1 else -1 end dir from y),
+        o as (select *, row_number() over (partition by shape_id, y order by cx, dir) i from c), s as (select shape_id, y, min(cx) l, max(cx) r from o group by shape_id, y, (i + 1) // 2)
+        select shape_id, y, floor(l)::int "left", t[trunc((1 - (l - floor(l)))*255)::int + 1] left_cover, floor(r)::int "right", t[trunc((r - floor(r))*255)::int + 1] right_cover from s, gm""",
+)
+_line = lambda s, d: fx.table(s, d, "customer").selectExpr(
+    "c_custkey shape_id", "cast(c_custkey * 7 % 64 as int) x1", "cast(c_custkey * 13 % 60 as int) y1", "cast(c_custkey * 29 % 64 as int) x2", "cast(c_custkey * 31 % 60 as int) y2"
+)
+# the walk itself: a step along the longer axis each time, one across where the line would be left behind
+_WALK = f"""with recursive {_GAMMA}, l as (select c_custkey shape_id, (c_custkey*7 % 64)::int x1, (c_custkey*13 % 60)::int y1, (c_custkey*29 % 64)::int x2, (c_custkey*31 % 60)::int y2 from customer),
+    b as (select shape_id, abs(x2 - x1) dx, abs(y2 - y1) dy, case when x2 < x1 then -1 else 1 end sx, case when y2 < y1 then -1 else 1 end sy, x1, y1 from l),
+    r as (select shape_id, dx, dy, sx, sy, x1 + case when sx < 0 then 1 else 0 end x, y1 + case when sy < 0 then 1 else 0 end y, 0 e, 0 i from b
+        union all select shape_id, dx, dy, sx, sy, x + case when e > -dx then sx else 0 end, y + case when e < dy then sy else 0 end,
+            e + case when e > -dx then -dy else 0 end + case when e < dy then dx else 0 end, i + 1 from r where i < greatest(dx, dy)),
+    v as (select *, least(greatest((e + (dx + dy) // 2 - case when dx > dy then dx + dy else 0 end)*case when dx >= dy then -sy else sx end, -127), 127) v from r),
+    k as (select shape_id, i, y, x, dx > dy steep, t[129 - v] a, t[129 + v] b from v, gm), q as (select *, unnest([0, 1]) pair from k),
+    z as (select shape_id, i, pair, y + case when steep then pair else 0 end y, x + case when steep then 0 else pair end x, case pair when 0 then a else b end a, 255 - b under from q),
+    ln as (select * from z where y between 0 and 63 and x between 0 and 63)"""
+add("j10_lines", lambda s, d: shapes.coverage_lines(_line(s, d), 64, 64), f"{_WALK} select shape_id, i, pair, y, x, a, under from ln")
+add(
+    "j10_lines_drawn",
+    lambda s, d: shapes.composite_lines(shapes.coverage_lines(_line(s, d), 64, 64).withColumn("v", F.expr("cast(shape_id % 256 as int)")), ["shape_id", "i", "pair"]),
+    f"""{_WALK}, s as (select y, x, list(struct_pack(a := a, u := under, v := (shape_id % 256)::int) order by shape_id, i, pair) s from ln group by y, x)
+        select y, x, list_reduce(list_prepend(0, list_transform(range(1, len(s) + 1), lambda i: i::int)), lambda u, i: ((u*s[i].u) >> 8) + ((s[i].v*s[i].a) >> 8)) v from s""",
+)
+
+# curves, rings and the exact ellipse
+
+_CURVE = "array(struct(5D as x, 6D as y, 2D as r), struct(40D as x, 10D as y, 6D as r), struct(50D as x, 45D as y, 1D as r), struct(51D as x, 46D as y, 5D as r))"
+_KNOTS = [(5, 6, 2), (40, 10, 6), (50, 45, 1), (51, 46, 5)]
+
+
+def _hull(p: tuple, q: tuple) -> str:
+    """The distance to two circles' hull, from turned coordinates."""
+    n2, dr = (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2, p[2] - q[2]
+    circle = lambda c: f"(sqrt(pow(x - {c[0]}, 2) + pow(y - {c[1]}, 2)) - {c[2]})"
+    if n2 <= dr * dr:
+        return f"least({circle(p)}, {circle(q)})"
+    n, k = f"sqrt({n2}.0e0)", f"sqrt({n2 - dr * dr}.0e0)"
+    u, v = f"abs((x - {p[0]})*{q[1] - p[1]} - (y - {p[1]})*{q[0] - p[0]})/{n}", f"((x - {p[0]})*{q[0] - p[0]} + (y - {p[1]})*{q[1] - p[1]})/{n}"
+    along = f"({k}*{v} - {dr}*{u})"
+    return f"case when {along} < 0 then {circle(p)} when {along} > {n}*{k} then {circle(q)} else ({k}*{u} + {dr}*{v})/{n} - {p[2]} end"
+
+
+def _ring_sql(rx: float, ry: float, start: float, sweep: float, thick: float) -> str:
+    k, l = f"sqrt(pow(x/{rx}e0, 2) + pow(y/{ry}e0, 2))", "sqrt(x*x + y*y)"  # noqa: E741
+    ellipse = f"(case when {k} < 1 then ({k} - 1)*{min(rx, ry)} else (({k} - 1)*{min(rx, ry)} + {l}*(1 - 1/{k}))/2 end)"
+    r = max(rx, ry)
+    a, b = ((r * math.cos(math.radians(t)), r * math.sin(math.radians(t))) for t in (start, start + sweep))
+    mid = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+    far = (r - math.hypot(*mid) + 1) * 2
+    ring = [(0.0, 0.0), a, (a[0] + mid[0] * far, a[1] + mid[1] * far), (b[0] + mid[0] * far, b[1] + mid[1] * far), b]
+    sides = list(zip(ring, [*ring[1:], ring[0]], strict=True))
+    near = ", ".join(
+        f"pow(x - ({p[0]}e0) - {t}*({q[0] - p[0]}e0), 2) + pow(y - ({p[1]}e0) - {t}*({q[1] - p[1]}e0), 2)"
+        for p, q in sides for t in [f"least(greatest(((x - ({p[0]}e0))*({q[0] - p[0]}e0) + (y - ({p[1]}e0))*({q[1] - p[1]}e0))/{(q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2}e0, 0), 1)"]
+    )
+    crossings = " + ".join(f"(({p[1]}e0 <= y) <> ({q[1]}e0 <= y) and x < ({p[0]}e0) + (y - ({p[1]}e0))*({q[0] - p[0]}e0)/({q[1] - p[1]}e0))::int" for p, q in sides)
+    wedge = f"(case when ({crossings}) % 2 = 1 then -1 else 1 end*sqrt(least({near})))"
+    band = f"greatest(-({ellipse} + {thick}), {ellipse})"
+    return f"greatest({band}, {wedge})" if sweep < 180 else f"greatest(-{wedge}, {band})"
+
+
+add(
+    "j9_pressure_curve",
+    lambda s, d: fx.points(s, d).select("id", F.round(shapes.sdf_curve("x", "y", F.expr(_CURVE)), 6).alias("distance")),
+    f"with {fx.POINTS} select id, round(least({', '.join(_hull(p, q) for p, q in zip(_KNOTS, _KNOTS[1:]))}), 6) distance from p",  # noqa: B905
+)
+_RINGS = {"near_quarter": (20.0, 12.0, 30.0, 75.0, 4.0), "most": (12.0, 22.0, 100.0, 250.0, 5.0)}
+add(
+    "j9_partial_ring",
+    lambda s, d: fx.points(s, d).selectExpr("id", "x - 30.25D x", "y - 31.125D y").select("id", *(F.round(shapes.sdf_ring("x", "y", *v), 6).alias(n) for n, v in _RINGS.items())),
+    f"with {fx.POINTS}, q as (select id, x - 30.25e0 x, y - 31.125e0 y from p) select id, " + ", ".join(f"round({_ring_sql(*v)}, 6) {n}" for n, v in _RINGS.items()) + " from q",
+)
+# the least distance to the outline's points by narrowing the angle, ten times by a tenth, from the best of a thousand
+add(
+    "j9_ellipse_exact",
+    lambda s, d: fx.points(s, d).selectExpr("id", "x - 30.25D x", "y - 31.125D y").select("id", F.round(shapes.sdf_ellipse_exact("x", "y", 24, 10), 5).alias("distance")),
+    f"""with recursive {fx.POINTS}, q as (select id, abs(x - 30.25e0) x, abs(y - 31.125e0) y from p), n as (select id, x, y, 0 k, pi()/4 a, pi()/4 w from q
+            union all select id, x, y, k + 1, arg_min(t, pow(x - 24*cos(t), 2) + pow(y - 10*sin(t), 2)), any_value(w)/4 from (select *, unnest([a + w*i/12.0e0 for i in range(-12, 13)]) t from n where k < 18) group by id, x, y, k)
+        select id, round(case when pow(x/24, 2) + pow(y/10, 2) < 1 then -1 else 1 end*sqrt(pow(x - 24*cos(a), 2) + pow(y - 10*sin(a), 2)), 5) distance from n where k = 18""",
+)
+
 # colour cells
 
 _RGB = ", x as (select image_id, y, x, v r, 255 - v g, (v*7) % 256 b from px)"

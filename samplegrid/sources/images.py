@@ -58,32 +58,50 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return px.withColumn("path", base).join(z.withColumn("path", base), "path")
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """(path, format, width, height) of files(path, content), from the first bytes: fixed places by hexadecimal text, a walk over the markers of JPEG. Unknown
-    or cut files have null format or size. Batch or stream."""
-    big = lambda at, n: F.conv(F.substring("head", 2 * at + 1, 2 * n), 16, 10).cast("int")
+def _jpeg_size(content: bytes) -> tuple[int | None, int | None]:
+    """Width and height from the first marker of kind C0; each marker is FF, its kind and the length of what follows, itself included."""
+    at = 2
+    while content[at : at + 1] == b"\xff" and at + 4 <= len(content):
+        if content[at + 1] == 0xC0:
+            size = content[at + 5 : at + 9]
+            return (int.from_bytes(size[2:], "big"), int.from_bytes(size[:2], "big")) if len(size) == 4 else (None, None)
+        at += 2 + max(2, int.from_bytes(content[at + 2 : at + 4], "big"))
+    return None, None
+
 
-    def little(at: int, n: int) -> Column:
-        return F.conv(F.concat(*(F.substring("head", 2 * (at + k) + 1, 2) for k in reversed(range(n)))), 16, 10).cast("int")
+#: How the sides are stored: first byte, bytes, byte order, signed, and the bits that count.
+SIDES = {
+    "bmp": ((18, 4, "little", True, -1), (22, 4, "little", True, -1)), "gif": ((6, 2, "little", False, -1), (8, 2, "little", False, -1)),
+    "png": ((16, 4, "big", True, -1), (20, 4, "big", True, -1)), "webp": ((26, 2, "little", False, 0x3FFF), (28, 2, "little", False, 0x3FFF)),
+}
 
+
+def headers(files: DataFrame) -> DataFrame:
+    """(path, format, width, height) of files(path, content), from fixed places of the first bytes, or a walk over all markers of a JPEG file. A BMP that is
+    stored from the top down has a height below zero. Unknown or cut files have null format or size. Batch or stream."""
     kind = F.lit(None).cast("string")
+    head = F.substring("content", 1, 32)
     for name, marks in MAGIC.items():
-        kind = F.when(F.substring("head", 1, len(marks[0])).isin(*marks), name).otherwise(kind)
-    df = files.select("path", F.hex(F.substring("content", 1, 32)).alias("head"), F.substring("content", 1, 1 << 20).alias("start")).withColumn("format", kind)
-    # markers: FF, kind, length; the first one of kind C0 holds height and width
-    hexed = "hex(start)"
-    at = lambda p, n: f"cast(conv(substring(t.h, 2 * ({p}) + 1, {2 * n}), 16, 10) as int)"
-    walk = f"""aggregate(sequence(1, 64), named_struct('h', {hexed}, 'p', 2, 'size', cast(null as string)), (t, i) -> if(t.size is not null or substring(t.h, 2 * t.p + 1, 2) <> 'FF', t,
-        if(substring(t.h, 2 * t.p + 3, 2) = 'C0', named_struct('h', t.h, 'p', t.p, 'size', substring(t.h, 2 * (t.p + 5) + 1, 8)), named_struct('h', t.h, 'p', t.p + 2 + {at('t.p + 2', 2)}, 'size', t.size))), t -> t.size)"""
-    df = df.withColumn("jpeg", F.when(F.col("format") == "jpeg", F.expr(walk)))
-    side = lambda name, places: F.coalesce(*(F.when(F.col("format") == f, c) for f, c in places.items())).alias(name)
-    half = lambda at: F.conv(F.substring("jpeg", at, 4), 16, 10).cast("int")
-    low14 = lambda at: little(at, 2).bitwiseAND(F.lit(0x3FFF))
-    return df.select(
-        "path", "format",
-        side("width", {"bmp": little(18, 4), "gif": little(6, 2), "png": big(16, 4), "jpeg": half(5), "webp": low14(26)}),
-        side("height", {"bmp": little(22, 4), "gif": little(8, 2), "png": big(20, 4), "jpeg": half(1), "webp": low14(28)}),
-    )
+        kind = F.when(F.substring(F.hex(head), 1, len(marks[0])).isin(*marks), name).otherwise(kind)
+    # only JPEG files are read beyond their beginning
+    df = files.select("path", kind.alias("format"), F.when(kind == "jpeg", F.col("content")).otherwise(head).alias("bytes"))
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            sizes = []
+            for name, data in zip(pdf["format"], pdf["bytes"], strict=True):
+                if name == "jpeg":
+                    sizes.append(_jpeg_size(bytes(data)))
+                    continue
+                sides = [(bytes(data[at : at + n]), n, order, signed, mask) for at, n, order, signed, mask in SIDES.get(name, ())]
+                sizes.append(tuple(int.from_bytes(x, order, signed=signed) & mask if len(x) == n else None for x, n, order, signed, mask in sides) or (None, None))
+            out = pdf[["path", "format"]].copy()
+            for k, c in enumerate(("width", "height")):
+                out[c] = [s[k] for s in sizes]
+                out[c] = out[c].astype("Int32")
+            yield out
+
+    return df.mapInPandas(run, "path string, format string, width int, height int")
 
 
 def read_image_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -91,24 +109,12 @@ def read_image_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def downscale_all(spark: SparkSession, path: str, max_w: int, max_h: int) -> DataFrame:
-    """(path, y, x, r, g, b): every image under path, halved until it fits into the box; none is enlarged."""
-    from samplegrid.operators.resample import halve
+    """(path, y, x, r, g, b): every image under path at the size that fits it into the box (resample.fit_into); none is enlarged."""
+    from samplegrid.operators.resample import fit_into
 
     px = read_images(spark, path)
-    rounds = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("w") / max_w, F.col("h") / max_h)))).cast("int")
-    px = px.withColumn("rounds", rounds)
-    done = []
-    planes = px.select("path", "rounds", "y", "x", F.posexplode(F.array("r", "g", "b")).alias("plane", "v")).withColumn("image_id", F.struct("path", "plane", "rounds"))
-    most = px.agg(F.max("rounds")).first()[0] or 0
-    cur = planes.select("image_id", "y", "x", "v")
-    for k in range(most + 1):
-        done.append(cur.where(F.col("image_id.rounds") == k))
-        if k < most:
-            cur = halve(cur.where(F.col("image_id.rounds") > k))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    out = out.select("image_id.path", "image_id.plane", "y", "x", "v").groupBy("path", "y", "x").pivot("plane", [0, 1, 2]).agg(F.first("v"))
+    planes = px.select(F.posexplode(F.array("r", "g", "b")).alias("plane", "v"), "path", "y", "x").select(F.struct("path", "plane").alias("image_id"), "y", "x", "v")
+    out = fit_into(planes, max_w, max_h).select("image_id.path", "image_id.plane", "y", "x", "v").groupBy("path", "y", "x").pivot("plane", [0, 1, 2]).agg(F.first("v"))
     return out.toDF("path", "y", "x", "r", "g", "b")
 
 
