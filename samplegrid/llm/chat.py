@@ -94,7 +94,9 @@ def format_conversations(tree: DataFrame, branches: int = 1, loss_role: str = "a
     one cycle give no row. An empty table gives no rows; extra columns are not read. A path is one text, so it is put
     together in one task.
     """
-    key = F.coalesce(F.col("conv_id"), F.lit(-(2**62)))
+    # as text, so that no id stands for null
+    kind = tree.schema["conv_id"].dataType
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
     nodes = tree.select(key.alias("conv_id"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     way = best_paths(nodes.select("conv_id", "node", "parent", "score"), branches)
     turns = way.join(nodes, ["conv_id", "node"])
@@ -107,7 +109,7 @@ def format_conversations(tree: DataFrame, branches: int = 1, loss_role: str = "a
     spans = F.expr(f"""aggregate(t, named_struct('n', 0, 's', cast(array() as array<struct<start:int,length:int>>)),
         (a, x) -> named_struct('n', a.n + length(x.head) + length(x.body) + {len(CLOSE)}, 's', if(x.loss,
             concat(a.s, array(named_struct('start', a.n + length(x.head), 'length', length(x.body)))), a.s)), a -> a.s)""")
-    out = whole.select(F.when(F.col("conv_id") != -(2**62), F.col("conv_id")).alias("conv_id"), "branch", text.alias("formatted"), spans.alias("loss"))
+    out = whole.select(F.when(F.col("conv_id") != "", F.substring("conv_id", 2, 1 << 30)).cast(kind).alias("conv_id"), "branch", text.alias("formatted"), spans.alias("loss"))
     out = materialize(out, "formatted")
     discard(way)
     return out

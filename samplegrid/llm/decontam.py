@@ -2,8 +2,9 @@
 
 Numbers, names and units of a text become typed placeholders. Windows of WINDOW such tokens are hashed and joined with
 the windows of the benchmark. A document is contaminated by an item if it holds at least half of the item's windows in
-copies whose slot values map one to one to the item's. So a question with other numbers or names is caught, and
-one whose numbers contradict each other is not. Items of LEAST to WINDOW - 1 tokens are one window and need equal slot values;
+copies whose slot values map one to one to the item's: where two slots contradict each other, the less frequent mapping (or both, if
+equally frequent) is taken as altered, and the windows that hold it don't count. So a question with other numbers or names is caught, and
+one whose numbers contradict each other throughout is not. Items of LEAST to WINDOW - 1 tokens are one window and need equal slot values;
 shorter ones match nothing, as they name no question. A name at the start of a sentence is a plain word.
 
 A pair is nominated by the rarest windows of the item, just so many that half of its windows can't be found without one of
@@ -107,14 +108,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     copies = hits.join(enough, [*doc, *item])
     copies = copies.groupBy(*doc, *item, "windows", "n", (F.col("pos") - F.col("bpos")).alias("d")).agg(F.collect_set("bpos").alias("at"))
     copies = copies.join(ours.withColumnRenamed("slots", "s"), doc).join(theirs.withColumnRenamed("slots", "b"), item)
-    # (type, theirs, ours) of every slot under a matched window
+    # (place, type, theirs, ours) of every slot under a matched window, and in how many of them it is mapped alike
+    place = "array_distinct(flatten(transform(at, p -> sequence(p, p + n - 1))))"
     copies = copies.selectExpr(
         *doc, *item, "windows", "n", "at",
-        """array_distinct(filter(flatten(transform(at, p -> transform(sequence(0, n - 1), j -> named_struct(
-            'type', get(b, p + j).type, 'theirs', get(b, p + j).raw, 'ours', get(s, p + d + j).raw)))), x -> x.type <> '')) m""",
+        f"""filter(transform({place}, q -> named_struct('q', q, 'type', get(b, q).type, 'theirs', get(b, q).raw, 'ours', get(s, q + d).raw)), x -> x.type <> '') m""",
     )
-    left, right = "size(array_distinct(transform(m, x -> struct(x.type, x.theirs))))", "size(array_distinct(transform(m, x -> struct(x.type, x.ours))))"
-    copies = copies.where(f"size(m) = {left} and size(m) = {right}").selectExpr(*doc, *item, "windows", "n", "at", "size(m) slots", "forall(m, x -> x.theirs = x.ours) same")
+    alike = "size(filter(m, y -> y.type = x.type and y.theirs = x.theirs and y.ours = x.ours))"
+    copies = copies.withColumn("m", F.expr(f"transform(m, x -> named_struct('q', x.q, 'type', x.type, 'theirs', x.theirs, 'ours', x.ours, 'alike', {alike}))"))
+    torn = "filter(m, x -> exists(m, y -> y.type = x.type and (y.theirs = x.theirs) <> (y.ours = x.ours) and y.alike >= x.alike))"
+    copies = copies.withColumn("torn", F.expr(f"transform({torn}, x -> x.q)"))
+    copies = copies.withColumn("at", F.expr("filter(at, p -> not exists(torn, q -> q >= p and q < p + n))")).where("size(at) > 0")
+    held = "filter(m, x -> exists(at, p -> x.q >= p and x.q < p + n))"
+    copies = copies.withColumn("m", F.expr(f"array_distinct(transform({held}, x -> struct(x.type, x.theirs, x.ours)))"))
+    copies = copies.selectExpr(*doc, *item, "windows", "n", "at", "size(m) slots", "forall(m, x -> x.theirs = x.ours) and size(torn) = 0 same")
     copies = copies.where(f"n = {WINDOW} or same")
     out = copies.groupBy(*doc, *item, "windows").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.max("slots").alias("slots"), F.bool_or("same").alias("exact"))
     out = out.selectExpr("doc_id", "item_id", "struct(size(at) / windows as coverage, cast(size(at) as long) as matched, windows, slots, exact) best")

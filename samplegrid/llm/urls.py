@@ -17,9 +17,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules in use, (kind, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: Targets of a canonical link and of a meta refresh, attributes in either order.
-CANONICAL = [r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\brel\s*=\s*[\"']?canonical\b"]
-REFRESH = [r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)", r"(?is)<meta\b[^>]*\bcontent\s*=[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b"]
+#: An attribute's value in double quotes, in single quotes, or bare.
+VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: Tags that name another address, whole, and their attributes. Attributes in quotes may hold any sign.
+TAG = r"""(?is)<(?:link|meta|base)\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+
+
+def attribute(tag, name: str):
+    """The value of an attribute of a tag; '' if it has none."""
+    pattern = rf"(?is)^<\w+(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s{name}\s*=\s*{VALUE}"
+    return F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
 
 
 def host(url: str):
@@ -69,24 +77,30 @@ def rule(rules: list[tuple[str, str, str]] = RULES):
     return out
 
 
-def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, every: bool = False) -> DataFrame:
+def alias_edges(pages: DataFrame, redirects: DataFrame | None = None, every: bool = True) -> DataFrame:
     """(a, b): addresses that stand for each other, from canonical links and meta refreshes of the pages and from
-    redirects(source, target). All refreshes count; of several canonical links of a page all count if `every`, else the first
-    in each order of attributes. Relative targets are resolved against the page, &amp; is read as &; links to the same
-    address give no edge."""
-    html = F.coalesce("html", F.lit(""))
-    canonical = F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in CANONICAL)) if every else F.array(*(F.regexp_extract(html, p, 1) for p in CANONICAL))
-    targets = F.concat(canonical, *(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in REFRESH))
+    redirects(source, target). All refreshes count, and all canonical links of a page, or its first one only (every=False); rel may list
+    other words besides. Tags inside comments count for nothing. Relative targets are resolved against the page, or against its first <base href>;
+    &amp; is read as &; links to the same address give no edge."""
     # few pages have such links; the others are passed by with one search
-    found = pages.where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv\s*=\s*[\"']?refresh")).select("url", F.explode(targets).alias("target"))
+    found = pages.where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv\s*=\s*[\"']?refresh"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", COMMENT, ""), F.lit(TAG), F.lit(0))
+    found = found.select("url", tags.alias("tags")).withColumn("base", F.get(F.filter(F.transform("tags", lambda t: F.when(t.rlike("(?i)^<base"), attribute(t, "href"))), lambda x: x != ""), F.lit(0)))
+    # (whether it is a refresh, target) of each tag in order
+    link = F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)^<link") & attribute(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")), lambda t: attribute(t, "href"))
+    if not every:
+        link = F.slice(F.filter(link, lambda x: x != ""), 1, 1)
+    jump = F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)^<meta") & attribute(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")), lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"']*?)[\"']?\s*$", 1))
+    found = found.select("url", "base", F.explode(F.concat(link, jump)).alias("target"))
     if redirects is not None:
-        found = found.union(redirects.select(F.col("source").alias("url"), "target"))
-    found = found.where("target <> ''").select("url", F.replace("target", F.lit("&amp;"), F.lit("&")).alias("target"))
-    found = found.select("url", resolve("url", "target").alias("target"))
+        found = found.union(redirects.select(F.col("source").alias("url"), F.lit(None).cast("string").alias("base"), "target"))
+    found = found.where("trim(target) <> ''").select("url", *(F.replace(F.trim(c), F.lit("&amp;"), F.lit("&")).alias(c) for c in ("base", "target")))
+    found = found.withColumn("base", F.when(F.col("base").isNotNull(), resolve("url", "base"))).withColumn("base", F.coalesce(F.nullif("base", F.lit("")), F.col("url")))
+    found = found.select("url", F.when(F.col("target").startswith("#"), "").otherwise(resolve("base", "target")).alias("target"))
     return found.select(identity("url").alias("a"), identity("target").alias("b")).where("a <> '' and b <> '' and a <> b").distinct()
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, every: bool = False) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, every: bool = True) -> DataFrame:
     """(page_id, host, path, rule, verdict, by) for every row of pages(page_id, url, html, ...).
 
     by: rule, alias or default. Null or hostless URLs fit no rule and have no aliases: allowed by default. Repeated rows

@@ -324,14 +324,14 @@ def test_urls(spark):
         (7, None, None), (8, "no scheme", "x"), (9, "http://net/", ""), (10, "http://planet/", ""), (11, "http://x.example.net/en/a?b", ""), (12, "http://q.net", ""),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.by) for r in urls.judge(pages).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.by) for r in urls.judge(pages, every=False).collect()}
     assert got[1] == ("a.example.org", "/x", None, "block", "alias")
     assert got[3][3:] == ("block", "alias") and got[4][3:] == ("block", "alias")
     assert got[5] == ("e.example.org", "/fr/1", "org/fr/", "allow", "rule") and got[6][3:] == ("block", "rule")
     assert got[7] == ("", "", None, "allow", "default") and got[8] == got[7]
     assert got[9][2:4] == ("net/", "block") and got[10][2] is None and got[11][2:4] == ("example.net/en/", "allow") and got[12] == ("q.net", "", None, "allow", "default")
     more = spark.createDataFrame([("http://a.example.org/x", "http://e.example.org/fr/1?x")], "source string, target string")
-    got = {r.page_id: r.verdict for r in urls.judge(pages, redirects=more).collect()}
+    got = {r.page_id: r.verdict for r in urls.judge(pages, redirects=more, every=False).collect()}
     assert got[1] == got[3] == "allow" and got[2] == "block"
 
 
