@@ -287,10 +287,32 @@ add(
         select user_id, event_id, round(y1, 6) filtered from f where i > 0""",
 )
 _digest = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("rank").alias("total"), F.sum(F.expr("rank * (pos % 97 + 1)")).alias("weighted"))
-_sy("o9_recency_rank", lambda y: _digest(signals.recency_rank(y)))
-_sy("o9_recency_rank_wide", lambda y: _digest(signals.recency_rank(y, 2)))
+
+
+def _recency_sql(symbols: str, fresh: str) -> str:
+    """r(doc_id, pos, rank) of symbols(doc_id, pos, s): the different symbols since the last use are those places in between whose own last use lies
+    before it; `fresh` is the rank of a new symbol."""
+    return f""", p as (select *, coalesce(lag(pos) over (partition by doc_id, s order by pos), -1) x from {symbols}),
+        g as (select doc_id, pos, x, unnest(range(x + 1, pos)) j from p where x >= 0),
+        k as (select g.doc_id, g.pos, count(*) rank from g join p q on q.doc_id = g.doc_id and q.pos = g.j where q.x < g.x group by g.doc_id, g.pos),
+        f as (select doc_id, pos, s, row_number() over (partition by doc_id order by pos) - 1 known from p where x < 0),
+        n as (select f.doc_id, f.pos, {fresh} rank from f),
+        r as (select p.doc_id, p.pos, coalesce(k.rank, n.rank, 0) rank from p left join k using (doc_id, pos) left join n using (doc_id, pos))"""
+
+
+_DIGEST = " select doc_id, count(*) n, sum(rank)::bigint total, sum(rank * (pos % 97 + 1))::bigint weighted from r group by doc_id"
+_WIDE = ", t as (select doc_id, pos, s * 256 + lead(s) over (partition by doc_id order by pos) s from sy), d as (select doc_id, pos // 2 pos, s from t where pos % 2 = 0 and s is not null)"
+_sy("o9_recency_rank", lambda y: _digest(signals.recency_rank(y)), _recency_sql("sy", "s + known") + _DIGEST)
+_sy("o9_recency_rank_wide", lambda y: _digest(signals.recency_rank(y, 2)), _WIDE + _recency_sql("d", "s + known") + _DIGEST)
 _sy("o9_bump_rank", lambda y: _digest(signals.bump_rank(y)))
-_sy("w12_geometric_recency", lambda y: signals.recency_bits(y).withColumn("bits", F.round("bits", 4)))
+_GREATER = "s + (select count(*) from f o where o.doc_id = f.doc_id and o.pos < f.pos and o.s > f.s)"
+_sy(
+    "w12_geometric_recency",
+    lambda y: signals.recency_bits(y).withColumn("bits", F.round("bits", 4)),
+    _recency_sql("sy", _GREATER)
+    + f""", l as (select range i, coalesce([28672, 3585, 449, 57, 7][range + 1], 1) w from range(257))
+        select doc_id, round(sum(log2((select sum(w) from l)) - log2(w)), 4) bits from r join l on i = rank group by doc_id""",
+)
 _sy("o6_rotation_sort", lambda y: signals.rotation_sort(y).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.expr("cast(s as bigint) * (out % 97 + 1)")).alias("weighted")))
 _sy("o6_rotation_unsort", lambda y: signals.rotation_unsort(signals.rotation_sort(y)), " select doc_id, pos, s from sy")
 _sy(
