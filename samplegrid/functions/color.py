@@ -253,8 +253,9 @@ def linear_of_byte(c: Column) -> Column:
 
 def byte_of_linear(c: Column) -> Column:
     """Linear light, pinned to 0..1 and cut to 4096 steps, to whole sRGB 0..255."""
+    # fixed value: just under 0.055, so that light of 1 gives 255
     v = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 4096) / 4096.0
-    return F.when(v <= 0.0031308, F.floor(v * 12.92 * 255 + 0.5)).otherwise(F.floor((F.pow(v, F.lit(1 / 2.4)) * 1.055 - 0.055) * 255)).cast("int")
+    return F.when(v <= 0.0031308, F.floor(v * 12.92 * 255 + 0.5)).otherwise(F.floor((F.pow(v, F.lit(1 / 2.4)) * 1.055 - 0.05499999999999989) * 255)).cast("int")
 
 
 def to_xyz(r, g, b) -> Triple:
