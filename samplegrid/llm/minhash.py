@@ -32,6 +32,8 @@ HASHES, BANDS, BITS = 128, 32, 4
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Pairs that meet one copy of a leader's set.
 FAN = 1000
+#: Bytes of the texts whose sets a worker makes at once; the arrays of one step are some 40 times as large.
+TEXTS = 1 << 19
 
 _rng = np.random.default_rng(20240607)
 _LETTER = _rng.integers(1, 2**63, 256, np.uint64)
@@ -153,7 +155,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", TEXTS):
                 h, offsets = shingle_sets(part.column("text"), k)
                 low = minima(h, offsets)
                 sizes = np.diff(offsets)
@@ -184,7 +186,7 @@ def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", TEXTS):
                 h, offsets = shingle_sets(part.column("text"), k)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "shingles"])

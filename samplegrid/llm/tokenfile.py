@@ -121,14 +121,15 @@ class Library:
         self.model = Tokenizer.from_file(path).model
         self.letters = byte_alphabet()
         self.words = Memo(self.word, 300_000)
-        self.pieces = Memo(lambda piece: self.splitter.encode_piece(piece, self.words), 200_000)
 
     def word(self, word: str) -> bytes:
         """The library's model takes a word that is split and normalized, in the byte alphabet."""
+        if word in self.splitter.added:
+            return np.uint32(self.splitter.added[word]).tobytes()
         return np.array([t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode()]))], "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.splitter.pieces(text))) if text else b""
+        return b"".join(map(self.words.__getitem__, self.splitter.parts(text))) if text else b""
 
 
 @functools.lru_cache(maxsize=2)
