@@ -13,17 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplegrid.llm.bpe import Memo, Splitter, byte_alphabet, slices
+from samplegrid.llm.bpe import Splitter, byte_alphabet, slices
 from samplegrid.llm.common import materialize, scratch_path
 
 BLOCK = 4096
 PERCENTILE = 0.98
 MAGIC = b"TPF1"
+#: Of the merge ranks: no key in a slot, no rank of a pair.
+EMPTY, NONE = np.uint64(2**64 - 1), 2**31 - 1
+#: Bytes of the texts that are encoded at once.
+TEXTS = 4 << 20
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -110,26 +115,138 @@ class Reader:
         return joined[start - first * BLOCK : start - first * BLOCK + n]
 
 
+class Merges:
+    """Rank of a pair of ids, for arrays of pairs: a hash table with linear probing, at most a fifth full."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        keys = np.array([left << 32 | right for left, right in pairs], np.uint64)
+        self.shift = np.uint64(64 - max(4, (5 * len(keys)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys, self.ranks = np.full(self.mask + 1, EMPTY, np.uint64), np.full(self.mask + 1, NONE, np.int32)
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self.slot(keys).tolist(), strict=True)):
+            while self.ranks[at] != NONE:
+                at = at + 1 & self.mask
+            self.keys[at], self.ranks[at] = key, rank
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        at = self.slot(keys)
+        found = self.keys[at]
+        out = self.ranks[at]
+        todo = np.flatnonzero((found != keys) & (found != EMPTY))
+        while len(todo):
+            at[todo] = at[todo] + 1 & self.mask
+            found = self.keys[at[todo]]
+            out[todo] = self.ranks[at[todo]]
+            todo = todo[(found != keys[todo]) & (found != EMPTY)]
+        out[self.keys[at] != keys] = NONE
+        return out
+
+
+def strings(words: list[str]) -> pa.StringArray:
+    """An Arrow array of words without line breaks, by one encoding of all."""
+    data = np.frombuffer("\n".join([*words, ""]).encode(), np.uint8)
+    breaks = np.flatnonzero(data == 10)
+    offsets = np.concatenate([[0], breaks - np.arange(len(breaks))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(data[data != 10]))
+
+
 class Library:
-    """Ids by the tokenizers library: texts are cut at white space, and the library's model encodes each new word."""
+    """Ids as the tokenizers library gives them. The words of many texts are numbered by Arrow, the distinct ones of up to
+    LONGEST bytes are merged together, a merge of each word at a time, and longer ones are encoded by the library's model."""
+
+    LONGEST = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.splitter = Splitter(json.load(f), path)
+            spec = json.load(f)
+        model = spec["model"]
+        self.splitter = Splitter(spec, path)
         self.model = Tokenizer.from_file(path).model
         self.letters = byte_alphabet()
-        self.words = Memo(self.word, 300_000)
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.rank = Merges([(vocab[a], vocab[b]) for a, b in pairs])
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.inner, self.last = (np.array([vocab[c + end] for c in self.letters], np.int32) for end in ("", suffix))
 
-    def word(self, word: str) -> bytes:
+    def long_word(self, word: str) -> list[int]:
         """The library's model takes a word that is split and normalized, in the byte alphabet."""
-        if word in self.splitter.added:
-            return np.uint32(self.splitter.added[word]).tobytes()
-        return np.array([t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode()]))], "<u4").tobytes()
+        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
+
+    def word_ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words after each other, and the offsets of the words; an added token has its id, an empty word none.
+
+        Words with L symbols are rows of one matrix, and so are their pairs' ranks: each row loses one symbol by its first
+        pair of least rank and joins the rows of L - 1, or has no pair to merge and is done.
+        """
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        sizes = np.diff(offsets)
+        own = {i: self.long_word(words[i].as_py()) for i in np.flatnonzero(sizes > self.LONGEST).tolist()}
+        own |= {i: [self.splitter.added[t]] for t in self.splitter.added if (i := pc.index(words, t).as_py()) >= 0}
+        sizes[list(own)] = 0
+        done = [(np.array([i]), np.array([x], np.int32)) for i, x in own.items()]
+        at, ids, ranks = np.empty(0, np.int64), np.empty((0, self.LONGEST), np.int32), np.empty((0, self.LONGEST - 1), np.int32)
+        for n in range(self.LONGEST, 0, -1):
+            fresh = np.flatnonzero(sizes == n)
+            if len(fresh):
+                new = data[offsets[fresh][:, None] + np.arange(n)]
+                new = np.concatenate([self.inner[new[:, :-1]], self.last[new[:, -1:]]], axis=1)
+                at, ids = np.concatenate([at, fresh]), np.concatenate([ids, new])
+                ranks = np.concatenate([ranks, self.rank(new[:, :-1].ravel(), new[:, 1:].ravel()).reshape(len(fresh), n - 1)])
+            if n == 1:
+                done.append((at, ids))
+                break
+            row, k = np.arange(len(at)), ranks.argmin(axis=1)
+            least = ranks[row, k]
+            done.append((at[least == NONE], ids[least == NONE]))
+            more = np.flatnonzero(least != NONE)
+            at, ids, ranks, k, row, new = at[more], ids[more], ranks[more], k[more], row[: len(more)], self.merged[least[more]]
+            stays = np.ones(ids.shape, bool)
+            stays[row, k + 1] = False
+            ids = ids[stays].reshape(len(at), n - 1)
+            ids[row, k] = new
+            stays = np.ones(ranks.shape, bool)
+            stays[row, k] = False
+            ranks = ranks[stays].reshape(len(at), n - 2)
+            left, right = np.flatnonzero(k > 0), np.flatnonzero(k < n - 2)
+            ranks[left, k[left] - 1] = self.rank(ids[left, k[left] - 1], new[left])
+            ranks[right, k[right]] = self.rank(new[right], ids[right, k[right] + 1])
+        counts = np.zeros(len(words), np.int64)
+        for which, ids in done:
+            counts[which] = ids.shape[1]
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(starts[-1], np.uint32)
+        for which, ids in done:
+            out[starts[which][:, None] + np.arange(ids.shape[1])] = ids
+        return out, starts
+
+    def encode_texts(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts after each other, each text's closed by `end`, and how many each text has."""
+        parts = [self.splitter.parts(t) if t else [] for t in texts]
+        words = strings([w for p in parts for w in (*p, "")]).dictionary_encode()
+        number = words.indices.to_numpy()
+        ids, starts = self.word_ids(words.dictionary)
+        if end is not None:  # an empty word stands behind each text
+            ids, starts = np.append(ids, np.uint32(end)), starts.copy()
+            closing = number == pc.index(words.dictionary, "").as_py()
+        sizes = np.diff(starts)[number]
+        first = starts[number]
+        if end is not None:
+            sizes[closing], first[closing] = 1, len(ids) - 1
+        ends = np.cumsum(sizes)
+        flat = ids[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        behind = np.cumsum([len(p) + 1 for p in parts])
+        return flat, np.diff(ends[behind - 1], prepend=0) if len(parts) else np.empty(0, np.int64)
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.splitter.parts(text))) if text else b""
+        return self.encode_texts([text])[0].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -153,13 +270,11 @@ def write_ids(docs: DataFrame, vocab: str, end_id: int = 1, partitions: int | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         name, encoder, writer, first = f"part-{part:05d}.tpf", library(vocab), None, 0
-        end = np.uint32(end_id).tobytes()
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", TEXTS):
                 writer = writer or Writer(folder, name, attempt)
-                coded = [encoder.encode(t) + end for t in piece.column("text").to_pylist()]
-                writer.add(np.frombuffer(b"".join(coded), "<u4"))
-                sizes = np.array([len(c) // 4 for c in coded], np.int64)
+                ids, sizes = encoder.encode_texts(piece.column("text").to_pylist(), end_id)
+                writer.add(ids)
                 starts = first + np.cumsum(sizes) - sizes
                 first += int(sizes.sum())
                 n = len(sizes)

@@ -1,16 +1,18 @@
 """What a Python worker holds, and what it does for each new word."""
 
 import itertools
+import random
 import tracemalloc
 
 import pytest
 
 pytest.importorskip("samplegrid.llm")
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.types import StructType
 
-from samplegrid.llm import bpe, minhash, queries
+from samplegrid.llm import bpe, minhash, queries, tokenfile
 
 
 def new_words(n):
@@ -60,3 +62,23 @@ def test_sets_of_one_step_are_small(monkeypatch):
     minhash.signatures(Frame())
     assert sum(p.num_rows for p in caught[0](iter([batch]))) == 1000
     assert max(sizes) < 600_000
+
+
+def test_token_file_merges_new_words_together(monkeypatch):
+    """The library's model is asked for long words only, one call each; ids are the library's on both sides of that length."""
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(queries.VOCAB), random.Random(6)
+    own, asked = tokenfile.Library(queries.VOCAB), []
+
+    class Model:
+        tokenize = staticmethod(lambda word, model=own.model: asked.append(word) or model.tokenize(word))
+
+    own.model = Model
+    texts = ["".join(rng.choices("etaoinshrdluabc\u00e9\u00df ", k=rng.randint(0, 300))) for _ in range(300)]
+    texts += [" ".join(new_words(5000)), "b" * 64 + " " + "b" * 65, "\u00e9" * 32 + "." + "\u00e9" * 33, "a<|endoftext|>b", None, "", "\U00010400\ufacf x"]
+    expected = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, sizes = own.encode_texts(texts, 1)
+    assert sizes.tolist() == [len(e) + 1 for e in expected] and ids.tolist() == [i for e in expected for i in (*e, 1)]
+    assert min(map(len, asked)) > 64
+    assert np.concatenate([np.frombuffer(own.encode(t), "<u4") for t in texts]).tolist() == [i for e in expected for i in e]
