@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplegrid.functions import color, scalar
-from samplegrid.operators import gather, symbols, window
+from samplegrid.operators import gather, packed, symbols, window
 from samplegrid.plans import fixtures as fx
 from samplegrid.plans.registry import ORACLE, QUERIES, add
 from samplegrid.plans.registry import clip_sql as _clip
@@ -332,6 +332,11 @@ def _sy(query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: query(fx.doc_bytes(s, d))
 
 
+def _docs(short, long_) -> Callable[[SparkSession, str], DataFrame]:
+    """short() of whole documents, long_() of the rows of those that are too long for one."""
+    return lambda s, d: packed.by_length(fx.doc_texts(s, d), short, long_)
+
+
 _SYM = f"with {fx.DOC_BYTES}"
 _WP = "partition by doc_id order by pos"
 _rounded = lambda df, *names: df.withColumns({n: F.round(n, 4) for n in names})
@@ -402,14 +407,16 @@ def _adaptive_sql(context: str, gain: int) -> str:
 
 
 _LAG1, _LAG2 = f"coalesce(lag(s) over ({_WP}), 0)", f"coalesce(lag(s, 2) over ({_WP}), 0)"
-for _name, _context, _gain, _sql in (
+for _name, _context, _gain, _sql, *_packed in (
     ("order0", lambda: [], 2, "0"),
     ("order1", lambda: symbols.order(1), 2, _LAG1),
     ("order2", lambda: symbols.order(2), 20, f"{_LAG1} * 256 + {_LAG2}"),
     ("order1_blocks", lambda: [*symbols.order(1), F.expr("pos div 4096")], 2, f"{_LAG1} * 65536 + pos // 4096"),
     ("position", lambda: [*symbols.order(1), F.col("pos") % 16], 2, f"{_LAG1} * 16 + pos % 16"),
 ):
-    add(f"w12_adaptive_{_name}", _sy(lambda y, c=_context, g=_gain: _rounded(symbols.adaptive_bits(y, c(), g), "bits")), _adaptive_sql(_sql, _gain))
+    _by_rows = lambda y, c=_context, g=_gain: _rounded(symbols.adaptive_bits(y, c(), g), "bits")
+    _whole = _packed and (lambda t, c=_packed[0], g=_gain: _rounded(packed.adaptive_bits(t, c, g), "bits"))
+    add(f"w12_adaptive_{_name}", _docs(_whole, _by_rows) if _whole else _sy(_by_rows), _adaptive_sql(_sql, _gain))
 add(
     "w13_context_hits",
     _sy(symbols.context_hits),
