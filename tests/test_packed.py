@@ -66,6 +66,7 @@ CASES = {
     "j15_longest_match": (lambda t: packed.longest_match(t, 64), lambda y: signals.longest_match(y, 64)),
     "o5_context_unsort": (lambda t: packed.context_unsort(packed.context_sort(t)), lambda y: symbols.context_unsort(symbols.context_sort(y), symbols.context_lead(y))),
     "o6_rotation_unsort": (lambda t: packed.rotation_unsort(packed.rotation_sort(t)), lambda y: signals.rotation_unsort(signals.rotation_sort(y))),
+    "o9_recency_rank_wide": (lambda t: packed.recency_rank(t, 2), lambda y: signals.recency_rank(y, 2)),
 }
 
 
