@@ -452,7 +452,7 @@ add(
 _LENGTHS = tuple(2**k for k in range(1, 9))
 add(
     "w15_sum_pyramid_256",
-    _sy(lambda y: symbols.sum_pyramid(y, _LENGTHS)),
+    _docs(lambda t: packed.sum_pyramid(t, _LENGTHS), lambda y: symbols.sum_pyramid(y, _LENGTHS)),
     f"{_SYM} select doc_id, pos, " + ", ".join(f"(sum(s) over ({_WP} rows between current row and {n - 1} following) % 256)::int sum{n}" for n in _LENGTHS) + " from sy",
 )
 
