@@ -436,7 +436,7 @@ for _k in (1, 3, 4, 5, 6, 7):
     add(f"w13_context_hits_{_k}", _sy(lambda y, k=_k: symbols.context_hits(y, k)), f"{_SYM}, {_hits_sql(_k)}")
 add(
     "w13_context_hits_bits",
-    _sy(lambda y: symbols.context_hits(symbols.bits(y), 8)),
+    _docs(lambda t: packed.context_hits(t, 8, "bit"), lambda y: symbols.context_hits(symbols.bits(y), 8)),
     f"{_SYM}, e as (select doc_id, pos, s, unnest(range(8)) i from sy), bt as (select doc_id, pos * 8 + i pos, (s >> (7 - i)::int) & 1 s from e), {_hits_sql(8, 'bt')}",
 )
 add(

@@ -74,6 +74,7 @@ CASES = {
     "snk1_deinterleave": (lambda t: packed.deinterleave(packed.interleave(t.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "b")), t.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "octet_length(b) n")), lambda y: y.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "pos", "s")),
     "w12_adaptive_bit_chain": (lambda t: packed.adaptive_bits(t, None, 2, 3, "bit"), lambda y: symbols.adaptive_bits(symbols.bits(y), symbols.order(17)[1:], 2, 3)),
     "a13_erase_bad_blocks": (lambda t: packed.delta_erase_bad_blocks(t, packed.delta_checksums(t).where("block <> 2").selectExpr("doc_id", "block", "checksum + if(doc_id % 5 = block, 1, 0) checksum")), lambda y: symbols.erase_bad_blocks(symbols.delta(y).selectExpr("doc_id", "pos", "if(delta > 127, delta - 256, delta) s"), symbols.block_checksum(symbols.delta(y).selectExpr("doc_id", "pos", "if(delta > 127, delta - 256, delta) s")).where("block <> 2").selectExpr("doc_id", "block", "checksum + if(doc_id % 5 = block, 1, 0) checksum"))),
+    "w13_context_hits_bits": (lambda t: packed.context_hits(t, 8, "bit"), lambda y: symbols.context_hits(symbols.bits(y), 8)),
 }
 
 
