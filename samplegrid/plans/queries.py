@@ -396,7 +396,7 @@ add("w10_delta", _sy(symbols.delta), f"{_SYM}, p as (select doc_id, pos, s, coal
 add("w10_delta_inverse", _sy(lambda y: symbols.undelta(symbols.delta(y))), f"{_SYM} select doc_id, pos, s from sy")
 add(
     "w11_runs",
-    _sy(symbols.runs),
+    _docs(packed.runs, symbols.runs),
     f"{_SYM}, g as (select *, pos - row_number() over (partition by doc_id, s order by pos) g from sy) select doc_id, min(pos) start, s, count(*) n from g group by doc_id, s, g having count(*) >= 4",
 )
 

@@ -76,6 +76,7 @@ CASES = {
     "a13_erase_bad_blocks": (lambda t: packed.delta_erase_bad_blocks(t, packed.delta_checksums(t).where("block <> 2").selectExpr("doc_id", "block", "checksum + if(doc_id % 5 = block, 1, 0) checksum")), lambda y: symbols.erase_bad_blocks(symbols.delta(y).selectExpr("doc_id", "pos", "if(delta > 127, delta - 256, delta) s"), symbols.block_checksum(symbols.delta(y).selectExpr("doc_id", "pos", "if(delta > 127, delta - 256, delta) s")).where("block <> 2").selectExpr("doc_id", "block", "checksum + if(doc_id % 5 = block, 1, 0) checksum"))),
     "w13_context_hits_bits": (lambda t: packed.context_hits(t, 8, "bit"), lambda y: symbols.context_hits(symbols.bits(y), 8)),
     "w12_bit_chain32": (packed.bit_chain_bits, models.bit_chain_bits),
+    "w11_runs": (packed.runs, symbols.runs),
 }
 
 
