@@ -433,7 +433,8 @@ def _hits_sql(k: int, sy: str = "sy") -> str:
 
 
 for _k in (1, 3, 4, 5, 6, 7):
-    add(f"w13_context_hits_{_k}", _sy(lambda y, k=_k: symbols.context_hits(y, k)), f"{_SYM}, {_hits_sql(_k)}")
+    _by_rows = lambda y, k=_k: symbols.context_hits(y, k)
+    add(f"w13_context_hits_{_k}", _docs(lambda t, k=_k: packed.context_hits(t, k), _by_rows), f"{_SYM}, {_hits_sql(_k)}")
 add(
     "w13_context_hits_bits",
     _docs(lambda t: packed.context_hits(t, 8, "bit"), lambda y: symbols.context_hits(symbols.bits(y), 8)),

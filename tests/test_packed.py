@@ -78,6 +78,7 @@ CASES = {
     "w12_bit_chain32": (packed.bit_chain_bits, models.bit_chain_bits),
     "w11_runs": (packed.runs, symbols.runs),
     "w11_zero_runs": (packed.delta_zero_runs, lambda y: symbols.zero_runs(symbols.delta(y).selectExpr("doc_id", "pos", "delta s"))),
+    "w13_context_hits_5": (lambda t: packed.context_hits(t, 5), lambda y: symbols.context_hits(y, 5)),
 }
 
 
