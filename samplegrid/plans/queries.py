@@ -412,7 +412,7 @@ for _name, _context, _gain, _sql, *_packed in (
     ("order1", lambda: symbols.order(1), 2, _LAG1),
     ("order2", lambda: symbols.order(2), 20, f"{_LAG1} * 256 + {_LAG2}"),
     ("order1_blocks", lambda: [*symbols.order(1), F.expr("pos div 4096")], 2, f"{_LAG1} * 65536 + pos // 4096"),
-    ("position", lambda: [*symbols.order(1), F.col("pos") % 16], 2, f"{_LAG1} * 16 + pos % 16"),
+    ("position", lambda: [*symbols.order(1), F.col("pos") % 16], 2, f"{_LAG1} * 16 + pos % 16", packed.with_place(packed.order_of(1), mod=16)),
 ):
     _by_rows = lambda y, c=_context, g=_gain: _rounded(symbols.adaptive_bits(y, c(), g), "bits")
     _whole = _packed and (lambda t, c=_packed[0], g=_gain: _rounded(packed.adaptive_bits(t, c, g), "bits"))
