@@ -83,6 +83,7 @@ CASES = {
     "w12_rolling_order0": (packed.rolling_bits, models.rolling_bits),
     "j12_repeats": (lambda t: packed.repeats(t, (16, 64), 500), lambda y: signals.repeats(y, (16, 64), 500)),
     "w12_adaptive_position": (lambda t: packed.adaptive_bits(t, packed.with_place(packed.order_of(1), mod=16)), lambda y: symbols.adaptive_bits(y, [*symbols.order(1), F.col("pos") % 16])),
+    "w12_adaptive_position_folded": (lambda t: packed.adaptive_bits(t, packed.with_place(packed.folded(1), mod=16)), lambda y: symbols.adaptive_bits(y, [symbols.order(1)[0] % 16, F.col("pos") % 16])),
 }
 
 
