@@ -85,6 +85,7 @@ CASES = {
     "w12_adaptive_position": (lambda t: packed.adaptive_bits(t, packed.with_place(packed.order_of(1), mod=16)), lambda y: symbols.adaptive_bits(y, [*symbols.order(1), F.col("pos") % 16])),
     "w12_adaptive_position_folded": (lambda t: packed.adaptive_bits(t, packed.with_place(packed.folded(1), mod=16)), lambda y: symbols.adaptive_bits(y, [symbols.order(1)[0] % 16, F.col("pos") % 16])),
     "src8_read_prefix": (lambda t: packed.interleaved_prefix(t.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "b"), 200), lambda y: symbols.read_prefix(symbols.interleave(y.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "pos", "s")), 200)),
+    "w13_context_hits_7": (lambda t: packed.context_hits(t, 7), lambda y: symbols.context_hits(y, 7)),
 }
 
 
