@@ -87,6 +87,7 @@ CASES = {
     "src8_read_prefix": (lambda t: packed.interleaved_prefix(t.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "b"), 200), lambda y: symbols.read_prefix(symbols.interleave(y.selectExpr("doc_id div 3 image_id", "doc_id % 3 plane", "pos", "s")), 200)),
     "w13_context_hits_7": (lambda t: packed.context_hits(t, 7), lambda y: symbols.context_hits(y, 7)),
     "w12_adaptive_order3_folded": (lambda t: packed.adaptive_bits(t, packed.folded(3), 20), lambda y: symbols.adaptive_bits(y, [c % 16 for c in symbols.order(3)], 20)),
+    "w13_context_hits_4": (lambda t: packed.context_hits(t, 4), lambda y: symbols.context_hits(y, 4)),
 }
 
 
