@@ -410,7 +410,7 @@ _LAG1, _LAG2 = f"coalesce(lag(s) over ({_WP}), 0)", f"coalesce(lag(s, 2) over ({
 for _name, _context, _gain, _sql, *_packed in (
     ("order0", lambda: [], 2, "0"),
     ("order1", lambda: symbols.order(1), 2, _LAG1),
-    ("order2", lambda: symbols.order(2), 20, f"{_LAG1} * 256 + {_LAG2}"),
+    ("order2", lambda: symbols.order(2), 20, f"{_LAG1} * 256 + {_LAG2}", packed.order_of(2)),
     ("order1_blocks", lambda: [*symbols.order(1), F.expr("pos div 4096")], 2, f"{_LAG1} * 65536 + pos // 4096"),
     ("position", lambda: [*symbols.order(1), F.col("pos") % 16], 2, f"{_LAG1} * 16 + pos % 16", packed.with_place(packed.order_of(1), mod=16)),
 ):
